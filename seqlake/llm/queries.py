@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import mixing
+from seqlake.llm import mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_quality": quality.op1_adaptive_quality,
     "op4_pareto_mix": mixing.op4_pareto_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_adaptive_quality": quality.OP1_SQL,
+}
