@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import mixing, quality
+from seqlake.llm import decontaminate, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
     "op4_pareto_mix": mixing.op4_pareto_mix,
+    "op7_aho_corasick": decontaminate.op7_aho_corasick,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_adaptive_quality": quality.OP1_SQL,
+    "op7_aho_corasick": decontaminate.op7_sql(),
 }
