@@ -1,0 +1,33 @@
+"""Connected components of links by distributed label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seqlake.llm.common import materialize
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component) for each node of the undirected links (a, b); component is the least node that links reach.
+
+    Every round contracts links to the labels of their ends (large star, small star), written to shared storage;
+    rounds grow with the log of the longest chain. A hub's links are only ever min-aggregated, with partial sums.
+    """
+    links = materialize(links.where("a <> b").select("a", "b").distinct(), "cc-links")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    while True:
+        # large star: each node's larger neighbours are linked with its least neighbour (or itself)
+        both = edges.union(edges.select("v", "u"))
+        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "cc-large")
+        # small star: its smaller neighbours and itself are linked with the least of them
+        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(m, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = materialize(small, "cc-small")
+        if small.count() == edges.count() and small.exceptAll(edges).isEmpty():
+            break
+        edges = small
+    return materialize(nodes.join(edges, nodes["node"] == edges["u"], "left").select("node", F.coalesce("v", "node").alias("component")), "cc-labels")

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import decontaminate, mixing, quality
+from seqlake.llm import decontaminate, mixing, neardup, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op7_aho_corasick": decontaminate.op7_aho_corasick,
+    "op8_setsketch": neardup.op8_setsketch,
+    "op9_fingerprint_index": substring.op9_fingerprint_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
