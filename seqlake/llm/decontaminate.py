@@ -18,7 +18,8 @@ WINDOW = 10
 BENCHMARK_BYTES = 32 << 20
 #: Bytes A-Z lowered, and every byte that is not of a word made a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in the original text, before A-Z are lowered.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def fold_words(text: str | None) -> list[bytes]:

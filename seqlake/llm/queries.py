@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import decontaminate, mixing, neardup, quality, substring
+from seqlake.llm import chat, decontaminate, mixing, neardup, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
+    "op2_warc_zstd": warc.op2_warc_zstd,
     "op4_pareto_mix": mixing.op4_pareto_mix,
+    "op5_perspective_rotation": chat.op5_perspective_rotation,
     "op7_aho_corasick": decontaminate.op7_aho_corasick,
     "op8_setsketch": neardup.op8_setsketch,
     "op9_fingerprint_index": substring.op9_fingerprint_index,
@@ -18,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_adaptive_quality": quality.OP1_SQL,
+    "op5_perspective_rotation": chat.OP5_SQL,
     "op7_aho_corasick": decontaminate.op7_sql(),
 }
