@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import chat, decontaminate, mixing, neardup, quality, substring, warc
+from seqlake.llm import chat, decontaminate, mixing, neardup, pii, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_aho_corasick": decontaminate.op7_aho_corasick,
     "op8_setsketch": neardup.op8_setsketch,
     "op9_fingerprint_index": substring.op9_fingerprint_index,
+    "op10_disclosure": pii.op10_disclosure,
 }
 
 ORACLE_SQL: dict[str, str] = {
