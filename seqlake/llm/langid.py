@@ -26,9 +26,9 @@ SCRIPTS = [
 _FIRST = [a for a, _ in SCRIPTS]
 WORD = re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on about so many labelled documents of each language, chosen by a hash of the text.
-TRAIN_DOCS = 3000
-#: It keeps so many letter runs (by count over all languages), of 1 to GRAM letters with word edges.
-FEATURES, GRAM = 120_000, 4
+TRAIN_DOCS = 1000
+#: It keeps so many letter runs (by count over all languages), of two and three letters with word edges.
+FEATURES = 120_000
 #: A language uses a script if at least this share of its training words does.
 SCRIPT_SHARE = 0.01
 #: Nats lost at each change of language between words, and the most that one word can say.
@@ -43,7 +43,7 @@ def script_of(word: str) -> str:
 
 def grams(word: str) -> list[str]:
     w = f"^{word}$"
-    return [w[i : i + n] for n in range(1, GRAM + 1) for i in range(len(w) - n + 1) if w[i : i + n] not in "^$"]
+    return [a + b for a, b in zip(w, w[1:])] + [a + b + c for a, b, c in zip(w, w[1:], w[2:])]
 
 
 @dataclass
@@ -140,15 +140,38 @@ class Labeler:
             self._score(new[i : i + 50_000])
         return self.rows[[self.cache[w] for w in words]]
 
+    @staticmethod
+    def margin(e: np.ndarray, main: int) -> np.ndarray:
+        """What each word loses at least under any other language than `main`."""
+        rest = np.delete(e, main, axis=1)
+        return e[:, main] - rest.max(1) if rest.shape[1] else np.full(len(e), np.inf, dtype=np.float32)
+
     def viterbi(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Best language of each word; text i has words first[i]:first[i+1]. All texts move one word at a time together."""
+        """Best language of each word; text i has words first[i]:first[i+1]. All texts move one word at a time together.
+
+        A text in which no run of words gains more than SWITCH over its best single language needs no steps: one
+        switch can't pay, so neither can several.
+        """
         size = np.diff(first)
+        path = np.zeros(len(e), dtype=np.int16)
+        some = np.flatnonzero(size)
+        main = np.add.reduceat(e, first[:-1][some], axis=0).argmax(1)
+        gain = e.max(1) - e[np.arange(len(e)), np.repeat(main, size[some])]
+        path[:] = np.repeat(main, size[some])
+        size = size.copy()
+        for x, i in enumerate(some):
+            c = gain[first[i] : first[i + 1]].copy()
+            c -= np.where(c > 0, 0, self.margin(e[first[i] : first[i + 1]], main[x]))
+            np.cumsum(c, out=c)
+            low = np.minimum.accumulate(np.minimum(np.concatenate([[0], c[:-1]]), 0))
+            if (c - low).max() <= SWITCH:
+                size[i] = 0
         order = np.argsort(-size, kind="stable")
         order = order[size[order] > 0]
         start, size = first[:-1][order], size[order]
         n = len(order)
         if not n:
-            return np.zeros(len(e), dtype=np.int16)
+            return path
         v = e[start].copy()
         back = np.zeros(e.shape, dtype=np.int16)
         me = np.arange(e.shape[1], dtype=np.int16)[None, :]
@@ -160,7 +183,6 @@ class Labeler:
             stay = v[:k] >= top
             back[start[:k] + t] = np.where(stay, me, best)
             v[:k] = np.where(stay, v[:k], top) + e[start[:k] + t]
-        path = np.zeros(len(e), dtype=np.int16)
         now = v.argmax(1).astype(np.int16)
         for t in range(int(size[0]) - 1, -1, -1):
             k = alive[t]
@@ -170,38 +192,37 @@ class Labeler:
         return path
 
 
-def label(texts: list[str | None], model: Model, labeler: Labeler) -> list[tuple[str, float, list[dict]]]:
-    """(language, score, spans) for each text.
+def label(texts: list[str | None], model: Model, labeler: Labeler, spans: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
+    """(languages, scores, spans) of texts.
 
     The language holds most letters under the best path, ties to the earlier name; the score is its share of letters
     times the mean posterior of its words there. Null or letterless text is ("und", 0.0, []). Spans are maximal
     runs of one language, from its first word to its last, in code points, end exclusive.
     """
-    if not model.langs:
-        return [("und", 0.0, [])] * len(texts)
-    found = [[(m.group(), m.start(), m.end()) for m in WORD.finditer(t)] if t else [] for t in texts]
-    first = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-    words = [w for f in found for w, _, _ in f]
-    if not words:
-        return [("und", 0.0, [])] * len(texts)
+    k = len(model.langs)
+    found = [WORD.findall(t) if t else [] for t in texts]
+    size = np.array([len(f) for f in found], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    words = [w for f in found for w in f]
+    if not words or not k:
+        return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     e = labeler.emissions(words)
     path = labeler.viterbi(e, first)
-    letters = np.array([len(w) for w in words])
-    belief = np.exp(e[np.arange(len(e)), path])
-    out = []
-    for i, f in enumerate(found):
-        if not f:
-            out.append(("und", 0.0, []))
-            continue
-        a, b = first[i], first[i + 1]
-        own, n = path[a:b], letters[a:b]
-        mass = np.bincount(own, weights=n, minlength=len(model.langs))
-        best = int(mass.argmax())
-        sure = float((n * belief[a:b])[own == best].sum() / n.sum())
-        cut = np.flatnonzero(np.diff(own)) + 1
-        spans = [{"start": f[x][1], "end": f[y - 1][2], "lang": model.langs[own[x]]} for x, y in zip([0, *cut], [*cut, b - a], strict=True)]
-        out.append((model.langs[best], min(1.0, max(0.0, sure)), spans))
-    return out
+    letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+    cell = np.repeat(np.arange(len(texts)), size) * k + path
+    mass = np.bincount(cell, weights=letters, minlength=len(texts) * k).reshape(-1, k)
+    sure = np.bincount(cell, weights=letters * np.exp(e[np.arange(len(e)), path]), minlength=len(texts) * k).reshape(-1, k)
+    best = mass.argmax(1)
+    score = np.take_along_axis(sure, best[:, None], 1)[:, 0] / np.maximum(mass.sum(1), 1)
+    langs = [model.langs[b] if n else "und" for b, n in zip(best, size, strict=True)]
+    out: list[list[dict]] = [[] for _ in texts]
+    for i, t in enumerate(texts if spans else []):
+        if size[i]:
+            own = path[first[i] : first[i + 1]]
+            at = [m.span() for m in WORD.finditer(t)]
+            cut = (np.flatnonzero(np.diff(own)) + 1).tolist()
+            out[i] = [{"start": at[x][0], "end": at[y - 1][1], "lang": model.langs[own[x]]} for x, y in zip([0, *cut], [*cut, len(own)], strict=True)]
+    return langs, np.clip(score, 0.0, 1.0).tolist(), out
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = True) -> DataFrame:
@@ -225,9 +246,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
                     part.append(col[j].as_py())
                     size += len(part[-1] or "")
                     j += 1
-                got = label(part, shared.value, labeler)
+                langs, scores, runs = label(part, shared.value, labeler, spans)
                 s = b.slice(i, j - i)
-                cols = [*s.columns, pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())] + [pa.array([x[2] for x in got], kind)] * spans
+                cols = [*s.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + [pa.array(runs, kind)] * spans
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "lang_score"] + ["lang_spans"] * spans)
                 i = j
 
