@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import chat, decontaminate, langid, mixing, neardup, pii, quality, substring, warc
+from seqlake.llm import brown, chat, decontaminate, langid, mixing, neardup, pii, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
     "op2_warc_zstd": warc.op2_warc_zstd,
+    "op3_brown_classes": brown.op3_brown_classes,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op5_perspective_rotation": chat.op5_perspective_rotation,
     "op6_script_viterbi": langid.op6_script_viterbi,
