@@ -1 +1,132 @@
-"""TODO"""
+"""Readers for sequences, alignment tables, cluster files and dimensions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqlake import schemas
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, header, seq) of FASTA records, split at `>` so that a file is read in parallel.
+
+    The accession is the header's first word; sequence lines are joined without whitespace.
+    """
+    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    header = F.substring_index("value", "\n", 1)
+    body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
+    return raw.select(F.substring_index(F.regexp_replace(header, "\\s", " "), " ", 1).alias("accession"), F.trim(F.regexp_replace(header, "\r", "")).alias("header"), F.regexp_replace(body, "\\s", "").alias("seq"))
+
+
+def genome_folder(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA of a folder with one file for each genome; adds mag, the file name without its last extension."""
+    raw = spark.read.option("lineSep", ">").text(path).select("value", F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("mag")).where(F.trim("value") != "")
+    body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
+    return raw.select("mag", F.substring_index(F.regexp_replace(F.substring_index("value", "\n", 1), "\\s", " "), " ", 1).alias("accession"), F.regexp_replace(body, "\\s", "").alias("seq"))
+
+
+def proteins(spark: SparkSession, path: str) -> DataFrame:
+    """(orf_id, start, end, strand, gc, seq) from gene-caller headers `id # start # end # strand # ...;gc_cont=x`."""
+    w = F.split("header", "\\s+")
+    at = lambda i: F.get(w, F.lit(i))
+    num = lambda c, t: c.try_cast(t)
+    return fasta(spark, path).select(
+        at(0).alias("orf_id"), num(at(2), "int").alias("start"), num(at(4), "int").alias("end"), num(at(6), "int").alias("strand"),
+        num(F.regexp_extract("header", "gc_cont=([0-9.]+)", 1), "double").alias("gc"), "seq",
+    )
+
+
+def hits(spark: SparkSession, path: str, schema: str = schemas.HITS12, sep: str = "\t") -> DataFrame:
+    """A headerless alignment table under an explicit schema (see schemas)."""
+    return spark.read.schema(schema).csv(path, sep=sep)
+
+
+def abc(hits_: DataFrame) -> DataFrame:
+    return hits_.select("qseqid", "sseqid", "pident", "bitscore")
+
+
+def contamination_hits(spark: SparkSession, path: str) -> DataFrame:
+    return hits(spark, path, schemas.CONTAMINATION_HITS).withColumn("target", F.substring_index("target", "-consensus", 1))
+
+
+def dimension(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
+    return spark.read.schema(schema).csv(path, header=header, sep=sep)
+
+
+def tables_by_extension(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of .csv and .tsv files of one schema, each read with its own separator."""
+    csv = spark.read.schema(schema).option("pathGlobFilter", "*.csv").csv(path, header=True)
+    return csv.unionByName(spark.read.schema(schema).option("pathGlobFilter", "*.tsv").csv(path, header=True, sep="\t"))
+
+
+def cluster_file(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster, node): one cluster on each line, named by its first member, members split at whitespace."""
+    line = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), "\\s+").alias("m"))
+    return line.select(F.get("m", F.lit(0)).alias("cluster"), F.explode("m").alias("node"))
+
+
+def spacers(spark: SparkSession, path: str) -> DataFrame:
+    """(mag, position, spacer) from repeat-finder reports: lines whose first tab field is a number and fourth a sequence."""
+    t = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("mag"))
+    row = t.select("mag", F.get("f", F.lit(0)).try_cast("int").alias("position"), F.trim(F.get("f", F.lit(3))).alias("spacer"))
+    return row.where("position is not null and spacer <> '' and spacer rlike '^[ACGTNacgtn]+$'")
+
+
+def blast_xml(spark: SparkSession, path: str) -> DataFrame:
+    """The 12 columns of hits from search-report XML, one row for each HSP."""
+    hsp = "struct<Hsp_bit-score:double,Hsp_evalue:double,Hsp_query-from:int,Hsp_query-to:int,Hsp_hit-from:int,Hsp_hit-to:int,Hsp_identity:int,Hsp_gaps:int,Hsp_align-len:int,Hsp_qseq:string,Hsp_hseq:string>".replace("Hsp_bit-score", "`Hsp_bit-score`").replace("Hsp_query-from", "`Hsp_query-from`").replace("Hsp_query-to", "`Hsp_query-to`").replace("Hsp_hit-from", "`Hsp_hit-from`").replace("Hsp_hit-to", "`Hsp_hit-to`").replace("Hsp_align-len", "`Hsp_align-len`")
+    schema = f"`Iteration_query-def` string, Iteration_hits struct<Hit:array<struct<Hit_id:string,Hit_def:string,Hit_hsps:struct<Hsp:array<{hsp}>>>>>"
+    x = spark.read.format("xml").option("rowTag", "Iteration").schema(schema).load(path)
+    h = x.select(F.substring_index("`Iteration_query-def`", " ", 1).alias("qseqid"), F.explode("Iteration_hits.Hit").alias("h"))
+    p = h.select("qseqid", F.substring_index("h.Hit_def", " ", 1).alias("sseqid"), F.explode("h.Hit_hsps.Hsp").alias("p"))
+    f = lambda n: F.col("p")[n]
+    n, ident, gaps = f("Hsp_align-len"), f("Hsp_identity"), F.coalesce(f("Hsp_gaps"), F.lit(0))
+    opens = F.regexp_count(f("Hsp_qseq"), F.lit("-+")) + F.regexp_count(f("Hsp_hseq"), F.lit("-+"))
+    bits = F.when(f("Hsp_bit-score") < 100, F.round(f("Hsp_bit-score"), 1)).otherwise(F.floor(f("Hsp_bit-score")).cast("double"))
+    return p.select(
+        "qseqid", "sseqid", F.round(100 * F.try_divide(ident.cast("double"), n), 3).alias("pident"), n.alias("length"), (n - ident - gaps).alias("mismatch"), F.coalesce(opens, F.lit(0)).alias("gapopen"),
+        f("Hsp_query-from").alias("qstart"), f("Hsp_query-to").alias("qend"), f("Hsp_hit-from").alias("sstart"), f("Hsp_hit-to").alias("send"), f("Hsp_evalue").alias("evalue"), bits.alias("bitscore"),
+    )
+
+
+def valid_names(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, name, ord) from a JSON object of rank -> list of names."""
+    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    return m.select(F.explode("m").alias("rank", "names")).select("rank", F.posexplode("names").alias("ord", "name"))
+
+
+def known_proteins(proteins_: DataFrame, contigs: DataFrame) -> DataFrame:
+    """User-supplied proteins of known contigs."""
+    from seqlake.functions import genome_of
+
+    return proteins_.withColumn("accession", genome_of(F.col("orf_id"))).join(contigs.select("accession"), "accession", "left_semi")
+
+
+def open_frames(contigs: DataFrame, least: int = 90) -> DataFrame:
+    """(orf_id, accession, start, end, strand): open frames ATG..stop on both strands, found by one pattern for each frame.
+
+    A stand-in for an external gene caller, and an approximation of one: it knows no gene model.
+    """
+    from seqlake.functions import reverse_complement
+
+    both = contigs.select("accession", F.length("seq").alias("n"), F.explode(F.array(F.struct(F.upper("seq").alias("s"), F.lit(1).alias("strand")), F.struct(reverse_complement(F.upper("seq")).alias("s"), F.lit(-1).alias("strand")))).alias("x"))
+    frames = both.select("accession", "n", "x.strand", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame"), F.col("x.s").alias("s"))
+    codons = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - F.col("frame")) / 3).cast("int")), lambda i: F.substring("s", F.col("frame") + 1 + 3 * i, F.lit(3))), " ")
+    framed = frames.where(F.length("s") >= F.col("frame") + 3).withColumn("c", codons)
+    pattern = "ATG( (?!TAA|TAG|TGA)[A-Z]{3})*+ (?:TAA|TAG|TGA)"
+    steps = F.arrays_zip(F.split("c", pattern, -1).alias("gap"), F.regexp_extract_all("c", F.lit(pattern), F.lit(0)).alias("hit"))
+    walk = F.aggregate(
+        F.filter(steps, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,len:int>>").alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(a["out"], F.struct((a["at"] + F.length(x["gap"])).alias("at"), F.length(x["hit"]).alias("len"))).alias("out")),
+        lambda a: a["out"],
+    )
+    one = framed.select("accession", "n", "strand", "frame", F.explode(walk).alias("o"))
+    first = F.col("frame") + 3 * (F.col("o.at") / 4).cast("int") + 1
+    bases = 3 * ((F.col("o.len") + 1) / 4).cast("int")
+    pos = one.select("accession", "n", "strand", first.alias("a"), (first + bases - 1).alias("b")).where(F.col("b") - F.col("a") + 1 >= least)
+    real = pos.select("accession", "strand", F.when(F.col("strand") == 1, F.col("a")).otherwise(F.col("n") - F.col("b") + 1).alias("start"), F.when(F.col("strand") == 1, F.col("b")).otherwise(F.col("n") - F.col("a") + 1).alias("end"))
+    from pyspark.sql import Window
+
+    no = F.row_number().over(Window.partitionBy("accession").orderBy("start", "end", "strand"))
+    return real.withColumn("no", no).select(F.concat_ws("_", "accession", "no").alias("orf_id"), "accession", "start", "end", "strand")

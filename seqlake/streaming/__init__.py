@@ -1 +1,38 @@
-"""TODO"""
+"""Append-safe operators on file streams: the reference work is batch, so these are the batch rules row by row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from seqlake.operators.models import virus_call
+
+
+def contigs(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
+    """FASTA files as they arrive: (accession, length, score, proportion); a score or proportion must be joined from a batch table."""
+    raw = spark.readStream.option("lineSep", ">").option("maxFilesPerTrigger", max_files).text(folder).where(F.trim("value") != "")
+    body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
+    return raw.select(F.substring_index(F.regexp_replace(F.substring_index("value", "\n", 1), "\\s", " "), " ", 1).alias("accession"), F.length(F.regexp_replace(body, "\\s", "")).cast("bigint").alias("length"))
+
+
+def calls(stream: DataFrame, shares: DataFrame, min_length: int = 3000, reject: float = 0.1) -> DataFrame:
+    """Virus calls of arriving contigs against a static (accession, score, proportion) table."""
+    return virus_call(stream.join(shares, "accession", "left"), min_length, reject)
+
+
+def annotate(stream: DataFrame, best_hits: DataFrame, names: DataFrame) -> DataFrame:
+    """Arriving genes with the name of their best hit; both tables are static, one row for each gene or protein."""
+    from seqlake.operators.annotation import annotate as rule
+
+    return rule(stream, best_hits, names)
+
+
+def event_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
+    """Counts and sums of (ts, event_type, value) in tumbling windows, closed by a watermark."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Exactly-once append; ends when what is there is processed."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
