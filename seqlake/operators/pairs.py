@@ -11,7 +11,8 @@ from seqlake.operators.besthit import first_per_key
 
 def symmetrise(hits: DataFrame) -> DataFrame:
     """Hits and the same hits seen from the target."""
-    return hits.unionByName(hits.withColumnsRenamed({"qseqid": "sseqid", "sseqid": "qseqid"}))
+    rest = [c for c in hits.columns if c not in ("qseqid", "sseqid")]
+    return hits.unionByName(hits.select(F.col("sseqid").alias("qseqid"), F.col("qseqid").alias("sseqid"), *rest))
 
 
 def genome_sizes(orfs: DataFrame, orf_col: str = "orf_id") -> DataFrame:
