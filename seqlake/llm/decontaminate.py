@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,6 +28,17 @@ def fold_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of (first, end) spans in order; touching spans join."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
 class Scanner:
     """An automaton on word numbers: words outside the benchmark are 0, so a text is scanned once, word by word."""
 
@@ -48,18 +60,15 @@ class Scanner:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged (first, end) word spans inside occurrences of windows, and the numbers of items with one."""
-        spans: list[list[int]] = []
+        spans: list[tuple[int, int]] = []
         owners: set[int] = set()
         if not self.any or len(words) < self.shortest:
             return [], owners
         get = self.number.get
         for last, (n, own) in self.automaton.iter(tuple([get(w, 0) for w in words])):
             owners.update(own)
-            first, end = last - n + 1, last + 1
-            while spans and spans[-1][1] >= first:  # a longer window may end later but start earlier
-                first, end = min(first, spans[-1][0]), max(end, spans.pop()[1])
-            spans.append([first, end])
-        return [(a, b) for a, b in spans], owners
+            spans.append((last - n + 1, last + 1))
+        return merge(spans), owners
 
 
 def _batches(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
@@ -108,21 +117,16 @@ def _scan(items, text_col: str, window: int, first: bool):
                 hit, owners = scanner.scan(w)
                 found = {"null" if scanner.ids[k] is None else str(scanner.ids[k]) for k in owners}
                 at: list[tuple[int, int]] = []
-                if hit:
-                    where = [m.span() for m in WORD.finditer(t)]
-                    at = [(where[x][0], where[y - 1][1]) for x, y in hit]
                 if old:
                     found |= set(old[0][i])
-                    at = sorted(at + [(s["start"], s["end"]) for s in old[1][i]])
-                    joined: list[tuple[int, int]] = []
-                    for s, e in at:
-                        if joined and s <= joined[-1][1]:
-                            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
-                        else:
-                            joined.append((s, e))
-                    at = joined
+                if hit or old and old[1][i]:
+                    where = [m.span() for m in WORD.finditer(t)]
+                    if old:  # spans of earlier passes, as word numbers again
+                        starts = [x for x, _ in where]
+                        hit = merge(hit + [(bisect_left(starts, x["start"]), bisect_left(starts, x["end"])) for x in old[1][i]])
+                    at = [(where[x][0], where[y - 1][1]) for x, y in hit]
                 n_words.append(len(w))
-                n_hit.append(sum(len(WORD.findall(t, s, e)) for s, e in at) if old else sum(y - x for x, y in hit))
+                n_hit.append(sum(y - x for x, y in hit))
                 ids.append(sorted(found))
                 spans.append([{"start": s, "end": e} for s, e in at])
             keep = [i for i, f in enumerate(b.schema) if f.name not in ("n_words", "n_hit", "items", "hit_spans")]
