@@ -89,7 +89,8 @@ def _sketch(size: int):
 
 
 def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Joint estimation: of pairs of register rows, those whose counts of <, =, > leave `threshold` likely enough.
+    """Joint estimation: of pairs of register rows, those whose likeliest similarity is at least `threshold`, or not
+    clearly below it by the counts of <, =, >.
 
     With known set sizes, u = na/(na+nb) and v = nb/(na+nb), a register of A exceeds B's with probability
     p(u - v*J), p(x) = -log_b(1 - x*(b-1)/b). The log-likelihood of J is concave; a grid finds its maximum.
@@ -106,7 +107,9 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
         return safe(more, a) + safe(less, b) + safe(M - more - less, 1 - a - b)
 
     at = np.minimum(threshold, top)[:, None]
-    return (top >= threshold - 1e-9) & (score(at)[:, 0] >= score(grid).max(1) - NATS)
+    every = score(grid)
+    best = np.take_along_axis(grid, every.argmax(1)[:, None], 1)[:, 0]
+    return (top >= threshold - 1e-9) & ((best >= threshold) | (score(at)[:, 0] >= every.max(1) - NATS))
 
 
 def _screen(threshold: float):

@@ -50,6 +50,9 @@ def corpus(seed=1):
         for _ in range(rng.randrange(1, 8)):
             w[rng.randrange(len(w))] = word()
         docs[i] = " ".join(w)
+    docs[12], docs[13] = docs[10] + " end", "start " + docs[10]
+    docs[14] = " ".join(word() + str(k) for k in range(300))
+    docs[15] = docs[14] + " tail"
     for i in range(60, 75):  # a chain
         w = docs[i - 1 if i > 60 else 10].split()
         w[(i * 7) % len(w)] = word()
@@ -86,6 +89,7 @@ def test_sketches_merge_and_estimate():
     n = np.array([4000.0])
     assert neardup.likely(reg[0], reg[1], n, n, 0.8).all()
     assert not neardup.likely(reg[0], reg[2], n, n, 0.8).any()
+    assert neardup.likely(reg[0], reg[0], n, n + 1, 0.8).all()
 
 
 def test_components(frame):
