@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import brown, chat, decontaminate, langid, mixing, neardup, pii, quality, substring, warc
+from seqlake.llm import brown, chat, decontaminate, langid, mixing, neardup, oracles, pii, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
@@ -23,6 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_adaptive_quality": quality.OP1_SQL,
+    "op2_warc_zstd": oracles.OP2_SQL,
     "op5_perspective_rotation": chat.OP5_SQL,
     "op7_aho_corasick": decontaminate.op7_sql(),
+    "op8_setsketch": oracles.OP8_SQL,
+    "op9_fingerprint_index": oracles.OP9_SQL,
+    "op10_disclosure": oracles.OP10_SQL,
 }
