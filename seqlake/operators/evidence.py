@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions import or_dash
 from seqlake.operators.besthit import first_per_key, spacer_hits, trna_hits
+from seqlake.operators.numbering import number_rows
 
 #: Order of trust of the host evidence: earlier wins.
 METHODS = ("CRISPR-based (MAG)", "BLASTN-based", "tRNA-based", "k-mer-based", "AAI-based", "CRISPR-based (DB)")
@@ -107,5 +108,6 @@ def continuous_ids(clustered: DataFrame, every: DataFrame, node: str = "node") -
     """(node, cluster_no): given numbers stay; nodes without one get the next numbers in order of their name."""
     top = clustered.agg(F.coalesce(F.max("cluster_no"), F.lit(0)).alias("top"))
     free = every.join(clustered, node, "left_anti")
-    free = free.crossJoin(F.broadcast(top)).select(node, (F.col("top") + F.row_number().over(Window.orderBy(node))).cast("bigint").alias("cluster_no"))
+    free = number_rows(free.select(node), [F.col(node)], "no")
+    free = free.join(F.broadcast(top), F.lit(True)).select(node, (F.col("top") + F.col("no")).cast("bigint").alias("cluster_no"))  # top is one row
     return clustered.select(node, F.col("cluster_no").cast("bigint").alias("cluster_no")).unionByName(free)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators.numbering import number_rows
 from seqlake.storage import materialize
 
 
@@ -127,10 +128,10 @@ def propagate(members: DataFrame) -> DataFrame:
 def number_clusters(clusters: DataFrame) -> DataFrame:
     """(node, cluster) -> adds size and name: `group_i` numbered by cluster, or `singleton`.
 
-    The numbering windows see one row for each cluster of two or more, not the members.
+    Clusters of two or more are numbered by ranges, so no task sees them all.
     """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    many = sizes.where("size > 1").withColumn("no", F.row_number().over(Window.orderBy("cluster"))).select(F.col("cluster").alias("c"), "no")
+    many = number_rows(sizes.where("size > 1").select(F.col("cluster").alias("c")), [F.col("c")], "no")
     j = clusters.join(sizes, "cluster").join(many, F.col("cluster") == F.col("c"), "left")
     return j.select("node", "cluster", "size", F.when(F.col("no").isNotNull(), F.concat(F.lit("group_"), F.col("no").cast("string"))).otherwise(F.lit("singleton")).alias("name"))
 
