@@ -1,14 +1,14 @@
-"""What the training-data operators share: word rules, scratch tables, size-checked broadcast."""
+"""What the training-data operators share: word rules, size-checked broadcast; scratch tables come from seqlake.storage."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.storage import materialize, scratch_dir
+
+__all__ = ["OWN", "SPACES", "SPACE_RUN", "bounded_broadcast", "materialize", "scratch_dir", "table", "word_count", "words"]
+
 #: The whitespace of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -28,31 +28,6 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RUN))).cast("bigint")
 
 
-@functools.cache
-def _own_scratch() -> str:
-    return tempfile.mkdtemp(prefix="seqlake-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's spark.checkpoint.dir, else (tests) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + _own_scratch()
-    return f"{base.rstrip('/')}/seqlake-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared scratch folder and read it back.
-
-    This cuts lineage, survives lost executors, and gives the next plan real file sizes.
-    The files stay until the job's scratch folder is removed.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when a count proves the side has at most max_rows rows; else leave the shuffle join."""
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import OWN, materialize, table
-from seqlake.llm.components import connected_components
 from seqlake.llm.wordhash import Words, mix, slices
+from seqlake.operators.graph import components as connected_components
 
 #: SetSketch parameters: register k holds 1 - log_b of the least exponential variate, cut to 0..LIMIT.
 B = 1.001

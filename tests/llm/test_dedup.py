@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 from seqlake.llm import neardup, substring
-from seqlake.llm.components import connected_components
 from seqlake.llm.wordhash import slices
+from seqlake.operators.graph import components as connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
