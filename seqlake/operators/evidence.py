@@ -43,6 +43,13 @@ def trna(hits: DataFrame, cover: float) -> DataFrame:
     return best.select(F.col("virus").alias("accession"), F.col("mag").alias("host"), (F.col("pident") / 100).alias("score"))
 
 
+def by_genus(calls: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Host of each contig's genus: calls (accession, genus, scores), hosts (genus, host). The score is the last of the
+    `;`-joined scores, 1 where there is none."""
+    last = F.element_at(F.split("scores", ";"), -1).try_cast("double")
+    return calls.join(hosts.select("genus", "host"), "genus").select("accession", "host", F.coalesce(last, F.lit(1.0)).alias("score"))
+
+
 def by_precedence(rows: DataFrame) -> DataFrame:
     """One host for each accession: of the most trusted method, then the best score, then the host's name."""
     return first_per_key(rows, ["accession"], [F.col("priority"), F.col("score").desc(), F.col("host")])

@@ -460,3 +460,22 @@ SELECT node, CAST(cluster_no AS BIGINT) AS cluster_no FROM c UNION ALL SELECT no
 def continuous_ids(spark, d):
     doc = tb.table(spark, d, "documents").select(F.col("doc_id").alias("node"))
     return evidence.continuous_ids(doc.where("node % 2 = 0").withColumn("cluster_no", F.col("node") % 11), doc)
+
+
+@query(f"""WITH {tb.SHARED_SQL}, {tb.COMPONENTS_SQL} SELECT component, count(*) AS size FROM reach WHERE component IN (SELECT component FROM reach WHERE node % 3 = 0) GROUP BY 1 ORDER BY size DESC, component LIMIT 10""")
+def largest_components(spark, d):
+    labels = graph.components(tb.shared_lines(spark, d))
+    return graph.largest_components(labels, labels.where("node % 3 = 0").select("node"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS accession, 'host of ' || lang AS host, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.6 END AS score FROM documents WHERE lang IN ('en', 'de')")
+def host_by_genus(spark, d):
+    doc = tb.table(spark, d, "documents")
+    calls = doc.select(F.col("doc_id").cast("string").alias("accession"), F.col("lang").alias("genus"), F.when(F.col("doc_id") % 3 != 0, F.lit("0.90;0.60")).alias("scores"))
+    return evidence.by_genus(calls, spark.createDataFrame([("en", "host of en"), ("de", "host of de")], "genus string, host string"))
+
+
+@query()
+def shared_cluster_network(spark, d):
+    h = tb.hits(spark, d)
+    return graph.shared_cluster_edges(h.select(fn.genome_of(F.col("qseqid")).alias("genome"), F.col("sseqid").alias("cluster")), least=-10)

@@ -207,3 +207,12 @@ def test_config_ranges():
 def test_lifestyle(spark):
     df = spark.createDataFrame([([0.0, 2.0],), ([2.0, 0.0],), (None,)], "logits array<double>")
     assert [r[0] for r in models.lifestyle(df).select("type").collect()] == ["temperate", "virulent", None]
+
+
+def test_shared_clusters_against_fractions(spark):
+    from math import comb, log10
+
+    rows_ = [("a", f"k{i}") for i in range(6)] + [("b", f"k{i}") for i in range(1, 7)] + [("c", f"k{i}") for i in range(20, 26)]
+    got = graph.shared_cluster_edges(spark.createDataFrame(rows_, "genome string, cluster string"), total=40).collect()
+    p = sum(comb(6, i) * comb(34, 6 - i) for i in range(5, 7)) / comb(40, 6)
+    assert [(r["a"], r["b"], r["shared"]) for r in got] == [("a", "b", 5)] and abs(got[0]["weight"] - (-log10(p) - log10(3))) < 1e-9
