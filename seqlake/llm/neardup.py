@@ -157,9 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass makes set size, a 128-bit key of the set, registers and band keys. Equal sets collapse to their
        least id (the class), so copies never meet in pairs.
-    2. Every bucket (band key) compares each class with one leader, another in each band: linear in the bucket.
+    2. Every bucket (band key) compares each class with one leader, the class that meets most others over all its
+       buckets (of a text and its edits, the text): linear in the bucket.
     3. Pairs pass the joint likelihood test, then are verified on full sets; components of the links follow.
-    4. In buckets that still hold several components, classes outside the largest one lead in turn, twice as many
+    4. In buckets that still hold several components, classes outside the largest one lead in turn, four times as many
        each round, against members of other components. A bucket is done when all its outsiders have led or joined,
        so every candidate pair that could still merge two components is compared: no cap, no all-pairs.
 
@@ -177,8 +178,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps.select("id", "n", "regs", "bands"), "near-reps")
     buckets = reps.select("id", F.explode("bands").alias("band"))
     # a bucket of one class has no pair; its count needs no more than a partial sum
-    shared = buckets.groupBy("band").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("band", "id")).alias("leader")).where("size > 1").drop("size")
-    placed = materialize(buckets.join(shared, "band"), "near-buckets")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = materialize(buckets.join(shared, "band"), "near-shared")
+    # how many classes a class meets over its buckets: largest for the text that the others are edits of
+    met = placed.groupBy("id").agg(F.sum("size").alias("met"))
+    placed = materialize(placed.drop("size").join(met, "id"), "near-met")
+    leader = placed.groupBy("band").agg(F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("leader"))
+    placed = materialize(placed.join(leader, "band"), "near-buckets")
 
     links = _links(placed.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), reps, src, percent, shingle, kind)
     links = materialize(links, "near-links")
@@ -186,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = placed.select("band", F.col("leader").alias("id")).distinct()
     turn = 1
     while True:
-        now = placed.select("band", "id").join(comp, placed["id"] == comp["node"], "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+        now = placed.select("band", "id", "met").join(comp, placed["id"] == comp["node"], "left").select("band", "id", "met", F.coalesce("component", "id").alias("comp"))
         now = materialize(now, "near-now")
         per = now.groupBy("band", "comp").agg(F.count("*").alias("n"))
         main = per.groupBy("band").agg(F.max_by("comp", F.struct("n", F.hash("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -195,14 +201,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lead = materialize(_some(outside, turn), "near-lead")
         if lead.isEmpty():
             break
-        l, r = lead.select("band", F.col("id").alias("x"), F.col("comp").alias("xc")), open_.select("band", F.col("id").alias("y"), F.col("comp").alias("yc"))
+        # one that has led in the bucket has been compared with all of it
+        rest = open_.join(led, ["band", "id"], "left_anti")
+        l, r = lead.select("band", F.col("id").alias("x"), F.col("comp").alias("xc")), rest.select("band", F.col("id").alias("y"), F.col("comp").alias("yc"))
         pairs = l.join(r, "band").where("xc <> yc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = materialize(_links(pairs, reps, src, percent, shingle, kind), "near-more")
         led = materialize(led.unionByName(lead.select("band", "id")), "near-led")
         if not found.isEmpty():
             links = materialize(links.unionByName(found), "near-links")
             comp = connected_components(links)
-        turn *= 2
+        turn *= 4
     # rep -> component, then copies -> their class's component
     whole = classes.join(comp, classes["rep"] == comp["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sk.select("id", "n", "set_key").join(whole, "set_key", "left")
@@ -210,10 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _some(outside: DataFrame, turn: int) -> DataFrame:
-    """About `turn` outsiders of each bucket, by hash, and always the first: found by sums, without a window over a bucket."""
-    h = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 20))
-    n = outside.groupBy("band").agg(F.count("*").alias("left"), F.min_by("id", F.struct(h, "id")).alias("first"))
-    return outside.join(n, "band").where((F.col("id") == F.col("first")) | (h * F.col("left") < turn * (1 << 20))).drop("left", "first")
+    """About `turn` outsiders of each bucket, by hash, and always the one that meets most: found by sums, without a window."""
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    n = outside.groupBy("band").agg(F.count("*").alias("left"), F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("first"))
+    return outside.join(n, "band").where((F.col("id") == F.col("first")) | (h * F.col("left") < (turn - 1) * (1 << 20))).drop("left", "first")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, src: DataFrame, percent: int, shingle: int, kind: str) -> DataFrame:
