@@ -18,7 +18,8 @@ from seqlake.llm.wordhash import Words, slices
 HEAD = 50_000
 #: Of these, so many are clustered by exchange; the rest of HEAD then joins the class that suits it best.
 UNITS = 1_000
-#: A word outside HEAD is generated by its form, its last bytes; so many forms are clustered as words are.
+#: Training words outside HEAD get their class by a join. A word never seen is generated by its form, its last bytes; so
+#: many forms are clustered as words are.
 FORMS, FORM_BYTES = 1_000, 2
 CLASSES, SWEEPS = 48, 12
 #: Pseudo-counts that back off transitions to class frequencies, and emissions to a flat one.
@@ -31,7 +32,7 @@ class Model:
 
     words: np.ndarray  # sorted hashes of head words
     word_id: np.ndarray
-    counts: np.ndarray  # training count of each id (form: of its tail words)
+    counts: np.ndarray  # training count of each id (form: its tail words seen once)
     forms: np.ndarray  # sorted codes of forms
     tokens: int
     types: int
@@ -39,6 +40,7 @@ class Model:
     cls: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     trans: np.ndarray = field(default_factory=lambda: np.zeros(0))
     emit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    mass: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each class, all its words and forms
 
     @property
     def n_ids(self) -> int:
@@ -128,6 +130,101 @@ def _summed(docs: DataFrame, m: Model, to: np.ndarray, kind: str, n: int) -> Dat
     return docs.select("text").mapInArrow(_pairs(shared, kind, n), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def _contexts(model, n: int):
+    """Of every adjacent pair, with final classes of all but words outside HEAD (tail words):
+    kind 0, k = left * n + right and its count, where neither is a tail word; kind 1, a row for each tail word h, k =
+    (2 * left + whether it is a tail word) * 2 * n + (2 * right + whether it is), by their forms' classes where they are;
+    kind 2, a row for each tail word g that follows a tail word h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        total = np.zeros(n * n, dtype=np.int64)
+
+        def rows(kind: int, h: np.ndarray, g: np.ndarray, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(g), pa.array(k.astype(np.int64)), pa.array(c)], names=["kind", "h", "g", "k", "n"])
+
+        for b in batches:
+            for _, _, w in slices(b.column(0), lower=True):
+                ids, out = ids_of(w, m)
+                s, starts = stream(w, ids)
+                first = np.zeros(len(s), dtype=bool)
+                first[starts] = True
+                tail, h = np.zeros(len(s), dtype=bool), np.zeros(len(s), dtype=np.int64)
+                place = np.arange(len(ids)) + np.repeat(np.arange(len(starts)), np.diff(w.first))
+                tail[place], h[place] = out, w.hash.view(np.int64)
+                c = m.cls[s]
+                left, before = np.concatenate([[m.cls[0]], c[:-1]]), np.concatenate([[False], tail[:-1]]) & ~first
+                left[first] = m.cls[0]  # a text begins after an end
+                total += np.bincount((left * n + c)[~tail & ~before], minlength=n * n)
+                at = np.flatnonzero(tail)  # never the last token, which is an end
+                one = lambda x: np.ones(len(x), dtype=np.int64)
+                k = (2 * left[at] + before[at]) * 2 * n + 2 * c[at + 1] + tail[at + 1]
+                yield rows(1, h[at], 0 * at, k, one(at))
+                at = np.flatnonzero(tail & before)
+                yield rows(2, h[at - 1], h[at], 0 * at, one(at))
+        k = np.flatnonzero(total)
+        yield rows(0, 0 * k, 0 * k, k, total[k])
+
+    return run
+
+
+def _assign(near: np.ndarray, n: int):
+    """Rows (h, k) sorted by h -> (h, cls): the class under which the neighbours are likeliest; then, with null h, the class
+    pairs k = left * n + right and their counts c of a tail word with neighbours that are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, dtype=np.int64)
+        last, fit, kept = None, np.zeros(near.shape[1]), []
+
+        def settle(k: np.ndarray, cls: np.ndarray) -> None:
+            nonlocal total
+            l, r = k // (2 * n), k % (2 * n)
+            total += np.bincount((l // 2 * n + cls)[l % 2 == 0], minlength=n * n) + np.bincount((cls * n + r // 2)[r % 2 == 0], minlength=n * n)
+
+        def close() -> tuple[list, list]:
+            c = int(fit.argmax())
+            for x in kept:
+                settle(x, np.full(len(x), c))
+            return [last], [c]
+
+        def rows(h: list, cls: list, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            fill = len(k) or len(h)
+            none = lambda x: pa.array(x if len(x) else [None] * fill, pa.int64())
+            return pa.RecordBatch.from_arrays([none(h), none(cls), none(k), none(c)], names=["h", "cls", "k", "c"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
+            sums = np.add.reduceat(near[k // (2 * n) // 2 * 2] + near[k % (2 * n) // 2 * 2 + 1], starts)
+            done_h, done_c = [], []
+            if last is not None and last != h[0]:
+                done_h, done_c = close()
+                fit, kept = np.zeros(near.shape[1]), []
+            sums[0] += fit
+            ends = np.append(starts[1:], len(h))
+            if len(starts) > 1:
+                cls = sums[:-1].argmax(1)
+                for x in kept:
+                    settle(x, np.full(len(x), cls[0]))
+                kept = []
+                settle(k[: starts[-1]], np.repeat(cls, np.diff(starts)))
+                done_h += h[starts[:-1]].tolist()
+                done_c += cls.tolist()
+            kept.append(k[starts[-1] : ends[-1]])
+            last, fit = int(h[-1]), sums[-1]
+            if done_h:
+                yield rows(done_h, done_c, np.zeros(0), np.zeros(0))
+        if last is not None:
+            yield rows(*close(), np.zeros(0), np.zeros(0))
+            k = np.flatnonzero(total)
+            if len(k):
+                yield rows([], [], k, total[k])
+
+    return run
+
+
 def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit: units move, one at a time, to the class that raises the class-bigram likelihood most.
 
@@ -173,12 +270,13 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 
 
 def train(docs: DataFrame, head: int = HEAD, units: int = UNITS, forms: int = FORMS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """(model, counts): counts is (word, c, form) of every training word but the end, kept on shared storage.
+    """(model, counts): counts is (word, c, cls) of every training word but the end, kept on shared storage; cls is null in `head`.
 
     1. Word counts over all training texts. 2. The `units` most frequent words and the forms of words outside `head` are
     clustered by exchange on their bigram counts; the end token has a class of its own. 3. The rest of `head` joins the class
     under which its neighbours' classes, counted over all training texts, are most likely: one distributed exchange step.
-    4. Class transitions and emissions are counted over all training texts.
+    4. So does every word outside `head`, in tasks that each hold the contexts of some words. 5. Class transitions and
+    emissions are counted over all training texts.
     """
     counts = materialize(word_counts(docs).mapInArrow(_hashed, "word string, c bigint, h bigint, form bigint"), "lm-counts")
     ends = docs.count()
@@ -188,14 +286,14 @@ def train(docs: DataFrame, head: int = HEAD, units: int = UNITS, forms: int = FO
     order = np.argsort(h)
     head_h = materialize(docs.sparkSession.createDataFrame(pa.table({"h": pa.array(h.view(np.int64), pa.int64())})), "lm-head")
     tail = counts.join(F.broadcast(head_h), "h", "left_anti")
-    by_form = tail.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    by_form = tail.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once"))
     kept = by_form.orderBy(F.col("n").desc(), "form").limit(forms).toArrow()
     code = kept.column("form").to_numpy().astype(np.int64)
     by = np.argsort(code)
-    f_n, f_v = kept.column("n").to_numpy()[by], kept.column("v").to_numpy()[by]
-    all_tail = tail.agg(F.sum("c"), F.count("*")).first()
-    other_n, other_v = (all_tail[0] or 0) - int(f_n.sum()), all_tail[1] - int(f_v.sum())
-    m = Model(h[order], 1 + order, np.concatenate([[ends], c, f_n, [other_n]]).astype(np.float64), code[by], int((tot[0] or 0) + ends), int(tot[1] + (ends > 0)), np.concatenate([f_v, [other_v]]).astype(np.float64))
+    f_once, f_v = kept.column("once").to_numpy()[by], kept.column("v").to_numpy()[by]
+    all_tail = by_form.agg(F.sum("once"), F.sum("v")).first()
+    other_once, other_v = (all_tail[0] or 0) - int(f_once.sum()), (all_tail[1] or 0) - int(f_v.sum())
+    m = Model(h[order], 1 + order, np.concatenate([[ends], c, f_once, [other_once]]).astype(np.float64), code[by], int((tot[0] or 0) + ends), int(tot[1] + (ends > 0)), np.concatenate([f_v, [other_v]]).astype(np.float64))
 
     n_units = min(units, len(h))
     to = np.full(m.n_ids, -1, dtype=np.int64)
@@ -215,97 +313,146 @@ def train(docs: DataFrame, head: int = HEAD, units: int = UNITS, forms: int = FO
     m.cls[1 : 1 + n_units] = inner[:n_units]
     m.cls[1 + len(h) :] = inner[n_units:]
 
+    known = np.concatenate([m.cls[1 : 1 + n_units], m.cls[1 + len(h) :], [classes]])
+    hot = np.zeros((size, n_cls))
+    hot[np.arange(size), known] = 1
+    t = hot.T @ pairs @ hot + 0.1
+    near = np.empty((2 * n_cls, classes))  # log-likelihood of the class on the left (even) and on the right (odd)
+    near[0::2], near[1::2] = np.log(t / t.sum(1, keepdims=True))[:, :classes], np.log(t / t.sum(0, keepdims=True)).T[:, :classes]
     if len(h) > n_units:  # at most (head - units) * 2 * classes sums
-        known = np.concatenate([m.cls[1 : 1 + n_units], m.cls[1 + len(h) :], [classes]])
-        hot = np.zeros((size, n_cls))
-        hot[np.arange(size), known] = 1
-        t = hot.T @ pairs @ hot + 0.1
-        near = np.log(t / t.sum(1, keepdims=True)), np.log(t / t.sum(0, keepdims=True))
         width = 2 * n_cls
         q = _summed(docs, m, m.cls, "near", width).toArrow()
         k, n = q.column("k").to_numpy(), q.column("n").to_numpy()
         ctx = np.zeros((len(h) - n_units, width))
         ctx[k // width - 1 - n_units, k % width] = n
-        fit = ctx[:, 0::2] @ near[0][:, :classes] + ctx[:, 1::2] @ near[1].T[:, :classes]
-        m.cls[1 + n_units : 1 + len(h)] = fit.argmax(1)
-
-    r = _summed(docs, m, m.cls, "both", n_cls).toArrow()
+        m.cls[1 + n_units : 1 + len(h)] = (ctx @ near).argmax(1)
+
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+    seen = materialize(docs.select("text").mapInArrow(_contexts(shared, n_cls), "kind tinyint, h bigint, g bigint, k bigint, n bigint"), "lm-contexts")
+    own = seen.where("kind = 1").select("h", "k").repartition("h").sortWithinPartitions("h", "k")
+    own = materialize(own.mapInArrow(_assign(near, n_cls), "h bigint, cls bigint, k bigint, c bigint"), "lm-assigned")
+    cls = own.where("h is not null").select("h", "cls")
+    # a word outside head is at most as frequent as any in it, so the keys of these joins are even
+    both = seen.where("kind = 2").groupBy("h", "g").agg(F.sum("n").alias("c"))
+    both = both.join(cls.withColumnRenamed("cls", "l"), "h").join(cls.toDF("g", "r"), "g").select((F.col("l") * n_cls + F.col("r")).alias("k"), "c")
+    r = seen.where("kind = 0").select("k", F.col("n").alias("c")).unionByName(own.where("h is null").select("k", "c")).unionByName(both)
+    r = r.groupBy("k").agg(F.sum("c").alias("n")).toArrow()
     t = np.zeros((n_cls, n_cls))
     k = r.column("k").to_numpy()
     t[k // n_cls, k % n_cls] = r.column("n").to_numpy()
     prior = (t.sum(0) + 0.1) / (t.sum() + 0.1 * n_cls)
     m.trans = np.log10((t + BACK_OFF * prior[None, :]) / (t.sum(1, keepdims=True) + BACK_OFF))
-    n_c = np.bincount(m.cls, weights=m.counts + FLAT, minlength=n_cls)
-    emit = np.log10((m.counts + FLAT) / n_c[m.cls])
-    # a word outside head: its form, then one of the form's words; the join adds log10(count + 1)
-    emit[1 + len(h) :] -= np.log10(m.counts[1 + len(h) :] + m.form_types + 1)
+    counts = materialize(counts.join(cls, "h", "left").select("word", "c", "cls"), "lm-classes")
+    m.mass = np.bincount(m.cls, weights=m.counts + FLAT, minlength=n_cls)
+    for x in counts.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        m.mass[x["cls"]] += x["c"] + FLAT * x["v"]
+    emit = np.log10((m.counts + FLAT) / m.mass[m.cls])
+    # a word never seen: its form, as likely as its words seen once, then one of as many words as the form has
+    emit[1 + len(h) :] -= np.log10(m.form_types + 1)
     m.emit = emit
-    return m, counts.select("word", "c")
+    return m, counts
 
 
 def _score(shared):
-    """Per text: what needs no join, and its words outside HEAD with their numbers."""
+    """Per text: what needs no join; its distinct words outside HEAD with their forms; and where these stand, seq =
+    (number of the word * width + class on the left + 1) * width + class on the right + 1, 0 for another such word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         smooth = np.log10(m.counts + 1)
+        width = len(m.trans) + 1
         for b in batches:
             for i, j, w in slices(b.column(1), lower=True):
                 ids, tail = ids_of(w, m)
                 s, starts = stream(w, ids)
                 c = m.cls[s]
-                left = np.concatenate([[0], c[:-1]])
-                left[starts] = m.cls[0]
-                value = m.trans[left, c] + m.emit[s]
-                out = np.ones(len(s), dtype=bool)  # tokens that the worker knows the count of
+                out = np.ones(len(s), dtype=bool)  # tokens that the worker knows the class and count of
                 text = np.repeat(np.arange(j - i), np.diff(w.first))
-                out[np.arange(len(ids)) + text] = ~tail
+                place = np.arange(len(ids)) + text
+                out[place] = ~tail
+                left, before = np.concatenate([[0], c[:-1]]), np.concatenate([[True], out[:-1]])
+                left[starts], before[starts] = m.cls[0], True
+                value = np.where(out, m.emit[s], 0.0) + np.where(out & before, m.trans[left, c], 0.0)
                 base = np.where(out, smooth[s], 0.0)
                 known = out & (m.counts[s] > 0)
                 n = np.diff(np.append(starts, len(s)))
+                l, r = np.where(before, left + 1, 0), np.where(np.append(out[1:], True), np.append(c[1:], 0) + 1, 0)
+                side = (l * width + r)[place]
                 words: list[list] = []
-                freq: list[list] = []
+                forms: list[list] = []
+                seq: list[list] = []
                 raw = w.data.tobytes()
-                for r in range(j - i):
+                for t in range(j - i):
                     own: dict[bytes, int] = {}
-                    for k in w.first[r] + np.flatnonzero(tail[w.first[r] : w.first[r + 1]]):
+                    form, where = [], []
+                    for k in w.first[t] + np.flatnonzero(tail[w.first[t] : w.first[t + 1]]):
                         x = raw[w.start[k] : w.end[k]].lower()
-                        own[x] = own.get(x, 0) + 1
+                        if x not in own:
+                            own[x] = len(own)
+                            form.append(int(ids[k]))
+                        where.append(own[x] * width * width + int(side[k]))
                     words.append([x.decode("utf-8", "surrogatepass") for x in own])
-                    freq.append(list(own.values()))
+                    forms.append(form), seq.append(where)
                 sums = lambda x: pa.array(np.add.reduceat(x, starts))
+                lists = lambda x: pa.array(x, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(n, pa.int64()), sums(known.astype(np.int64)), sums(base), sums(value), pa.array(words, pa.list_(pa.string())), pa.array(freq, pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "th", "n_tokens", "known", "base", "value", "words", "freq"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(n, pa.int64()), sums(known.astype(np.int64)), sums(base), sums(value), pa.array(words, pa.list_(pa.string())), lists(forms), lists(seq)],
+                    names=["doc_id", "held_out", "th", "n_tokens", "known", "base", "value", "words", "forms", "seq"],
                 )
 
     return run
 
 
+def _tail_score(shared):
+    """Adds words outside HEAD to known, base and value: found is (pos, c, cls) of those that training has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        width = len(m.trans) + 1
+        for b in batches:
+            col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            size = lambda x: np.asarray(x.value_lengths().fill_null(0))
+            form, first = col["forms"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(size(col["forms"]))])
+            cls, emit, count = m.cls[form], m.emit[form], np.zeros(len(form))
+            hit = col["found"].flatten()
+            at = np.repeat(first[:-1], size(col["found"])) + hit.field("pos").to_numpy(zero_copy_only=False)
+            cls[at], count[at] = hit.field("cls").to_numpy(zero_copy_only=False), hit.field("c").to_numpy(zero_copy_only=False)
+            emit[at] = np.log10((count[at] + FLAT) / m.mass[cls[at]])
+            seq, row = col["seq"].flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size(col["seq"]))
+            word = first[row] + seq // width**2
+            l, r, c = seq // width % width - 1, seq % width - 1, cls[word]
+            left = np.where(l >= 0, l, np.concatenate([c[:1], c[:-1]]))
+            value = emit[word] + m.trans[left, c] + np.where(r >= 0, m.trans[c, r], 0.0)
+            add = lambda name, x: pa.array(col[name].to_numpy() + np.bincount(row, weights=x, minlength=b.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [col["doc_id"], col["held_out"], col["n_tokens"], add("known", count[word] > 0).cast(pa.int64()), add("base", np.log10(count[word] + 1)), add("value", value)],
+                names=["doc_id", "held_out", "n_tokens", "known", "base", "value"],
+            )
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text, held_out).
 
-    Null text is empty: one end token. A word of HEAD is scored where it stands. Other words add log10(count + 1) of
-    their exact count, found by a join of (word, text) rows, summed by word and text first; the most frequent words never
+    Null text is empty: one end token. A word of HEAD is scored where it stands. Class and exact count of other words are
+    found by a join of distinct (word, text) rows and brought back to the text's row; the most frequent words never
     enter the join, so its keys are even. Rows that repeat id and text score alike. Empty input gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").withColumn("th", F.xxhash64("text"))
-    rows = src.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, th bigint, n_tokens bigint, known bigint, base double, value double, words array<string>, freq array<bigint>")
+    rows = src.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, th bigint, n_tokens bigint, known bigint, base double, value double, words array<string>, forms array<bigint>, seq array<bigint>")
     rows = materialize(rows, "lm-rows")
-    tail = rows.select("doc_id", "th", F.explode(F.arrays_zip("words", "freq")).alias("x")).select("doc_id", "th", F.col("x.words").alias("word"), F.col("x.freq").alias("tf"))
-    found = tail.join(counts, "word").groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail_log"))
-    # equal (id, text) rows were summed together: divide by their number
-    same = rows.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg(F.count("*").alias("times")).where("times > 1")
-    j = rows.drop("words", "freq").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    j = j.join(same, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    times = F.coalesce("times", F.lit(1))
-    known, log = F.coalesce(F.col("tail_known") / times, F.lit(0)).cast("bigint"), F.coalesce(F.col("tail_log") / times, F.lit(0.0))
+    tail = rows.select("doc_id", "th", F.posexplode("words").alias("pos", "word"))
+    # rows that repeat id and text find the same
+    found = tail.join(counts.where("cls is not null"), "word").groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.collect_set(F.struct("pos", "c", "cls")).alias("found"))
+    j = rows.drop("words").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").drop("f_id", "f_th", "th")
+    j = j.mapInArrow(_tail_score(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, value double")
     flat = F.log10(F.lit(float(model.tokens + model.types + 1)))
     return j.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + known).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * flat).alias("base_score"), (F.col("value") + log).alias("score"),
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * flat).alias("base_score"), F.col("value").alias("score"),
     )
 
 

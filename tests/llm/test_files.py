@@ -11,12 +11,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard as zstd
 from pyspark.sql import functions as F
 
 from seqlake.llm import brown, decontaminate, langid, warc
+from seqlake.llm.wordhash import slices
 
 
 def pages(frame):
@@ -170,6 +172,33 @@ def test_scores_and_base(frame):
     assert np.allclose((10**model.trans).sum(1), 1)
 
 
+def test_rare_words_take_the_class_of_their_contexts(frame):
+    rng = random.Random(9)
+    pool = {k: [f"{k}{x}" for x in "abcd"] for k in "pqr"}
+    text = lambda: [rng.choice(pool["pqr"[j % 3]]) for j in range(30)]
+    rows = [(i, " ".join(text())) for i in range(120)]
+    for i in range(20):  # words of one ending that stand in places of one kind
+        w = text()
+        w[3], w[10], w[20] = f"p{i}zz", f"q{i}zz", f"r{i}zz"
+        rows.append((200 + i, " ".join(w)))
+    df = frame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, counts = brown.train(df, head=12, units=12, forms=4, classes=3)
+    cls = {r["word"]: r["cls"] for r in counts.collect()}
+    for k in "pqr":
+        assert len({cls[f"{k}{i}zz"] for i in range(20)}) == 1
+    assert len({cls[f"{k}0zz"] for k in "pqr"}) == 3 and cls["pa"] is None
+    test = frame([(1, "p1zz qa ra"), (2, "r1zz qa ra"), (3, "pa q1zz r1zz"), (4, "pa r1zz q1zz")], "doc_id long, text string").withColumn("held_out", F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in brown.score(test, model, counts).collect()}
+    assert got[1] > got[2] + 1 and got[3] > got[4] + 1
+    low = [w.split() for _, w in rows]
+    number = dict(zip(model.words.tolist(), model.word_id.tolist(), strict=True))
+    kind = lambda w: model.cls[number[int(next(x for _, _, x in slices(pa.array([w]), True)).hash[0])]] if cls[w] is None else cls[w]
+    pairs = Counter(p for w in low for p in itertools.pairwise([3, *map(kind, w), 3]))
+    t = np.array([[pairs[a, b] for b in range(4)] for a in range(4)])
+    prior = (t.sum(0) + 0.1) / (t.sum() + 0.4)
+    assert np.allclose(10**model.trans, (t + brown.BACK_OFF * prior) / (t.sum(1, keepdims=True) + brown.BACK_OFF))
+
+
 def test_exchange_finds_the_classes():
     kinds = [0, 1, 2] * 5
     pairs = np.array([[float(kinds[b] == (kinds[a] + 1) % 3) * 9 + 0.1 for b in range(15)] for a in range(15)])
