@@ -63,20 +63,23 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def markov_clusters(edges: DataFrame, inflation: float = 2.0, max_nodes: int = 5000) -> DataFrame:
     """(node, cluster) of weighted edges (a, b, w): expansion and inflation until steady, cluster = its least node.
 
-    Flow never leaves a connected component, so each is clustered alone, in one task of its own. A component
-    over max_nodes is refused: its dense matrix would not fit a task; raise the edge threshold.
+    Flow never leaves a connected component, so each is clustered alone, in one task of its own; components over
+    max_nodes, whose dense matrix would not fit a task, as tables of matrix entries. Entries under 1e-5 of their column's
+    largest are dropped, so no column is ever empty.
     """
     cc = components(edges.select("a", "b"))
     own = edges.join(cc, edges["a"] == cc["node"]).select("component", "a", "b", "w")
     alone = edges.where("a = b").select("a").distinct().join(cc, F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("node"), F.col("a").alias("cluster"))
     kind = edges.schema["a"].dataType.simpleString()
+    big = materialize(cc.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_nodes).select("component"), "mcl-big")
+    if not big.isEmpty():
+        alone = alone.unionByName(_sparse_markov(own.join(big, "component", "left_semi"), inflation))
+        own = own.join(big, "component", "left_anti")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        if len(names) > max_nodes:
-            raise ValueError(f"component {key[0]} has {len(names)} nodes, over {max_nodes}")
         at = {x: i for i, x in enumerate(names)}
         m = np.zeros((len(names), len(names)))
         for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
@@ -86,12 +89,12 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, max_nodes: int = 5
         m /= m.sum(0)
         for _ in range(100):
             new = (m @ m) ** inflation
-            new[new < 1e-5] = 0
+            new[new < 1e-5 * new.max(0)] = 0
             new /= new.sum(0)
             if np.abs(new - m).max() < 1e-8:
                 break
             m = new
-        to = {i: i for i in range(len(names))}
+        to, top = {i: i for i in range(len(names))}, m.max(0)
 
         def find(i: int) -> int:
             while to[i] != i:
@@ -99,7 +102,7 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, max_nodes: int = 5
             return i
 
         for r in range(len(names)):
-            members = np.flatnonzero(m[r] > 1e-6)
+            members = np.flatnonzero(m[r] > 1e-6 * top)
             for x in members[1:]:
                 a, b = sorted((find(members[0]), find(x)))
                 to[b] = a
@@ -108,6 +111,67 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, max_nodes: int = 5
     return own.groupBy("component").applyInPandas(run, f"node {kind}, cluster {kind}").unionByName(alone)
 
 
+def _sparse_markov(own: DataFrame, inflation: float) -> DataFrame:
+    """(node, cluster) of edges (component, a, b, w) by the steps of markov_clusters on matrix entries (i, j, v)."""
+    nodes = own.select("component", F.col("a").alias("node")).union(own.select("component", "b")).distinct()
+    nodes = materialize(number_rows(nodes, [F.col("component"), F.col("node")], "no").select("node", F.col("no").cast("bigint").alias("no")), "mcl-nodes")
+    e = own.join(nodes.toDF("a", "i"), "a").join(nodes.toDF("b", "j"), "b").where("w > 0").select("i", "j", F.col("w").cast("double").alias("v"))
+    e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("i", "j").agg(F.max("v").alias("v"))
+    e = materialize(e, "mcl-edges")
+    # a loop as strong as the strongest edge
+    loops = e.select("i", "v").unionByName(nodes.select(F.col("no").alias("i"), F.lit(1e-9).alias("v"))).groupBy("i").agg(F.max("v").alias("v"))
+    m = _stochastic(e.where("i <> j").unionByName(loops.select("i", F.col("i").alias("j"), "v")))
+    for _ in range(100):
+        new = _squared(m).withColumn("v", F.pow("v", F.lit(inflation)))
+        new = materialize(new, "mcl-square")
+        top = new.groupBy("j").agg(F.max("v").alias("top"))
+        new = _stochastic(new.join(top, "j").where("v >= 1e-5 * top").select("i", "j", "v"))
+        both = m.unionByName(new.withColumn("v", -F.col("v"))).groupBy("i", "j").agg(F.abs(F.sum("v")).alias("d"))
+        if both.agg(F.max("d")).first()[0] < 1e-8:
+            break
+        m = new
+    top = m.groupBy("j").agg(F.max("v").alias("top"))
+    flow = materialize(m.join(top, "j").where("v > 1e-6 * top").select("i", "j"), "mcl-flow")
+    groups = components(flow.join(flow.groupBy("i").agg(F.min("j").alias("a")), "i").select("a", F.col("j").alias("b")))
+    c = nodes.join(groups.toDF("no", "c"), "no", "left").select("node", F.coalesce("c", "no").alias("c"))
+    # numbers rise with the names, so the least number is the least name
+    return c.join(nodes.select(F.col("no").alias("c"), F.col("node").alias("cluster")), "c").select("node", "cluster")
+
+
+def _stochastic(m: DataFrame) -> DataFrame:
+    """Matrix entries (i, j, v) divided by the sum of their column j."""
+    return materialize(m.join(m.groupBy("j").agg(F.sum("v").alias("sum")), "j").select("i", "j", (F.col("v") / F.col("sum")).alias("v")), "mcl-matrix")
+
+
+def _squared(m: DataFrame, side: int = 1024) -> DataFrame:
+    """The matrix product of entries (i, j, v) with themselves: by a join of entries where that makes fewer rows,
+    else by dense products of blocks of `side` rows and columns, each task holding two blocks."""
+    by = m.select(F.col("i").alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(m.select(F.col("j").alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    joined = by.groupBy("k").agg((F.sum("l") * F.sum("r")).alias("n")).agg(F.sum("n")).first()[0]
+    b = m.withColumns({"bi": F.floor(F.col("i") / side), "bj": F.floor(F.col("j") / side)})
+    sizes = materialize(b.groupBy("bi", "bj").agg(F.count("*").alias("n")), "mcl-blocks")
+    left, right = sizes.select("bi", F.col("bj").alias("bk"), F.col("n").alias("ln")), sizes.select(F.col("bi").alias("bk"), "bj", F.col("n").alias("rn"))
+    per = left.groupBy("bk").agg(F.count("*").alias("lb"), F.sum("ln").alias("ln")).join(right.groupBy("bk").agg(F.count("*").alias("rb"), F.sum("rn").alias("rn")), "bk")
+    if joined <= per.agg(F.sum(F.col("lb") * F.col("rn") + F.col("rb") * F.col("ln"))).first()[0]:
+        x, y = m.select("i", F.col("j").alias("k"), F.col("v").alias("x")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+        return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    x = b.withColumnRenamed("bj", "bk").join(right.select("bk", "bj"), "bk").select("bi", "bk", "bj", "i", "j", "v")
+    y = b.withColumnRenamed("bi", "bk").join(left.select("bi", "bk"), "bk").select(F.col("bi").alias("ci"), F.col("bk").alias("ck"), F.col("bj").alias("cj"), F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("u"))
+
+    def product(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        bi, bk, bj = (int(z) * side for z in key)
+        one, two = np.zeros((side, side)), np.zeros((side, side))
+        one[p["i"] - bi, p["j"] - bk] = p["v"]
+        two[q["k"] - bk, q["l"] - bj] = q["u"]
+        out = one @ two
+        i, j = np.nonzero(out)
+        return pd.DataFrame({"i": i + bi, "j": j + bj, "v": out[i, j]})
+
+    return x.groupBy("bi", "bk", "bj").cogroup(y.groupBy("ci", "ck", "cj")).applyInPandas(product, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def propagate(members: DataFrame) -> DataFrame:
     """Labels spread in clusters: (cluster, node, length, is_ref, genus, lineage) -> adds new_genus and new_lineage.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,29 @@ def test_components_markov_and_names(spark):
     assert dict(rows(named, "node", "name")) == {1: "group_1", 2: "group_1", 5: "singleton", 8: "group_2", 9: "group_2"}
 
 
+def test_markov_beyond_the_bound(spark):
+    e = [(a, b, 1.0 + (a * b) % 3) for a in range(12) for b in range(a)] + [(a, b, 1.0) for a in range(20, 30) for b in range(20, a)] + [(3, 20, 0.05), (20, 20, 3.0), (40, 41, 1.0), (50, 50, 1.0)]
+    df = spark.createDataFrame(e, "a int, b int, w double")
+    want = {**{i: 0 for i in range(12)}, **{i: 20 for i in range(20, 30)}, 40: 40, 41: 40, 50: 50}
+    assert dict(rows(graph.markov_clusters(df))) == want
+    assert dict(rows(graph.markov_clusters(df, max_nodes=10))) == want
+
+
+def test_markov_large_clique_is_one_cluster(spark):
+    e = spark.range(330).toDF("a").crossJoin(spark.range(330).toDF("b")).where("a < b").withColumn("w", F.lit(1.0))
+    assert {c for _, c in rows(graph.markov_clusters(e))} == {0}
+
+
+def test_matrix_square_by_blocks_and_by_join(spark):
+    m = spark.range(900).selectExpr("id div 30 + 1 as i", "id % 30 + 1 as j", "(id * 7 % 11) / 10D as v")
+    dense = np.array([[(k * 7 % 11) / 10 for k in range(30 * r, 30 * r + 30)] for r in range(30)])
+    for side in (8, 1):
+        got = np.zeros((30, 30))
+        for r in graph._squared(m, side).collect():
+            got[r["i"] - 1, r["j"] - 1] = r["v"]
+        assert np.allclose(got, dense @ dense)
+
+
 def test_propagation(spark):
     m = spark.createDataFrame(
         [(1, "a", 9, False, None, None), (1, "b", 8, False, "G", "l"), (2, "c", 5, True, "H", "x"), (2, "d", 7, False, None, None), (3, "e", 1, True, "H", "x"), (3, "f", 1, True, "I", "y"), (3, "g", 1, False, None, "z")],
