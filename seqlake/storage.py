@@ -15,13 +15,29 @@ def _own_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of our own, but only if all tasks run in this machine's JVM."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + _own_scratch()).rstrip('/')}/seqlake-{spark.sparkContext.applicationId}"
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: the master is {master}")
+        base = "file://" + _own_scratch()
+    return f"{base.rstrip('/')}/seqlake-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to shared storage and read it back with its schema."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by materialize() that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("_scratch_path", None) if t is not None else None
+        if path:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
