@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.storage import materialize, scratch_dir
+from seqlake.storage import discard, materialize, scratch_dir
 
-__all__ = ["OWN", "SPACES", "SPACE_RUN", "bounded_broadcast", "materialize", "scratch_dir", "table", "word_count", "words"]
+__all__ = ["OWN", "SPACES", "SPACE_RUN", "bounded_broadcast", "discard", "materialize", "scratch_dir", "table", "word_count", "words"]
 
 #: The whitespace of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import OWN, materialize, table
+from seqlake.llm.common import OWN, bounded_broadcast, discard, materialize, table
 from seqlake.llm.wordhash import Words, mix, slices
 from seqlake.operators.graph import components as connected_components
 
@@ -21,12 +21,14 @@ LIMIT = 65_534
 #: 25 bands of 5 registers: a pair at similarity 0.85 is missed with probability (1 - 0.85**5)**25 = 4e-7.
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
+#: Registers of the likelihood test, apart from those of the bands; only texts that share a bucket get them.
+FINE = 512
 #: A candidate goes on unless the threshold is this many nats less likely than the best similarity (about 5 sigma).
 NATS = 12.5
-_MULT = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ADD = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-#: Hashes are sketched in blocks, so a very long text needs no more memory than its own words.
-BLOCK = 4096
+#: A shingle is rare if at most so many of the texts in open buckets hold it.
+RARE = 8
+#: Row keys of 8 bytes are broadcast up to this number (32 MB of hash table); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingle_set(w: Words, i: int, size: int) -> np.ndarray:
@@ -41,53 +43,96 @@ def shingle_set(w: Words, i: int, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def least(hashes: np.ndarray) -> np.ndarray:
-    """For each of M hash functions the least value over a set; two sets' merge by np.minimum."""
-    out = np.full(M, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(hashes), BLOCK):
-        x = hashes[a : a + BLOCK, None] * _MULT + _ADD
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(out, x.min(axis=0), out=out)
-    return out
+def least(sets: list[np.ndarray], m: int = M, seed: int = 1) -> np.ndarray:
+    """For each set (none empty) the least of its elements' exponential variates in each of m registers.
+
+    An element's variates come in ascending order, as a Poisson process of its own hash: each point falls into a random
+    register, so the first point in a register is exponential and the registers are independent. Only points up to a
+    limit that fills all registers are made, about m * (ln m + 3) for a set of any size; a set with a register left
+    empty goes again with twice the limit. Minima of two sets merge by np.minimum.
+    """
+    n = np.array([len(s) for s in sets])
+    best = np.full(len(sets) * m, np.inf)
+    limit = m * (math.log(m) + 3) / n
+    rows = np.arange(len(sets))
+    while len(rows):
+        h = np.concatenate([sets[r] for r in rows]) ^ mix(np.array([seed], dtype=np.uint64))
+        base, end, x = np.repeat(rows * m, n[rows]), np.repeat(limit[rows], n[rows]), np.zeros(int(n[rows].sum()))
+        step = 0
+        while len(h):
+            step += 1
+            z = mix(h + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            # 40 bits give the gap to the next point, the other 24 its register
+            x = x - np.log(((z >> np.uint64(24)).astype(np.float64) + 0.5) / float(1 << 40))
+            on = x <= end
+            if not on.all():
+                h, base, end, x, z = h[on], base[on], end[on], x[on], z[on]
+            np.minimum.at(best, base + ((z & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64), x)
+        rows = rows[np.isinf(best.reshape(-1, m)[rows]).any(1)]
+        limit[rows] *= 2
+    return best.reshape(-1, m) / m
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
-    """SetSketch registers of hash minima: the minimum of uniforms gives the least exponential variate by inversion."""
-    u = (minima >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    x = -np.log1p(-np.minimum(u, 1 - 2.0**-53)) / RATE
-    k = np.floor(1 - np.log(np.maximum(x, 1e-300)) / math.log(B))
+    """SetSketch registers of least exponential variates."""
+    k = np.floor(1 - np.log(np.maximum(minima / RATE, 1e-300)) / math.log(B))
     return np.clip(k, 0, LIMIT).astype("<u2")
 
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for i, j, w in slices(b.column(1), lower=True):
-                n, key, regs, bands = [], [], [], []
-                for r in range(j - i):
-                    s = shingle_set(w, r, size)
-                    n.append(len(s))
-                    if not len(s):
-                        key.append(None), regs.append(None), bands.append(None)
-                        continue
-                    # two independent sums over the set: equal for equal sets, whatever the order
-                    key.append(int(np.bitwise_xor.reduce(mix(s))).to_bytes(8, "little") + int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))).to_bytes(8, "little"))
-                    k = registers(least(s))
-                    regs.append(k.tobytes())
-                    g = np.arange(1, BANDS + 1, dtype=np.uint64)
+            for i, j, w in slices(b.column(2), lower=True):
+                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                full = [s for s in sets if len(s)]
+                g = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(full), axis=0)
+                if full:
+                    k = registers(least(full)).reshape(-1, BANDS, ROWS)
                     for c in range(ROWS):
-                        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + k[c::ROWS].astype(np.uint64) + np.uint64(1))
-                    bands.append(g.view(np.int64))
+                        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + k[:, :, c].astype(np.uint64) + np.uint64(1))
+                # two independent sums over the set: equal for equal sets, whatever the order
+                lo = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
+                hi = np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], dtype=np.uint64)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32))
+                bands = pa.ListArray.from_arrays(ends, pa.array(g.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), bands],
+                    names=["id", "key", "n", "lo", "hi", "bands"],
+                )
+
+    return run
+
+
+def _fine(size: int):
+    """(no, text) -> (no, n, regs, text): registers for the likelihood test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in slices(b.column(1), lower=True):
+                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                regs = registers(least(sets, FINE, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n", "set_key", "regs", "bands"],
+                    [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), b.column(1).slice(i, j - i)],
+                    names=["no", "n", "regs", "text"],
                 )
 
     return run
 
 
+def _each_shingle(size: int):
+    """(no, comp, text) -> (h, no, comp), a row for each shingle of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in slices(b.column(2), lower=True):
+                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                row = pa.array(np.repeat(np.arange(i, j), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(row), b.column(1).take(row)], names=["h", "no", "comp"])
+
+    return run
+
+
 def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """Joint estimation: of pairs of register rows, those whose likeliest similarity is at least `threshold`, or not
     clearly below it by the counts of <, =, >.
@@ -104,7 +149,7 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
     def score(j):
         a, b = p(u[:, None] - v[:, None] * j), p(v[:, None] - u[:, None] * j)
         safe = lambda c, q: np.where(c[:, None] > 0, c[:, None] * np.log(np.maximum(q, 1e-12)), 0)
-        return safe(more, a) + safe(less, b) + safe(M - more - less, 1 - a - b)
+        return safe(more, a) + safe(less, b) + safe(ra.shape[1] - more - less, 1 - a - b)
 
     at = np.minimum(threshold, top)[:, None]
     every = score(grid)
@@ -115,15 +160,14 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
 def _screen(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {f.name: b.column(i) for i, f in enumerate(b.schema)}
             if not b.num_rows:
                 continue
-            read = lambda x: np.frombuffer(b"".join(x.to_pylist()), dtype="<u2").reshape(-1, M)
+            c = {f.name: b.column(i) for i, f in enumerate(b.schema)}
             ok = np.empty(b.num_rows, dtype=bool)
             for i in range(0, b.num_rows, 2000):
-                s = slice(i, i + 2000)
-                num = lambda x: x.to_numpy(zero_copy_only=False)[s].astype(float)  # noqa: E731, B023
-                ok[s] = likely(read(c["ra"][s]), read(c["rb"][s]), num(c["na"]), num(c["nb"]), threshold)
+                read = lambda x: np.frombuffer(b"".join(x.slice(i, 2000).to_pylist()), dtype="<u2").reshape(-1, FINE)  # noqa: B023, E731
+                num = lambda x: x.slice(i, 2000).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+                ok[i : i + 2000] = likely(read(c["ra"]), read(c["rb"]), num(c["na"]), num(c["nb"]), threshold)
             yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], names=["a", "b"])
 
     return run
@@ -149,101 +193,203 @@ def _verify(percent: int, size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) for each distinct id of docs.
+def _row_key(docs: DataFrame) -> Column:
+    """Hash of a whole row (but its maps, which have none): what tells rows of one id apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith("map")])
 
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; two documents are linked when the Jaccard similarity of their
-    sets of `shingle`-word shingles is at least percent/100; component_id is the least id that links reach.
 
-    1. One pass makes set size, a 128-bit key of the set, registers and band keys. Equal sets collapse to their
-       least id (the class), so copies never meet in pairs.
-    2. Every bucket (band key) compares each class with one leader, the class that meets most others over all its
-       buckets (of a text and its edits, the text): linear in the bucket.
-    3. Pairs pass the joint likelihood test, then are verified on full sets; components of the links follow.
-    4. In buckets that still hold several components, classes outside the largest one lead in turn, four times as many
-       each round, against members of other components. A bucket is done when all its outsiders have led or joined,
-       so every candidate pair that could still merge two components is compared: no cap, no all-pairs.
-
-    Null text or text without words: n_shingles 0, alone. Rows with a null id are left out (they can't be named in a
-    link); rows that repeat an id count as one document with their union's least set. Empty input: no rows.
+def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, key, n, best) for each row of docs: key the hash of the row, n the size of its set, best the (last, id, key)
+    that stands for its group (null if it has no word). See near_duplicates().
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    src = docs.select(F.col(id_col).alias("id"), _row_key(docs).alias("key"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    sk = src.mapInArrow(_sketch(shingle), f"id {kind}, n bigint, set_key binary, regs binary, bands array<bigint>")
-    sk = materialize(sk, "near-sketch")
-    member = sk.where("n > 0").select("id", "set_key")
-    classes = materialize(member.groupBy("set_key").agg(F.min("id").alias("rep")), "near-classes")
-    reps = sk.where("n > 0").join(classes.withColumnRenamed("set_key", "k"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("k")), "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "regs", "bands"), "near-reps")
-    buckets = reps.select("id", F.explode("bands").alias("band"))
-    # a bucket of one class has no pair; its count needs no more than a partial sum
-    shared = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    sk = materialize(src.mapInArrow(_sketch(shingle), f"id {kind}, key bigint, n bigint, lo bigint, hi bigint, bands array<bigint>"), "near-sketch")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best")
+    classes = sk.where("n > 0").groupBy("lo", "hi").agg(first)
+    classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "near-classes")
+    rep = classes.select("lo", "hi", F.col("best.id").alias("rep_id"), F.col("best.key").alias("key"), "no")
+    reps = sk.join(rep, ["lo", "hi", "key"]).where(F.col("id").eqNullSafe(F.col("rep_id")))
+    buckets = reps.select("no", "n", F.explode("bands").alias("band"))
+    # a bucket of one class has no pair; partial sums tell
+    shared = buckets.groupBy("band").agg(F.min("no").alias("x"), F.max("no").alias("y"), F.count("*").alias("size")).where("x < y").select("band", "size")
     placed = materialize(buckets.join(shared, "band"), "near-shared")
+    met = placed.groupBy("no", "n").agg(F.sum("size").alias("met"))
     # how many classes a class meets over its buckets: largest for the text that the others are edits of
-    met = placed.groupBy("id").agg(F.sum("size").alias("met"))
-    placed = materialize(placed.drop("size").join(met, "id"), "near-met")
-    leader = placed.groupBy("band").agg(F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("leader"))
-    placed = materialize(placed.join(leader, "band"), "near-buckets")
+    met = materialize(met, "near-met")
+    texts = _texts(src, sk, rep, met, shingle)
+    comp = _links_of(placed, met, reps, texts, percent, shingle)
+    discard(placed, met, texts)
+
+    of = classes.join(comp, classes["no"] == comp["node"], "left").select("lo", "hi", "best", F.coalesce("component", "no").alias("component"))
+    of = materialize(of, "near-components")
+    best = of.groupBy("component").agg(F.min("best").alias("best"))
+    whole = of.drop("best").join(best, "component").select(F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"), "best")
+    return sk.select("id", "key", "n", "lo", "hi").join(whole, (F.col("n") > 0) & (F.col("lo") == F.col("c_lo")) & (F.col("hi") == F.col("c_hi")), "left").select("id", "key", "n", "best")
+
+
+def _texts(src: DataFrame, sk: DataFrame, rep: DataFrame, met: DataFrame, shingle: int) -> DataFrame:
+    """(no, n, regs, text) of one row of each class that shares a bucket."""
+    need = rep.join(met.select("no"), "no").select(F.col("rep_id"), F.col("key").alias("rep_key"), "no")
+    need = bounded_broadcast(materialize(need, "near-need"), BROADCAST_KEYS)
+    own = src.join(need, (F.col("key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("no", "text")
+    t = materialize(own.mapInArrow(_fine(shingle), "no bigint, n bigint, regs binary, text string"), "near-texts")
+    # rows alike in everything stand for one class together: one of them is enough
+    twice = t.groupBy("no").agg(F.count("*").alias("c")).where("c > 1").select("no")
+    if twice.isEmpty():
+        return t
+    one = t.join(twice, "no", "left_anti").unionByName(t.join(twice, "no", "left_semi").dropDuplicates(["no"]))
+    out = materialize(one, "near-texts")
+    discard(t)
+    return out
+
+
+def _links_of(placed: DataFrame, met: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, component) of classes with a link. placed: (band, no, n, size); met: (no, n, met)."""
+    ranked = placed.drop("size").join(met.select("no", "met"), "no")
+    buckets = materialize(ranked, "near-buckets")
+    leader = buckets.groupBy("band").agg(F.max_by(F.struct("no", "n"), F.struct("met", F.xxhash64("no"), "no")).alias("leader"))
+    led = materialize(leader.select("band", F.col("leader.no").alias("no")), "near-led")
+    l, n = F.col("leader"), F.col("n")
+    pairs = buckets.join(leader, "band").where((F.col("no") != l["no"]) & (100 * F.least(n, l["n"]) >= percent * F.greatest(n, l["n"])))
+    links = _links(pairs.select(F.least(l["no"], F.col("no")).alias("a"), F.greatest(l["no"], F.col("no")).alias("b")).distinct(), texts, percent, shingle)
+    comp = connected_components(links)
 
-    links = _links(placed.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), reps, src, percent, shingle, kind)
-    links = materialize(links, "near-links")
+    # classes of buckets that hold several components: shingles they share with few others, and with more
+    label = lambda x: x.join(comp, x["no"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "no")).drop("node", "component")
+    now = materialize(label(buckets), "near-now")
+    some = now.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("lo")).where("x < y").select("band", "lo")
+    pool = materialize(now.join(some, "band"), "near-open")
+    discard(now)
+    open_ = pool.select("no", "n", "comp").distinct()
+    held = open_.join(texts.select("no", "text"), "no").select("no", "comp", "text").mapInArrow(_each_shingle(shingle), "h bigint, no bigint, comp bigint")
+    held = materialize(held, "near-shingles")
+    often = held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    held2 = materialize(held.join(often, "h"), "near-often")
+    discard(held)
+    # core: how many of a class's shingles are not rare
+    core = materialize(open_.select("no", "n").join(held2.where(F.col("c") > RARE).groupBy("no").agg(F.count("*").alias("core")), "no", "left").select("no", "n", F.coalesce("core", F.lit(0)).alias("core")), "near-core")
+    lists = held2.where(F.col("c") <= RARE).groupBy("h").agg(F.collect_list(F.struct("no", "comp")).alias("l"))
+    both = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (x["no"] < y["no"]) & (x["comp"] != y["comp"])), lambda y: F.struct(x["no"].alias("a"), y["no"].alias("b")))))
+    rare = lists.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
+    side = lambda x: core.toDF(x, "n" + x, "core" + x)
+    rare = rare.join(side("a"), "a").join(side("b"), "b").where(_may(percent, F.least("corea", "coreb") + F.col("r"), F.col("na"), F.col("nb")))
+    links = _with(links, _links(rare.select("a", "b"), texts, percent, shingle))
+    discard(held2, comp)
     comp = connected_components(links)
-    led = placed.select("band", F.col("leader").alias("id")).distinct()
-    turn = 1
+
+    # pairs without a rare shingle share at most their cores: what passes that bound is compared bucket by bucket
+    m, n, lo = F.col("core"), F.col("n"), F.col("lo")
+    fits = F.when(m <= lo, 100 * m >= percent * (n + lo - m)).otherwise(100 * m >= percent * n)
+    old = pool
+    pool = pool.drop("comp").join(core.select("no", "core"), "no").where(fits)
+    pool = materialize(pool.join(reps.select("no", "bands").dropDuplicates(["no"]), "no"), "near-pool")
+    discard(old, core)
+    turn = 16
     while True:
-        now = placed.select("band", "id", "met").join(comp, placed["id"] == comp["node"], "left").select("band", "id", "met", F.coalesce("component", "id").alias("comp"))
-        now = materialize(now, "near-now")
-        per = now.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        main = per.groupBy("band").agg(F.max_by("comp", F.struct("n", F.hash("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-        open_ = materialize(now.join(main, "band"), "near-open")
-        outside = open_.where("comp <> main").join(led, ["band", "id"], "left_anti")
+        now = materialize(label(pool), "near-now")
+        per = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
+        main = per.groupBy("band").agg(F.max_by("comp", F.struct("k", F.hash("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+        outside = now.join(main, "band").where("comp <> main").join(led, ["band", "no"], "left_anti")
         lead = materialize(_some(outside, turn), "near-lead")
         if lead.isEmpty():
+            discard(now, lead)
             break
         # one that has led in the bucket has been compared with all of it
-        rest = open_.join(led, ["band", "id"], "left_anti")
-        l, r = lead.select("band", F.col("id").alias("x"), F.col("comp").alias("xc")), rest.select("band", F.col("id").alias("y"), F.col("comp").alias("yc"))
-        pairs = l.join(r, "band").where("xc <> yc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = materialize(_links(pairs, reps, src, percent, shingle, kind), "near-more")
-        led = materialize(led.unionByName(lead.select("band", "id")), "near-led")
+        rest = now.join(led, ["band", "no"], "left_anti")
+        cols = ("no", "n", "core", "comp", "bands")
+        x, y = (t.select("band", F.struct(*cols).alias(c)) for t, c in ((lead, "x"), (rest, "y")))
+        cx, cy = F.col("x"), F.col("y")
+        common = F.array_position(F.zip_with(cx["bands"], cy["bands"], lambda a, b: a == b), True)
+        at = F.array_position(cx["bands"], F.col("band"))
+        # the size test first, then a pair only in the first bucket that both are in
+        pairs = x.join(y, "band").where((cx["comp"] != cy["comp"]) & _may(percent, F.least(cx["core"], cy["core"]), cx["n"], cy["n"]) & (common == at))
+        found = _links(pairs.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b")).distinct(), texts, percent, shingle)
+        more = materialize(led.unionByName(lead.select("band", "no")), "near-led")
+        discard(led, lead, now)
+        led = more
         if not found.isEmpty():
-            links = materialize(links.unionByName(found), "near-links")
+            links = _with(links, found)
+            discard(comp)
             comp = connected_components(links)
-        turn *= 4
-    # rep -> component, then copies -> their class's component
-    whole = classes.join(comp, classes["rep"] == comp["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sk.select("id", "n", "set_key").join(whole, "set_key", "left")
-    return out.groupBy("id").agg(F.min("n").alias("n_shingles"), F.min(F.coalesce("component", "id")).alias("component_id"))
+        turn *= 16
+    discard(led, pool, links, buckets)
+    return comp
+
+
+def _with(links: DataFrame, more: DataFrame) -> DataFrame:
+    out = materialize(links.unionByName(more), "near-links")
+    discard(links, more)
+    return out
+
+
+def _may(percent: int, shared: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes a and b that share at most `shared` elements can reach the threshold."""
+    return 100 * shared >= percent * (a + b - shared)
 
 
 def _some(outside: DataFrame, turn: int) -> DataFrame:
     """About `turn` outsiders of each bucket, by hash, and always the one that meets most: found by sums, without a window."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    n = outside.groupBy("band").agg(F.count("*").alias("left"), F.max_by("id", F.struct("met", F.xxhash64("id"), "id")).alias("first"))
-    return outside.join(n, "band").where((F.col("id") == F.col("first")) | (h * F.col("left") < (turn - 1) * (1 << 20))).drop("left", "first")
+    h = F.pmod(F.xxhash64("no"), F.lit(1 << 20))
+    n = outside.groupBy("band").agg(F.count("*").alias("left"), F.max_by("no", F.struct("met", F.xxhash64("no"), "no")).alias("first"))
+    return outside.join(n, "band").where((F.col("no") == F.col("first")) | (h * F.col("left") < (turn - 1) * (1 << 20))).drop("left", "first", "main")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, src: DataFrame, percent: int, shingle: int, kind: str) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) that are linked: likelihood test on registers, then exact sets of whole texts."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("regs").alias("r" + x), F.col("n").alias("n" + x))
-    likely_ = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), f"a {kind}, b {kind}")
+    side = lambda x: texts.select(F.col("no").alias(x), F.col("regs").alias("r" + x), F.col("n").alias("n" + x))
+    likely_ = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), "a bigint, b bigint")
     likely_ = materialize(likely_, "near-likely")
-    need = likely_.select(F.col("a").alias("id")).union(likely_.select("b")).distinct()
-    texts = materialize(src.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-    both = likely_.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), f"a {kind}, b {kind}")
+    both = likely_.join(texts.select(F.col("no").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("no").alias("a"), F.col("text").alias("ta")), "a")
+    out = materialize(both.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), "a bigint, b bigint"), "near-found")
+    discard(likely_)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs.
+
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; two documents are linked when the Jaccard similarity of their
+    sets of `shingle`-word shingles is at least percent/100; component_id is the least id that links reach.
+
+    1. One pass makes set size, a 128-bit key of the set and band keys. Equal sets collapse to a class, so copies never
+       meet in pairs; only classes that share a bucket get the registers of the likelihood test.
+    2. Every bucket (band key) compares each class with one leader, the class that meets most others over all its
+       buckets (of a text and its edits, the text): linear in the bucket.
+    3. Pairs of possible sizes pass the joint likelihood test, then are verified on full sets; components of the links follow.
+    4. In buckets that still hold several components, shingles are counted. Pairs that share a rare one are found under
+       it, at most RARE * (RARE - 1) / 2 for each. All others share at most the part of their sets that is not rare;
+       if that can't reach the threshold they are no link, which settles edits of one text that are too far from it.
+    5. What is left leads in its buckets in turn, more each round, against members of other components, each pair in the
+       first bucket that holds both. A bucket is done when all classes outside its largest component have led or
+       joined, so every candidate pair that could still merge two components is compared: no cap, no all-pairs.
+
+    Null text or text without words: n_shingles 0, alone. A null id comes after every other: it names a group only if no
+    other id is in it. Rows that repeat an id are documents of their own. Extra columns are ignored. Empty input: no rows.
+    """
+    g = groups(docs.select(id_col, text_col), id_col, text_col, shingle, percent)
+    return g.select("id", F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each near-duplicate group (the least id), same columns; rows with a null id all stay."""
-    keep = near_duplicates(docs, id_col, text_col, shingle, percent).where(F.col("id") == F.col("component_id")).select(F.col("id").alias(OWN + "id"))
-    kept = docs.join(keep, F.col(id_col) == F.col(OWN + "id"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each near-duplicate group, same columns: that of the least id, a null id last, then of the
+    least row hash; of rows alike in all columns one stays. Rows without a word are in no group and all stay.
+    """
+    g = groups(docs, id_col, text_col, shingle, percent)
+    best = F.col("best")
+    stays = best.isNull() | (F.col("id").eqNullSafe(best["id"]) & (F.col("key") == best["key"]))
+    g = materialize(g.select("id", "key", "n", stays.alias("stays")), "near-stays")
+    gone = materialize(g.where("not stays").select(F.col("key").alias(OWN + "gone"), F.col("id").alias(OWN + "id")).distinct(), "near-gone")
+    twice = materialize(g.where("stays and n > 0").groupBy("id", "key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias(OWN + "gone"), F.col("id").alias(OWN + "id")), "near-twice")
+    rows = docs.withColumn(OWN + "key", _row_key(docs))
+    on = (F.col(OWN + "key") == F.col(OWN + "gone")) & F.col(id_col).eqNullSafe(F.col(OWN + "id"))
+    out = rows.join(bounded_broadcast(gone, BROADCAST_KEYS), on, "left_anti")
+    if not twice.isEmpty():
+        out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([OWN + "key", id_col]))
+    return out.drop(OWN + "key")
 
 
 def op8_setsketch(spark, sf_dir: str) -> DataFrame:
     """Query: components at 3-word shingles and similarity 0.85."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    g = near_duplicates(docs, shingle=3, percent=85)
-    return g.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    g = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
+    return g.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -72,20 +72,51 @@ def test_near_duplicates_match_brute_force(frame):
 def test_near_duplicates_edge_cases(frame):
     rows = [(None, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (2, "A b c d", "z"), (3, None, None)]
     df = frame(rows, "doc_id long, text string, component_id string")
-    got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r["id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 3]
-    assert neardup.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(frame):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, one, "p"), (7, two, "p"), (8, one + " end", "p"), (9, two + " end", "p"), (None, one, "p"), (None, "x y z", "p"), (None, "x y z", "p"), (None, " ", "p"), (None, None, "p")]
+    df = frame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["id"] is None, r["id"] or 0, r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    want = [(False, 7, 36, 7), (False, 7, 36, 7), (False, 8, 37, 7), (False, 9, 37, 7), (True, 0, 36, 7), (True, 0, 1, None), (True, 0, 1, None), (True, 0, 0, None), (True, 0, 0, None)]
+    assert got == sorted(want, key=str)
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in neardup.keep_one(df).collect())
+    assert kept == sorted([("7", one), ("7", two), ("None", "x y z"), ("None", " "), ("None", "None")])
+
+
+def test_a_star_of_far_edits_matches_brute_force(frame):
+    """Edits on both sides of the threshold, some with rare edits in common, so that every step after the leaders runs."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    docs = {}
+    for i in range(120):
+        w = list(docs[rng.randrange(i)].split()) if i % 5 == 4 else list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = rng.choice(["red", "blue", f"v{rng.randrange(10**6)}"])
+        docs[i] = " ".join(w[rng.randrange(4) :])
+    for k, percent in ((3, 85), (5, 80)):
+        got = neardup.near_duplicates(frame(list(docs.items()), "doc_id long, text string"), shingle=k, percent=percent)
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_groups(docs, k, percent)
 
 
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(4)
     a, b = (rng.integers(0, 1 << 63, 4000, dtype=np.uint64) for _ in range(2))
-    assert (neardup.registers(np.minimum(neardup.least(a), neardup.least(b))) == neardup.registers(neardup.least(np.concatenate([a, b])))).all()
+    least = lambda *x: neardup.least(list(x), neardup.FINE, 2)
+    assert (neardup.registers(least(a, b).min(0)) == neardup.registers(least(np.concatenate([a, b]))[0])).all()
     same = np.concatenate([a[:3600], b[:400]])
-    reg = [neardup.registers(neardup.least(x))[None, :] for x in (a, same, b)]
+    reg = [neardup.registers(least(x)) for x in (a, same, b)]
+    # least exponential variates of 4000: mean 1/4000; equal registers tell the similarity
+    assert abs(least(a).mean() * 4000 - 1) < 0.2 and abs((reg[0] == reg[1]).mean() - 3600 / 4400) < 0.1
+    few = neardup.least([a[:1], a[:3], a[:40]])
+    assert np.isfinite(few).all() and (few[0] >= few[1]).all() and (few[1] >= few[2]).all()
     n = np.array([4000.0])
     assert neardup.likely(reg[0], reg[1], n, n, 0.8).all()
     assert not neardup.likely(reg[0], reg[2], n, n, 0.8).any()
