@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import OWN, bounded_broadcast, discard, materialize, table
@@ -31,16 +31,26 @@ RARE = 8
 BROADCAST_KEYS = 1_000_000
 
 
-def shingle_set(w: Words, i: int, size: int) -> np.ndarray:
-    """Sorted distinct hashes of text i's shingles of `size` words; a shorter text is one shingle; no word, none."""
-    h = w.hash[w.first[i] : w.first[i + 1]]
-    if not len(h):
-        return h
-    n = max(1, len(h) - size + 1)
-    acc = np.full(n, np.uint64(min(len(h), size)), dtype=np.uint64)
-    for k in range(min(size, len(h))):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(acc)
+def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of `size` words; a shorter text is one shingle; no word, none."""
+
+    def chained(h: np.ndarray, n: int, k: int) -> np.ndarray:
+        acc = np.full(n, np.uint64(k), dtype=np.uint64)
+        for c in range(k):
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[c : c + n])
+        return acc
+
+    every = chained(w.hash, max(0, len(w.hash) - size + 1), size)
+    out = []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        s = np.sort(every[a : b - size + 1]) if b - a >= size else chained(w.hash[a:b], min(1, b - a), b - a)
+        if len(s) > 1:
+            new = np.empty(len(s), dtype=bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        out.append(s)
+    return out
 
 
 def least(sets: list[np.ndarray], m: int = M, seed: int = 1) -> np.ndarray:
@@ -83,7 +93,7 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in slices(b.column(2), lower=True):
-                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                sets = shingle_sets(w, size)
                 full = [s for s in sets if len(s)]
                 g = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(full), axis=0)
                 if full:
@@ -110,7 +120,7 @@ def _fine(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in slices(b.column(1), lower=True):
-                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                sets = shingle_sets(w, size)
                 regs = registers(least(sets, FINE, 2))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), b.column(1).slice(i, j - i)],
@@ -126,7 +136,7 @@ def _each_shingle(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in slices(b.column(2), lower=True):
-                sets = [shingle_set(w, r, size) for r in range(j - i)]
+                sets = shingle_sets(w, size)
                 row = pa.array(np.repeat(np.arange(i, j), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(row), b.column(1).take(row)], names=["h", "no", "comp"])
 
@@ -181,12 +191,12 @@ def _verify(percent: int, size: int):
         for b in batches:
             a_id, b_id, ta, tb = (b.column(b.schema.get_field_index(x)) for x in ("a", "b", "ta", "tb"))
             good = []
-            for i in range(b.num_rows):
-                if (x := a_id[i].as_py()) != last:  # rows come sorted by a, so a hub's set is made once
-                    last, kept = x, next(shingle_set(w, 0, size) for _, _, w in slices(ta.slice(i, 1), True))
-                other = next(shingle_set(w, 0, size) for _, _, w in slices(tb.slice(i, 1), True))
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(kept) + len(other) - both) and both > 0)
+            for i, j, w in slices(tb, True):
+                for r, other in zip(range(i, j), shingle_sets(w, size), strict=True):
+                    if (x := a_id[r].as_py()) != last:  # rows come sorted by a, so a hub's set is made once
+                        last, kept = x, next(shingle_sets(v, size) for _, _, v in slices(ta.slice(r, 1), True))[0]
+                    both = len(np.intersect1d(kept, other, assume_unique=True))
+                    good.append(100 * both >= percent * (len(kept) + len(other) - both) and both > 0)
             m = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([a_id.filter(m), b_id.filter(m)], names=["a", "b"])
 
@@ -213,13 +223,12 @@ def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     buckets = reps.select("no", "n", F.explode("bands").alias("band"))
     # a bucket of one class has no pair; partial sums tell
     shared = buckets.groupBy("band").agg(F.min("no").alias("x"), F.max("no").alias("y"), F.count("*").alias("size")).where("x < y").select("band", "size")
-    placed = materialize(buckets.join(shared, "band"), "near-shared")
-    met = placed.groupBy("no", "n").agg(F.sum("size").alias("met"))
     # how many classes a class meets over its buckets: largest for the text that the others are edits of
-    met = materialize(met, "near-met")
-    texts = _texts(src, sk, rep, met, shingle)
-    comp = _links_of(placed, met, reps, texts, percent, shingle)
-    discard(placed, met, texts)
+    met = F.sum("size").over(Window.partitionBy("no"))
+    placed = materialize(buckets.join(shared, "band").withColumn("met", met).drop("size"), "near-buckets")
+    texts = _texts(src, rep, placed, shingle)
+    comp = _components(placed, reps, texts, percent, shingle)
+    discard(placed, texts)
 
     of = classes.join(comp, classes["no"] == comp["node"], "left").select("lo", "hi", "best", F.coalesce("component", "no").alias("component"))
     of = materialize(of, "near-components")
@@ -228,10 +237,10 @@ def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     return sk.select("id", "key", "n", "lo", "hi").join(whole, (F.col("n") > 0) & (F.col("lo") == F.col("c_lo")) & (F.col("hi") == F.col("c_hi")), "left").select("id", "key", "n", "best")
 
 
-def _texts(src: DataFrame, sk: DataFrame, rep: DataFrame, met: DataFrame, shingle: int) -> DataFrame:
+def _texts(src: DataFrame, rep: DataFrame, placed: DataFrame, shingle: int) -> DataFrame:
     """(no, n, regs, text) of one row of each class that shares a bucket."""
-    need = rep.join(met.select("no"), "no").select(F.col("rep_id"), F.col("key").alias("rep_key"), "no")
-    need = bounded_broadcast(materialize(need, "near-need"), BROADCAST_KEYS)
+    need = rep.join(placed.select("no").distinct(), "no").select(F.col("rep_id"), F.col("key").alias("rep_key"), "no")
+    need = bounded_broadcast(need, BROADCAST_KEYS)
     own = src.join(need, (F.col("key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("no", "text")
     t = materialize(own.mapInArrow(_fine(shingle), "no bigint, n bigint, regs binary, text string"), "near-texts")
     # rows alike in everything stand for one class together: one of them is enough
@@ -244,39 +253,37 @@ def _texts(src: DataFrame, sk: DataFrame, rep: DataFrame, met: DataFrame, shingl
     return out
 
 
-def _links_of(placed: DataFrame, met: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(node, component) of classes with a link. placed: (band, no, n, size); met: (no, n, met)."""
-    ranked = placed.drop("size").join(met.select("no", "met"), "no")
-    buckets = materialize(ranked, "near-buckets")
-    leader = buckets.groupBy("band").agg(F.max_by(F.struct("no", "n"), F.struct("met", F.xxhash64("no"), "no")).alias("leader"))
-    led = materialize(leader.select("band", F.col("leader.no").alias("no")), "near-led")
+def _components(placed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, component) of classes with a link. placed: (band, no, n, met); reps: (no, bands); texts: (no, n, regs, text)."""
+    leader = placed.groupBy("band").agg(F.max_by(F.struct("no", "n"), F.struct("met", F.xxhash64("no"), "no")).alias("leader"))
     l, n = F.col("leader"), F.col("n")
-    pairs = buckets.join(leader, "band").where((F.col("no") != l["no"]) & (100 * F.least(n, l["n"]) >= percent * F.greatest(n, l["n"])))
-    links = _links(pairs.select(F.least(l["no"], F.col("no")).alias("a"), F.greatest(l["no"], F.col("no")).alias("b")).distinct(), texts, percent, shingle)
-    comp = connected_components(links)
+    pairs = placed.join(leader, "band").where((F.col("no") != l["no"]) & (100 * F.least(n, l["n"]) >= percent * F.greatest(n, l["n"])))
+    links = [_links(pairs.select(F.least(l["no"], F.col("no")).alias("a"), F.greatest(l["no"], F.col("no")).alias("b")).distinct(), texts, percent, shingle)]
+    comp = connected_components(links[0])
 
     # classes of buckets that hold several components: shingles they share with few others, and with more
     label = lambda x: x.join(comp, x["no"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "no")).drop("node", "component")
-    now = materialize(label(buckets), "near-now")
+    now = label(placed)
     some = now.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("lo")).where("x < y").select("band", "lo")
-    pool = materialize(now.join(some, "band"), "near-open")
-    discard(now)
+    pool = materialize(now.join(some, "band").join(leader.select("band", l["no"].alias("leader")), "band"), "near-open")
     open_ = pool.select("no", "n", "comp").distinct()
     held = open_.join(texts.select("no", "text"), "no").select("no", "comp", "text").mapInArrow(_each_shingle(shingle), "h bigint, no bigint, comp bigint")
     held = materialize(held, "near-shingles")
-    often = held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    held2 = materialize(held.join(often, "h"), "near-often")
-    discard(held)
+    often = held.join(held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
     # core: how many of a class's shingles are not rare
-    core = materialize(open_.select("no", "n").join(held2.where(F.col("c") > RARE).groupBy("no").agg(F.count("*").alias("core")), "no", "left").select("no", "n", F.coalesce("core", F.lit(0)).alias("core")), "near-core")
-    lists = held2.where(F.col("c") <= RARE).groupBy("h").agg(F.collect_list(F.struct("no", "comp")).alias("l"))
+    core = open_.select("no", "n").join(often.where(F.col("c") > RARE).groupBy("no").agg(F.count("*").alias("core")), "no", "left")
+    core = materialize(core.select("no", "n", F.coalesce("core", F.lit(0)).alias("core")), "near-core")
+    lists = often.where(F.col("c") <= RARE).groupBy("h").agg(F.collect_list(F.struct("no", "comp")).alias("l"))
     both = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (x["no"] < y["no"]) & (x["comp"] != y["comp"])), lambda y: F.struct(x["no"].alias("a"), y["no"].alias("b")))))
     rare = lists.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
     side = lambda x: core.toDF(x, "n" + x, "core" + x)
     rare = rare.join(side("a"), "a").join(side("b"), "b").where(_may(percent, F.least("corea", "coreb") + F.col("r"), F.col("na"), F.col("nb")))
-    links = _with(links, _links(rare.select("a", "b"), texts, percent, shingle))
-    discard(held2, comp)
-    comp = connected_components(links)
+    found = _links(rare.select("a", "b"), texts, percent, shingle)
+    discard(held)
+    if not found.isEmpty():
+        links.append(found)
+        discard(comp)
+        comp = connected_components(_union(links))
 
     # pairs without a rare shingle share at most their cores: what passes that bound is compared bucket by bucket
     m, n, lo = F.col("core"), F.col("n"), F.col("lo")
@@ -285,18 +292,18 @@ def _links_of(placed: DataFrame, met: DataFrame, reps: DataFrame, texts: DataFra
     pool = pool.drop("comp").join(core.select("no", "core"), "no").where(fits)
     pool = materialize(pool.join(reps.select("no", "bands").dropDuplicates(["no"]), "no"), "near-pool")
     discard(old, core)
+    led = [pool.where("no = leader").select("band", "no")]
     turn = 16
     while True:
-        now = materialize(label(pool), "near-now")
+        # one that has led in the bucket has been compared with all of it
+        now, done = label(pool), _union(led)
         per = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
         main = per.groupBy("band").agg(F.max_by("comp", F.struct("k", F.hash("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-        outside = now.join(main, "band").where("comp <> main").join(led, ["band", "no"], "left_anti")
+        outside = now.join(main, "band").where("comp <> main").join(done, ["band", "no"], "left_anti")
         lead = materialize(_some(outside, turn), "near-lead")
         if lead.isEmpty():
-            discard(now, lead)
             break
-        # one that has led in the bucket has been compared with all of it
-        rest = now.join(led, ["band", "no"], "left_anti")
+        rest = now.join(done, ["band", "no"], "left_anti")
         cols = ("no", "n", "core", "comp", "bands")
         x, y = (t.select("band", F.struct(*cols).alias(c)) for t, c in ((lead, "x"), (rest, "y")))
         cx, cy = F.col("x"), F.col("y")
@@ -305,21 +312,20 @@ def _links_of(placed: DataFrame, met: DataFrame, reps: DataFrame, texts: DataFra
         # the size test first, then a pair only in the first bucket that both are in
         pairs = x.join(y, "band").where((cx["comp"] != cy["comp"]) & _may(percent, F.least(cx["core"], cy["core"]), cx["n"], cy["n"]) & (common == at))
         found = _links(pairs.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b")).distinct(), texts, percent, shingle)
-        more = materialize(led.unionByName(lead.select("band", "no")), "near-led")
-        discard(led, lead, now)
-        led = more
+        led.append(lead.select("band", "no"))
         if not found.isEmpty():
-            links = _with(links, found)
+            links.append(found)
             discard(comp)
-            comp = connected_components(links)
+            comp = connected_components(_union(links))
         turn *= 16
-    discard(led, pool, links, buckets)
+    discard(pool, *links)
     return comp
 
 
-def _with(links: DataFrame, more: DataFrame) -> DataFrame:
-    out = materialize(links.unionByName(more), "near-links")
-    discard(links, more)
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
@@ -339,11 +345,8 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> Da
     """The pairs (a, b) that are linked: likelihood test on registers, then exact sets of whole texts."""
     side = lambda x: texts.select(F.col("no").alias(x), F.col("regs").alias("r" + x), F.col("n").alias("n" + x))
     likely_ = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(percent / 100), "a bigint, b bigint")
-    likely_ = materialize(likely_, "near-likely")
     both = likely_.join(texts.select(F.col("no").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("no").alias("a"), F.col("text").alias("ta")), "a")
-    out = materialize(both.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), "a bigint, b bigint"), "near-found")
-    discard(likely_)
-    return out
+    return materialize(both.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent, shingle), "a bigint, b bigint"), "near-found")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -42,6 +42,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Powers of BASE and of its inverse for so many bytes are kept.
+BLOCK = 1 << 18
+UP, DOWN = powers(BASE, BLOCK), powers(np.uint64(pow(int(BASE), -1, 1 << 64)), BLOCK)
+
+
 class Words:
     """Words of a run of texts: hash, first byte and end byte of each; text i has words first[i]:first[i+1]."""
 
@@ -58,13 +63,23 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.start = start
         self.first = np.searchsorted(start, offsets)
-        if len(start):
-            place = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))) if start[0] == 0 else np.concatenate([np.zeros(start[0], dtype=np.int64), np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))])
-            pow_ = powers(BASE, int((self.end - start).max()))
-            value = TABLE[lower][data] * pow_[np.minimum(place, len(pow_) - 1)]
-            self.hash = mix(np.add.reduceat(value, start) + (self.end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
+        self.hash = mix(self._sums(TABLE[lower][data]) + (self.end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    def _sums(self, codes: np.ndarray) -> np.ndarray:
+        """For each word the sum of code * BASE**place over its bytes: differences of running sums, shifted back."""
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        a = 0
+        while a < len(self.start):  # blocks of whole words bound the tables of powers; a longer word is a block of its own
+            first = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, first + BLOCK, side="right")))
+            n = int(self.end[b - 1] - first)
+            up, down = (UP[:n], DOWN) if n <= BLOCK else (powers(BASE, n), DOWN)
+            run = np.zeros(n + 1, dtype=np.uint64)
+            np.add.accumulate(codes[first : first + n] * up, out=run[1:])
+            # the only word of a longer block starts at 0
+            out[a:b] = (run[self.end[a:b] - first] - run[self.start[a:b] - first]) * down[self.start[a:b] - first]
+            a = b
+        return out
 
     def windows(self, k: int, salt: int = 0) -> np.ndarray:
         """Hash of each run of k consecutive words, crossing texts too: callers keep starts up to first[i+1]-k."""
