@@ -12,26 +12,33 @@ from seqlake.operators.numbering import number_rows
 from seqlake.storage import discard, materialize
 
 
+#: Tables of edges are kept in parts of at least so many rows, so that few edges are few tasks.
+EDGES_A_PART = 250_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) over undirected links (a, b): the least node reached, by alternating large and small stars.
 
-    A round that changes no edge ends it: told by one aggregate, the edges' number and the sum of their hashes.
+    A round that changes no edge ends it: told by one aggregate, the edges' number and the sum of their hashes. By then
+    every edge leads from a node to its component.
     """
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "graph-links")
     mark = _checksum(e)
-    nodes = materialize(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "graph-nodes")
     while True:
+        parts = 1 + mark[0] // EDGES_A_PART
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "graph-large")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = materialize(large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "graph-small")
-        discard(large, e)
+        small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = materialize(small.coalesce(parts), "graph-stars")
+        discard(e)
         last, mark, e = mark, _checksum(small), small
         if mark == last:
             break
-    labels = materialize(nodes.join(e, nodes["node"] == e["u"], "left").select("node", F.coalesce("v", "node").alias("component")), "graph-labels")
-    discard(e, nodes)
+    labels = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    labels = materialize(labels.coalesce(parts), "graph-labels")
+    discard(e)
     return labels
 
 
