@@ -35,9 +35,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete tables made by materialize() that nothing reads any more; others are left alone."""
+    """Delete tables made by materialize() that nothing reads any more; others are left alone.
+
+    Shuffle files of the jobs that wrote and read them go too: Spark's cleaner removes them once the driver's JVM has
+    collected their plans, which by itself it may not do for half an hour.
+    """
+    gone = None
     for t in tables:
         path = t.__dict__.pop("_scratch_path", None) if t is not None else None
         if path:
-            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            gone = t.sparkSession
+            where = gone._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(gone._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if gone is not None:
+        gone._jvm.System.gc()
