@@ -38,24 +38,26 @@ def mapped_share(orfs: DataFrame, hits: DataFrame) -> DataFrame:
     return j.groupBy(genome_of(F.col("orf_id")).alias("accession")).agg((F.count("hit") / F.count("*")).alias("proportion"))
 
 
+#: What the confidence column says.
+REJECTED, LOW_SHARE = "rejected", "lower than reject threshold"
+LOW_SCORE = "lower than viral score threshold; proteinal prophage, please run contamination detection task"
+HIGH, MEDIUM, LOW = "high-confidence", "medium-confidence", "low-confidence; please run contamination detection task"
+
+
 def virus_call(df: DataFrame, min_length: int = 3000, reject: float = 0.1) -> DataFrame:
     """Add pred, call_score and confidence to (length, score or null, proportion or null).
 
-    Scored contigs are viral at score >= 0.5 and proportion >= reject; the mean of both grades the confidence. Contigs
-    without a score go by their proportion alone. Contigs below the length are only named so.
+    Scored contigs are viral at score >= 0.5 and proportion >= reject, whatever their length; the mean of both grades the
+    confidence, and a proportion below reject is named before a low score. Contigs without a score that are too short
+    are only named so; others go by their proportion alone, and score 0 if that is below reject.
     """
     s, p = F.col("score"), F.coalesce("proportion", F.lit(0.0))
-    short = F.col("length") < min_length
-    scored = s.isNotNull()
-    low = p < reject
-    pred = F.when(short, "filtered by length").when(scored, F.when((s < 0.5) | low, "non-virus").otherwise("virus")).otherwise(F.when(low, "non-virus").otherwise("virus"))
-    out = F.when(short, F.lit(0.0)).when(scored, F.when((s >= 0.5) & low, p).otherwise(s)).otherwise(p)
-    mean = (p + s) / 2
-    grade = lambda x, hi, mid: F.when(x > hi, "high-confidence").when(x > mid, "medium-confidence").otherwise("low-confidence")
-    conf = (
-        F.when(short, "rejected").when(scored & (s < 0.5), "non-virus").when(scored & low, "lower than reject threshold")
-        .when(scored, grade(mean, 0.8, 0.6)).when(low, "lower than reject threshold").otherwise(grade(p, 0.75, 0.25))
-    )
+    scored, low = s.isNotNull(), p < reject
+    short = ~scored & (F.col("length") < min_length)
+    pred = F.when(short, "filtered by length").when(low | F.coalesce(s < 0.5, F.lit(False)), "non-virus").otherwise("virus")
+    out = F.when(short, F.lit(0.0)).when(scored & (s < 0.5), s).when(scored, F.when(low, p).otherwise(s)).when(low, F.lit(0.0)).otherwise(p)
+    grade = lambda x, hi, mid: F.when(x > hi, HIGH).when(x > mid, MEDIUM).otherwise(LOW)
+    conf = F.when(short, REJECTED).when(low, LOW_SHARE).when(s < 0.5, LOW_SCORE).when(scored, grade((p + s) / 2, 0.8, 0.6)).otherwise(grade(p, 0.75, 0.25))
     return df.withColumn("pred", pred).withColumn("call_score", out).withColumn("confidence", conf)
 
 

@@ -42,8 +42,14 @@ def edges(pairs: DataFrame, aai: float = 75, cover: float = 80, share: int = 15)
 
 
 def weighted_identity(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Alignment-length-weighted identity, rounded to two places."""
-    return hits.groupBy(*keys).agg(F.count("*").alias("num_alns"), F.round(F.try_divide(F.sum(F.col("length") * F.col("pident")), F.sum("length")), 2).alias("pid"))
+    """Alignment-length-weighted identity, rounded to two places, halves up.
+
+    Identities are taken as whole millionths and summed and rounded as whole numbers, so neither the order of the rows
+    nor binary fractions move a tie.
+    """
+    mass = F.sum(F.col("length").cast("decimal(12,0)") * F.round(F.col("pident") * 1_000_000).cast("decimal(12,0)"))
+    g = hits.groupBy(*keys).agg(F.count("*").alias("num_alns"), mass.cast("decimal(30,0)").alias("_mass"), F.sum("length").cast("decimal(18,0)").alias("_length"))
+    return g.select(*keys, "num_alns", F.when(F.col("_length") > 0, F.expr("(2 * _mass + _length * 10000) div (2 * _length * 10000)") / 100).alias("pid"))
 
 
 def interval_union(iv: DataFrame, keys: list[str]) -> DataFrame:

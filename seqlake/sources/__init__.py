@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlake import schemas
+from seqlake.functions import is_dna
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, header, seq) of FASTA records, split at `>` so that a file is read in parallel.
+def records(reader, path: str) -> DataFrame:
+    """Raw FASTA records of a text reader or stream: split where a line starts with `>`, so a `>` inside a header is kept.
 
-    The accession is the header's first word; sequence lines are joined without whitespace.
+    Files are split in parallel at record ends; the first record of a file still has its `>`. Carriage returns are dropped.
     """
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    raw = reader.option("lineSep", "\n>").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "").alias("value"), "_metadata.file_name")
+    return raw.where(F.trim("value", F.lit(" \t\n")) != "")
+
+
+def _parts(raw: DataFrame, *more: str) -> DataFrame:
     header = F.substring_index("value", "\n", 1)
     body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
-    return raw.select(F.substring_index(F.regexp_replace(header, "\\s", " "), " ", 1).alias("accession"), F.trim(F.regexp_replace(header, "\r", "")).alias("header"), F.regexp_replace(body, "\\s", "").alias("seq"))
+    return raw.select(*more, F.substring_index(F.regexp_replace(header, "\\s", " "), " ", 1).alias("accession"), F.trim(header).alias("header"), F.regexp_replace(body, "\\s", "").alias("seq"))
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, header, seq) of FASTA records. The accession is the header's first word; sequence lines are joined without whitespace."""
+    return _parts(records(spark.read, path))
 
 
 def genome_folder(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA of a folder with one file for each genome; adds mag, the file name without its last extension."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("mag")).where(F.trim("value") != "")
-    body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
-    return raw.select("mag", F.substring_index(F.regexp_replace(F.substring_index("value", "\n", 1), "\\s", " "), " ", 1).alias("accession"), F.regexp_replace(body, "\\s", "").alias("seq"))
+    """(mag, accession, seq) of a folder with one FASTA file for each genome; mag is the file name without its last extension."""
+    raw = records(spark.read, path).withColumn("mag", F.regexp_replace("file_name", "\\.[^.]*$", ""))
+    return _parts(raw, "mag").drop("header")
 
 
 def proteins(spark: SparkSession, path: str) -> DataFrame:
@@ -67,10 +76,46 @@ def cluster_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spacers(spark: SparkSession, path: str) -> DataFrame:
-    """(mag, position, spacer) from repeat-finder reports: lines whose first tab field is a number and fourth a sequence."""
-    t = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("mag"))
-    row = t.select("mag", F.get("f", F.lit(0)).try_cast("int").alias("position"), F.trim(F.get("f", F.lit(3))).alias("spacer"))
-    return row.where("position is not null and spacer <> '' and spacer rlike '^[ACGTNacgtn]+$'")
+    """(spacer_id, mag, position, spacer, valid) from repeat-finder reports, one file for each genome.
+
+    Rows are lines whose first tab field is a number and whose fourth is not blank. A spacer of other letters than
+    ACGTN is reported with valid false and has no id. Valid ones are `<mag>_CRISPR_<n>`, n from 0 in the order of the file.
+    """
+    t = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"), F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "").alias("mag"))
+    f = F.split("text", "\t")
+    row = t.select("mag", "line", F.get(f, F.lit(0)).try_cast("int").alias("position"), F.trim(F.get(f, F.lit(3))).alias("spacer")).where("position is not null and spacer <> ''")
+    row = row.withColumn("valid", is_dna(F.col("spacer")))
+    no = F.sum(F.col("valid").cast("int")).over(Window.partitionBy("mag").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    name = F.concat(F.col("mag"), F.lit("_CRISPR_"), F.coalesce(no, F.lit(0)).cast("string"))
+    return row.withColumn("spacer_id", F.when(F.col("valid"), name)).select("spacer_id", "mag", "position", "spacer", "valid")
+
+
+def kmer_table(spark: SparkSession, path: str, k: int = 4) -> DataFrame:
+    """(id, v) of a headerless CSV: a name and 4**k frequencies in alphabetical order of the words."""
+    n = 4**k
+    names = [f"f{i}" for i in range(n)]
+    return spark.read.schema("id string, " + ", ".join(f"{c} double" for c in names)).csv(path).select("id", F.array(*names).alias("v"))
+
+
+def count_records(spark: SparkSession, path: str) -> int:
+    """Number of FASTA records."""
+    return records(spark.read, path).count()
+
+
+def proteins_or_frames(spark: SparkSession, path: str | None, contigs: DataFrame, least: int = 90) -> DataFrame:
+    """(orf_id, start, end, strand): the user's proteins of known contigs; open frames where no file is given or none is known."""
+    if path:
+        own = known_proteins(proteins(spark, path), contigs)
+        if not own.isEmpty():
+            return own.select("orf_id", "start", "end", "strand")
+    return open_frames(contigs, least).select("orf_id", "start", "end", "strand")
+
+
+def translated_genomes(spark: SparkSession, path: str, least: int = 90) -> DataFrame:
+    """(mag, orf_id, start, end, strand) of open frames in a folder of genomes, one file each."""
+    g = genome_folder(spark, path)
+    frames = open_frames(g.select(F.concat_ws("\u0001", "mag", "accession").alias("accession"), "seq"), least)
+    return frames.select(F.substring_index("accession", "\u0001", 1).alias("mag"), F.substring_index("orf_id", "\u0001", -1).alias("orf_id"), "start", "end", "strand")
 
 
 def blast_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +171,5 @@ def open_frames(contigs: DataFrame, least: int = 90) -> DataFrame:
     bases = 3 * ((F.col("o.len") + 1) / 4).cast("int")
     pos = one.select("accession", "n", "strand", first.alias("a"), (first + bases - 1).alias("b")).where(F.col("b") - F.col("a") + 1 >= least)
     real = pos.select("accession", "strand", F.when(F.col("strand") == 1, F.col("a")).otherwise(F.col("n") - F.col("b") + 1).alias("start"), F.when(F.col("strand") == 1, F.col("b")).otherwise(F.col("n") - F.col("a") + 1).alias("end"))
-    from pyspark.sql import Window
-
     no = F.row_number().over(Window.partitionBy("accession").orderBy("start", "end", "strand"))
     return real.withColumn("no", no).select(F.concat_ws("_", "accession", "no").alias("orf_id"), "accession", "start", "end", "strand")

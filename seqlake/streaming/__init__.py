@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqlake.operators.models import virus_call
+from seqlake.sources import records
 
 
 def contigs(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """FASTA files as they arrive: (accession, length, score, proportion); a score or proportion must be joined from a batch table."""
-    raw = spark.readStream.option("lineSep", ">").option("maxFilesPerTrigger", max_files).text(folder).where(F.trim("value") != "")
+    raw = records(spark.readStream.option("maxFilesPerTrigger", max_files), folder)
     body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
     return raw.select(F.substring_index(F.regexp_replace(F.substring_index("value", "\n", 1), "\\s", " "), " ", 1).alias("accession"), F.length(F.regexp_replace(body, "\\s", "")).cast("bigint").alias("length"))
 
