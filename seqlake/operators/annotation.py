@@ -10,12 +10,19 @@ from seqlake.functions import genome_of
 NO_HIT, NO_NAME = "hypothetical protein (no hit)", "hypothetical protein"
 
 
-def annotate(genes: DataFrame, best_hits: DataFrame, names: DataFrame) -> DataFrame:
-    """genes (orf_id, …) with annotation, pident, coverage of the best hit (qseqid, sseqid, pident, coverage); names: (protein, description)."""
+def annotate(genes: DataFrame, best_hits: DataFrame, names: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """genes (orf_id, …) with annotation, pident, coverage of the best hit (qseqid, sseqid, pident, coverage); names: (protein, description).
+
+    With references (protein, reference), inference is the reference's accession of the hit, `-` if it has none.
+    """
     h = best_hits.select(F.col("qseqid").alias("orf_id"), "sseqid", "pident", "coverage")
     j = genes.join(h, "orf_id", "left").join(names, F.col("sseqid") == F.col("protein"), "left")
     text = F.when(F.col("sseqid").isNull(), NO_HIT).otherwise(F.coalesce("description", F.lit(NO_NAME)))
-    return j.withColumn("annotation", text).drop("protein", "description")
+    j = j.withColumn("annotation", text).drop("protein", "description")
+    if references is None:
+        return j
+    r = references.select(F.col("protein").alias("_protein"), "reference")
+    return j.join(r, F.col("sseqid") == F.col("_protein"), "left").withColumn("inference", F.coalesce("reference", F.lit("-"))).drop("_protein", "reference")
 
 
 def annotation_rate(annotated: DataFrame) -> DataFrame:

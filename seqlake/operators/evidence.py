@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.functions import or_dash
+from seqlake.functions import genome_of, or_dash
 from seqlake.operators.besthit import first_per_key, spacer_hits, trna_hits
 from seqlake.operators.numbering import number_rows
 
@@ -89,6 +89,54 @@ def agreement(calls: DataFrame, ranks: tuple[str, ...] = ("species", "genus", "f
     return calls.withColumn("agreed", out)
 
 
+def mag_identity(hits: DataFrame) -> DataFrame:
+    """(phage, mag, ident): the largest identity, 0 to 1, of any protein hit (qseqid, mag, pident) of a phage in each MAG."""
+    return hits.groupBy(genome_of(F.col("qseqid")).alias("phage"), "mag").agg((F.max("pident") / 100).alias("ident"))
+
+
+def mean_identity(phages: DataFrame, per_mag: DataFrame) -> DataFrame:
+    """(phage, mean): the mean of a phage's largest identities, 0 where it has none."""
+    m = per_mag.groupBy("phage").agg(F.avg("ident").alias("mean"))
+    return phages.select("phage").join(m, "phage", "left").select("phage", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def kmer_gate(calls: DataFrame, per_mag: DataFrame, taxa: DataFrame | None = None) -> DataFrame:
+    """(accession, host, score): k-mer calls (accession, host) that protein hits bear out.
+
+    A MAG with a hit stays, with its identity. Else, if taxa (mag, species, genus, family) are given, the lowest rank is
+    reported on which the MAG agrees with the last hit MAG (by name) that has that rank, with the mean identity. Calls of
+    phages without any hit, and those that agree on nothing, are dropped.
+    """
+    own = per_mag.select(F.col("phage").alias("accession"), F.col("mag").alias("host"), F.col("ident").alias("exact"))
+    j = calls.select("accession", "host").join(own, ["accession", "host"], "left")
+    mean = mean_identity(calls.select(F.col("accession").alias("phage")).distinct(), per_mag).withColumnRenamed("phage", "accession")
+    j = j.join(mean, "accession").join(per_mag.select(F.col("phage").alias("accession")).distinct(), "accession", "left_semi")
+    host = F.when(F.col("exact").isNotNull(), F.col("host"))
+    if taxa is not None:
+        ranks = ("species", "genus", "family")
+        known = per_mag.join(taxa, "mag")
+        last = known.groupBy(F.col("phage").alias("accession")).agg(*[F.max_by(r, F.when(F.col(r).isNotNull(), F.col("mag"))).alias("o_" + r) for r in ranks])
+        j = j.join(last, "accession", "left").join(taxa.select(F.col("mag").alias("host"), *ranks), "host", "left")
+        for r in ranks:
+            host = host.when(F.col(r) == F.col("o_" + r), F.col(r))
+    return j.select("accession", host.alias("host"), F.round(F.coalesce("exact", "mean"), 2).alias("score")).where("host is not null")
+
+
+def strict_lookup(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
+    """Inner join with a dimension (key, value) that must know every key: names some that it lacks and raises otherwise."""
+    missing = [str(r[0]) for r in df.select(key).distinct().join(dim.select(key), key, "left_anti").limit(5).collect()]
+    if missing:
+        raise ValueError(f"no {value} for {key} {', '.join(missing)}")
+    return df.join(dim.select(key, value), key)
+
+
+def check_complete(names: DataFrame, known: DataFrame, what: str = "MAGs") -> None:
+    """Raise unless every name of the first one-column table is in the second."""
+    n = names.join(known.toDF(*names.columns), names.columns, "left_anti").limit(1).count()
+    if n:
+        raise ValueError(f"not all {what} have an annotation; names carry no file suffix")
+
+
 def with_reason(inputs: DataFrame, results: DataFrame, key: str, value: str, least: int, length: str = "length") -> DataFrame:
     """Every input row: its result, or why there is none (`filtered by length`, or `-`)."""
     j = inputs.join(results.select(key, value), key, "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +13,20 @@ from seqlake.functions import canonical, windows
 
 def counts(seqs: DataFrame, k: int = 4) -> DataFrame:
     """(id, kmer, n) of windows of A, C, G, T alone."""
-    one = seqs.select("id", F.explode(windows(F.upper("seq"), k)).alias("kmer"))
-    return one.where(F.col("kmer").rlike("^[ACGT]+$")).groupBy("id", "kmer").agg(F.count("*").alias("n"))
+    one = seqs.select("id", F.explode(_words(F.upper("seq"), k)).alias("kmer"))
+    return one.groupBy("id", "kmer").agg(F.count("*").alias("n"))
+
+
+def _words(seq: Column, k: int) -> Column:
+    """Windows of A, C, G and T alone: the look-ahead itself passes over others."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
 def frequencies(seqs: DataFrame, k: int = 4) -> DataFrame:
-    """(id, kmer, n, freq): counts over sequence length less one."""
-    size = seqs.select("id", (F.length("seq") - 1).alias("over"))
-    return counts(seqs, k).join(size, "id").select("id", "kmer", "n", F.try_divide(F.col("n").cast("double"), "over").alias("freq"))
+    """(id, kmer, n, freq): counts over sequence length less one, carried along so that the text is read once."""
+    one = seqs.select("id", (F.length("seq") - 1).alias("over"), F.explode(_words(F.upper("seq"), k)).alias("kmer"))
+    n = one.groupBy("id", "kmer").agg(F.count("*").alias("n"), F.max("over").alias("over"))
+    return n.select("id", "kmer", "n", F.try_divide(F.col("n").cast("double"), "over").alias("freq"))
 
 
 def canonical_depth(seqs: DataFrame, k: int = 21) -> DataFrame:
@@ -32,14 +41,80 @@ def length_model(length: Column) -> Column:
     return F.when(length > 12500, 1).when(length > 7500, 2).when(length > 4000, 3).when(length > 2000, 4).when(length > 4, 5)
 
 
-def vector_argmax(queries: DataFrame, refs: DataFrame, max_refs: int = 100_000) -> DataFrame:
-    """(id, best, score): for each query vector the reference of the largest dot product.
+def profiles(seqs: DataFrame, k: int = 4) -> DataFrame:
+    """(id, v): frequencies of all 4**k words in alphabetical order, 0 where a word does not occur."""
+    every = ["".join(x) for x in itertools.product("ACGT", repeat=k)]
+    have = frequencies(seqs, k).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("m"))
+    names = F.array(*[F.lit(x) for x in every])
+    return have.select("id", F.transform(names, lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0))).alias("v"))
+
+
+def gaussian(width: float) -> Callable:
+    """Log-density of an isotropic Gaussian of standard deviation `width` at rows of differences."""
+
+    def score(d):
+        import numpy as np
+
+        return -0.5 * (d * d).sum(1) / width**2 - d.shape[1] * np.log(width * np.sqrt(2 * np.pi))
+
+    return score
+
+
+def vector_argmax(queries: DataFrame, refs: DataFrame, block: int = 4096, skip_same: bool = False) -> DataFrame:
+    """(id, best, score): for each query vector (id, v) the reference of the largest dot product. See _best_reference()."""
+    return _best_reference(queries.select("id", "v", F.lit(0).alias("model")), refs, {0: None}, block, skip_same)
 
-    A nearest-profile search has no equi-join key. The reference set must be bounded (it is checked) and is
-    broadcast; queries stream past it, and one row for each query survives the map-side aggregate.
+
+def density_argmax(queries: DataFrame, refs: DataFrame, models: dict[int, Callable], block: int = 512, skip_same: bool = False) -> DataFrame:
+    """(id, best, score): for each query (id, v, model) the reference whose difference to it the model finds likeliest.
+
+    models: number -> function from rows of differences (query less reference) to log-densities; any fitted density will do,
+    such as gaussian(). A query whose model is null or unknown gets no row.
+    """
+    return _best_reference(queries.select("id", "v", F.col("model").cast("int").alias("model")).where(F.col("model").isin(list(models))), refs, models, block, skip_same)
+
+
+def _best_reference(queries: DataFrame, refs: DataFrame, models: dict, block: int, skip_same: bool) -> DataFrame:
+    """A nearest-profile search has no equi-join key. Queries are broadcast in blocks of about `block` vectors; every task
+    scores its references against the block and gives one row for each query and batch, ties to the least reference id.
+    References are never moved. skip_same leaves out the reference of the query's own id.
     """
-    if refs.limit(max_refs + 1).count() > max_refs:
-        raise ValueError("too many reference profiles to broadcast; split them and take the best of the parts")
-    dot = F.aggregate(F.zip_with("v", "r", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = queries.select("id", "v").join(F.broadcast(refs.select(F.col("id").alias("ref"), F.col("v").alias("r"))), F.lit(True))
-    return pairs.select("id", "ref", dot.alias("score")).groupBy("id").agg(F.max_by("ref", F.struct("score", -F.col("ref"))).alias("best"), F.max("score").alias("score"))
+    kind, own = refs.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    passes = -(-queries.count() // block) or 1
+    found = None
+    for k in range(passes):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toArrow().to_pydict()
+        shared = queries.sparkSession.sparkContext.broadcast((part["id"], part["v"], part["model"]))
+        one = refs.select("id", "v").mapInArrow(_nearest(shared, models, skip_same), f"id {own}, best {kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    top = F.struct((-F.col("score")).alias("s"), "best")
+    return found.groupBy("id").agg(F.min(top).alias("t")).select("id", F.col("t.best").alias("best"), (-F.col("t.s")).alias("score"))
+
+
+def _nearest(shared, models: dict, skip_same: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names, vectors, model = shared.value
+        q = [np.array(v, dtype=np.float64) for v in vectors]
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            if not ids or not names:
+                continue
+            order = sorted(range(len(ids)), key=ids.__getitem__)  # argmax then finds the least id of a tie
+            r = np.array([b.column(1)[i].as_py() for i in order], dtype=np.float64)
+            at = {ids[i]: k for k, i in enumerate(order)} if skip_same else {}
+            out = []
+            for k, x in enumerate(names):
+                rule = models[model[k]]
+                score = r @ q[k] if rule is None else rule(q[k] - r)
+                if x in at:
+                    score[at[x]] = -np.inf
+                best = int(score.argmax())
+                if score[best] > -np.inf:
+                    out.append((x, ids[order[best]], float(score[best])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["id", "best", "score"])
+
+    return run

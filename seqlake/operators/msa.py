@@ -22,14 +22,14 @@ def intersection(msa: DataFrame) -> DataFrame:
 
 
 def union(msa: DataFrame) -> DataFrame:
-    """(id, aln) of all ids; a missing marker is as many gaps as the marker is wide. Markers are few and broadcast."""
-    w = widths(msa)
-    if w.limit(1001).count() > 1000:
-        raise ValueError("too many markers to concatenate")
-    every = msa.select("id").distinct().join(F.broadcast(w), F.lit(True))
-    have = msa.select("marker", F.col("id").alias("have_id"), "aln")
-    filled = every.join(have, (every["marker"] == have["marker"]) & (every["id"] == F.col("have_id")), "left")
-    return _joined(filled.select("id", every["marker"], F.coalesce("aln", F.expr("repeat('-', width)")).alias("aln")))
+    """(id, aln) of all ids; a missing marker is as many gaps as the marker is wide.
+
+    The list of markers, one row, is broadcast: every row of the result has a part for each of them anyway.
+    """
+    every = widths(msa).agg(F.sort_array(F.collect_list(F.struct("marker", "width"))).alias("w"))
+    own = msa.groupBy("id").agg(F.collect_list(F.struct("marker", "aln")).alias("have"))
+    part = lambda x: F.coalesce(F.get(F.filter("have", lambda h: h["marker"] == x["marker"]), F.lit(0))["aln"], F.repeat(F.lit("-"), x["width"]))
+    return own.join(F.broadcast(every), F.lit(True)).select("id", F.array_join(F.transform("w", part), "").alias("aln"))
 
 
 def only_references(msa: DataFrame, is_ref: str = "is_ref") -> bool:

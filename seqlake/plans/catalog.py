@@ -90,7 +90,7 @@ def edge_filter_score(spark, d):
     return pairs.edges(_pairs(spark, d), 50, 60, 7).select("query", "target", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {tb.HITS_SQL} SELECT regexp_replace(qseqid, '_[^_]*$', '') AS qname, regexp_replace(sseqid, '_[^_]*$', '') AS tname, count(*) AS num_alns, round(sum(length * pident) / sum(length), 2) AS pid FROM hits GROUP BY 1, 2")
+@query(f"WITH {tb.HITS_SQL} SELECT regexp_replace(qseqid, '_[^_]*$', '') AS qname, regexp_replace(sseqid, '_[^_]*$', '') AS tname, count(*) AS num_alns, ((2 * sum(CAST(length AS HUGEINT) * CAST(round(pident * 1000000) AS HUGEINT)) + sum(length) * 10000) // (2 * sum(length) * 10000)) / 100.0::DOUBLE AS pid FROM hits GROUP BY 1, 2")
 def weighted_identity(spark, d):
     h = tb.hits(spark, d).select(fn.genome_of(F.col("qseqid")).alias("qname"), fn.genome_of(F.col("sseqid")).alias("tname"), "length", "pident")
     return pairs.weighted_identity(h, ["qname", "tname"])
@@ -158,14 +158,17 @@ def orf_lca(spark, d):
     return _orf_lca(spark, d, _tree(spark, d)).select("orf", "lca", "bits")
 
 
-_WLCA = f"""{_LCA}, tot AS (SELECT contig, sum(bits) AS total FROM lca GROUP BY 1),
-wl AS (SELECT contig, ancestor, max(depth) AS depth, sum(bits) / any_value(total) AS score FROM lca JOIN tree ON tree.taxid = lca.lca JOIN tot USING (contig) GROUP BY 1, 2 HAVING sum(bits) / any_value(total) > 0.03)"""
+_WLCA = f"""{_LCA}, tot AS (SELECT contig, sum(bits) AS total FROM lca WHERE lca IS NOT NULL GROUP BY 1),
+sc AS (SELECT contig, ancestor, max(depth) AS depth, sum(bits) / any_value(total) AS score FROM lca JOIN tree ON tree.taxid = lca.lca JOIN tot USING (contig) GROUP BY 1, 2),
+lin AS (SELECT c.contig, c.ancestor AS taxid, c.depth, sum(w.score) AS along FROM sc c JOIN tree t ON t.taxid = c.ancestor JOIN sc w ON w.contig = c.contig AND w.ancestor = t.ancestor WHERE c.score > 0.1 GROUP BY ALL),
+top AS (SELECT contig, taxid FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY depth DESC, round(along, 9) DESC, taxid DESC) AS rn FROM lin) WHERE rn = 1),
+wl AS (SELECT sc.* FROM top JOIN tree USING (taxid) JOIN sc ON sc.contig = top.contig AND sc.ancestor = tree.ancestor)"""
 
 
 def _paths(spark, d):
     tree = _tree(spark, d)
     o = _orf_lca(spark, d, tree).select("contig", F.col("lca").alias("taxid"), "bits")
-    return taxonomy.weighted_lca(o, tree, 0.03)
+    return taxonomy.weighted_lca(o, tree, 0.1)
 
 
 @query(f"WITH {_WLCA} SELECT contig, ancestor, CAST(depth AS INT) AS depth, round(score, 6) AS score FROM wl")
@@ -254,12 +257,12 @@ def length_bins(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", kmers.length_model(F.col("n_chars")).alias("model"))
 
 
-@query("""WITH q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 2 = 1), r AS (SELECT vec_id AS ref, embedding AS r FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 400),
-s AS (SELECT vec_id, ref, list_sum(list_transform(range(1, 65), lambda i: v[i]::DOUBLE * r[i]::DOUBLE)) AS score FROM q, r)
+@query("""WITH q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT vec_id AS ref, embedding AS r FROM embeddings),
+s AS (SELECT vec_id, ref, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i]::DOUBLE * r[i]::DOUBLE)) AS score FROM q, r WHERE vec_id <> ref)
 SELECT vec_id AS id, arg_max(ref, score) AS best, round(max(score), 5) AS score FROM s GROUP BY 1""")
 def vector_argmax(spark, d):
     e = tb.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return kmers.vector_argmax(e.where("id % 2 = 1"), e.where("id % 2 = 0 and id < 400")).select("id", "best", F.round("score", 5).alias("score"))
+    return kmers.vector_argmax(e.where("id % 50 = 0"), e, skip_same=True).select("id", "best", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {tb.SHARED_SQL}, {tb.COMPONENTS_SQL} SELECT node, component FROM reach")
@@ -379,11 +382,11 @@ def annotation_rate(spark, d):
 
 
 @query(f"""WITH {tb.CALLS_SQL} SELECT accession,
- CASE WHEN length < 3000 THEN 'filtered by length' WHEN score IS NOT NULL AND score < 0.5 THEN 'non-virus' WHEN proportion < 0.1 THEN 'non-virus' ELSE 'virus' END AS pred,
- round(CASE WHEN length < 3000 THEN 0 WHEN score IS NULL THEN proportion WHEN score >= 0.5 AND proportion < 0.1 THEN proportion ELSE score END, 6) AS call_score,
- CASE WHEN length < 3000 THEN 'rejected' WHEN score < 0.5 THEN 'non-virus' WHEN proportion < 0.1 THEN 'lower than reject threshold'
-   WHEN score IS NOT NULL THEN CASE WHEN (proportion + score) / 2 > 0.8 THEN 'high-confidence' WHEN (proportion + score) / 2 > 0.6 THEN 'medium-confidence' ELSE 'low-confidence' END
-   WHEN proportion > 0.75 THEN 'high-confidence' WHEN proportion > 0.25 THEN 'medium-confidence' ELSE 'low-confidence' END AS confidence FROM calls""")
+ CASE WHEN score IS NOT NULL THEN CASE WHEN score < 0.5 OR proportion < 0.1 THEN 'non-virus' ELSE 'virus' END WHEN length < 3000 THEN 'filtered by length' WHEN proportion < 0.1 THEN 'non-virus' ELSE 'virus' END AS pred,
+ round(CASE WHEN score IS NOT NULL THEN CASE WHEN score < 0.5 THEN score WHEN proportion < 0.1 THEN proportion ELSE score END WHEN length < 3000 THEN 0 WHEN proportion < 0.1 THEN 0 ELSE proportion END, 6) AS call_score,
+ CASE WHEN score IS NULL AND length < 3000 THEN '{models.REJECTED}' WHEN proportion < 0.1 THEN '{models.LOW_SHARE}' WHEN score < 0.5 THEN '{models.LOW_SCORE}'
+   WHEN score IS NOT NULL THEN CASE WHEN (proportion + score) / 2 > 0.8 THEN '{models.HIGH}' WHEN (proportion + score) / 2 > 0.6 THEN '{models.MEDIUM}' ELSE '{models.LOW}' END
+   WHEN proportion > 0.75 THEN '{models.HIGH}' WHEN proportion > 0.25 THEN '{models.MEDIUM}' ELSE '{models.LOW}' END AS confidence FROM calls""")
 def virus_call(spark, d):
     return models.virus_call(tb.calls(spark, d)).select("accession", "pred", F.round("call_score", 6).alias("call_score"), "confidence")
 
@@ -398,9 +401,9 @@ def token_sentence(spark, d):
     return models.sentences(h, voc).select("accession", models.sentence_text(F.col("tokens")).alias("text"))
 
 
-@query("SELECT DISTINCT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT DISTINCT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def set_except(spark, d):
-    return tb.table(spark, d, "customer").select(F.col("c_custkey").alias("key")).exceptAll(tb.table(spark, d, "orders").select("o_custkey").distinct()).distinct()
+    return tb.table(spark, d, "part").select(F.col("p_partkey").alias("key")).subtract(tb.table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey"))
 
 
 @query("SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders")

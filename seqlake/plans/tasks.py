@@ -106,17 +106,22 @@ def host(contigs: DataFrame, rows: DataFrame, config: Config, lineages: DataFram
     return out.join(one.select(*rest), "accession", "left"), evidence.multi(rows).orderBy("accession", F.col("score").desc())
 
 
-def kmer_host(viruses_: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(accession, host, score): host whose tetranucleotide profile is nearest by cosine. Hosts are bounded and broadcast."""
-    def profile(d: DataFrame) -> DataFrame:
-        f = kmers.frequencies(d.select(F.col("accession").alias("id"), "seq"))
-        size = F.sqrt(F.aggregate(F.col("m"), F.lit(0.0), lambda a, x: a + x["freq"] * x["freq"]))
-        g = f.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("kmer", "freq"))).alias("m"))
-        return g.select("id", "m", size.alias("norm")).select("id", F.explode("m").alias("x"), "norm").select("id", "x.kmer", (F.col("x.freq") / F.col("norm")).alias("w"))
+#: Standard deviations of the stand-in densities by length model; fitted models are passed in instead.
+WIDTHS = {1: 0.002, 2: 0.003, 3: 0.004, 4: 0.006, 5: 0.01}
 
-    v, h = profile(viruses_), profile(hosts).withColumnsRenamed({"id": "host", "w": "hw"})
-    dot = v.join(h, "kmer").groupBy("id", "host").agg(F.sum(F.col("w") * F.col("hw")).alias("score"))
-    return dot.groupBy(F.col("id").alias("accession")).agg(F.max_by("host", F.struct("score", "host")).alias("host"), F.max("score").alias("score"))
+
+def kmer_host(viruses_: DataFrame, hosts: DataFrame, densities: dict | None = None, protein_hits: DataFrame | None = None, taxa: DataFrame | None = None) -> DataFrame:
+    """(accession, host, score): the host whose tetranucleotide profile the density of the virus's length finds likeliest.
+
+    densities: length model (1 to 5) -> log-density of profile differences. With protein_hits (qseqid, mag, pident) a call
+    stands only if hits bear it out (see evidence.kmer_gate), and the score is their identity.
+    """
+    q = kmers.profiles(viruses_.select(F.col("accession").alias("id"), "seq"))
+    q = q.join(viruses_.select(F.col("accession").alias("id"), kmers.length_model(F.col("length")).alias("model")), "id")
+    rules = densities or {k: kmers.gaussian(w) for k, w in WIDTHS.items()}
+    best = kmers.density_argmax(q, kmers.profiles(hosts.select(F.col("accession").alias("id"), "seq")), rules)
+    calls = best.select(F.col("id").alias("accession"), F.col("best").alias("host"), "score")
+    return calls if protein_hits is None else evidence.kmer_gate(calls, evidence.mag_identity(protein_hits), taxa)
 
 
 def lifestyle(calls: DataFrame, logits: DataFrame | None, config: Config) -> DataFrame:
@@ -130,12 +135,12 @@ def lifestyle(calls: DataFrame, logits: DataFrame | None, config: Config) -> Dat
 def contamination(contigs: DataFrame, genes: DataFrame, marker_hits: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(quality for each contig, regions); a contig too short for a k-mer has depth 1. genes: (accession, orf_id, gene_no, start, end, gc)."""
     labelled = regions.label_genes(genes, besthit.first_per_key(marker_hits, ["orf_id"], [F.col("evalue"), F.col("target")]).select("orf_id", "target"), markers)
-    found = regions.define_regions(labelled)
+    found = regions.define_regions(labelled, contigs)
     depth = kmers.canonical_depth(contigs.select(F.col("accession").alias("id"), F.upper("seq").alias("seq")))
     n = found.groupBy("accession").agg(F.count("*").alias("n_regions"))
     j = contigs.select("accession", "length").join(regions.marker_counts(labelled), "accession", "left").join(n, "accession", "left")
-    j = j.join(depth.withColumnRenamed("id", "accession"), "accession", "left").join(regions.region_summary(found).select("accession", "contamination", "regions"), "accession", "left")
-    j = j.fillna(0, ["genes", "viral", "host", "n_regions"])
+    j = j.join(depth.withColumnRenamed("id", "accession"), "accession", "left").join(regions.region_summary(found, contigs).select("accession", "contamination", "regions"), "accession", "left")
+    j = j.fillna(0, ["genes", "viral", "host", "n_regions"]).fillna(0.0, ["contamination"])
     return j.withColumn("quality", regions.quality(F.col("n_regions"), F.col("viral"), F.col("host"), F.coalesce("kmer_freq", F.lit(1.0)))), found
 
 

@@ -106,7 +106,7 @@ def evidence_rows(spark, d) -> DataFrame:
 
     ev = table(spark, d, "events")
     types = ev.select("event_type").distinct().withColumn("priority", F.row_number().over(Window.orderBy("event_type")))
-    return ev.join(F.broadcast(types.limit(1000)), "event_type").select(F.col("user_id").cast("string").alias("accession"), F.expr("concat('h', event_id % 23)").alias("host"), F.round("value", 4).alias("score"), F.col("event_type").alias("method"), "priority")
+    return ev.join(types, "event_type").select(F.col("user_id").cast("string").alias("accession"), F.expr("concat('h', event_id % 23)").alias("host"), F.round("value", 4).alias("score"), F.col("event_type").alias("method"), "priority")
 
 
 EVIDENCE_SQL = "ev AS (SELECT CAST(user_id AS VARCHAR) AS accession, 'h' || (event_id % 23) AS host, round(value, 4) AS score, event_type AS method, dense_rank() OVER (ORDER BY event_type) AS priority FROM events)"
@@ -125,11 +125,13 @@ GENES_SQL = "genes AS (SELECT CAST(user_id AS VARCHAR) AS accession, row_number(
 
 
 def alignments(spark, d) -> DataFrame:
-    """Conversations as an alignment: role is the marker, a conversation the id, its first turn's letters the row."""
+    """Conversations as an alignment: role is the marker, a conversation the id, the letters of all its turns the row."""
     c = table(spark, d, "conversations")
-    one = c.groupBy(F.col("role").alias("marker"), F.col("conv_id").cast("string").alias("id")).agg(F.min_by("text", F.struct("turn", "text")).alias("t"))
-    return one.select("marker", "id", F.rpad(F.substring(F.regexp_replace(F.lower("t"), "[^a-z]", ""), 1, 12), 12, "-").alias("aln"))
+    one = c.groupBy(F.col("role").alias("marker"), F.col("conv_id").cast("string").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    one = one.select("marker", "id", F.regexp_replace(F.lower(F.array_join("t.text", "")), "[^a-z]", "").alias("t"))
+    width = one.groupBy("marker").agg(F.max(F.length("t")).alias("width"))
+    return one.join(width, "marker").select("marker", "id", F.rpad("t", F.col("width"), F.lit("-")).alias("aln"))
 
 
-ALIGNMENTS_SQL = """msa AS (SELECT role AS marker, CAST(conv_id AS VARCHAR) AS id, rpad(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12), 12, '-') AS aln
-  FROM (SELECT *, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn, text) AS rn FROM conversations) WHERE rn = 1)"""
+ALIGNMENTS_SQL = """al AS (SELECT role AS marker, CAST(conv_id AS VARCHAR) AS id, coalesce(regexp_replace(lower(string_agg(text, '' ORDER BY turn, text)), '[^a-z]', '', 'g'), '') AS t FROM conversations GROUP BY 1, 2),
+msa AS (SELECT marker, id, rpad(t, CAST(max(length(t)) OVER (PARTITION BY marker) AS INT), '-') AS aln FROM al)"""

@@ -28,7 +28,7 @@ def test_names():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["aai_pairs", "interval_coverage", "weighted_lca", "outer_summary", "evidence_precedence", "cluster_propagate", "msa_union", "tetranuc_freq"])
+@pytest.mark.parametrize("name", ["aai_pairs", "interval_coverage", "weighted_lca", "outer_summary", "virus_call", "weighted_identity", "vector_argmax", "set_except", "msa_intersection", "evidence_precedence", "cluster_propagate", "msa_union", "tetranuc_freq"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for p in os.listdir(SF):

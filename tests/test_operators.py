@@ -82,8 +82,20 @@ def test_taxonomy(spark):
     assert got == [("c", 1, 1.0), ("c", 2, 1.0), ("c", 3, 1.0), ("c", 4, 0.6), ("d", 1, 1.0), ("d", 2, 1.0), ("d", 3, 1.0)]
 
 
+def test_best_lineage(spark):
+    tree = taxonomy.closure(spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1), (5, 4), (6, 5)], "taxid int, parent int"))
+    orfs = spark.createDataFrame([("c", 3, 40.0), ("c", 6, 30.0), ("c", 5, 30.0), ("d", 3, 50.0), ("d", 5, 50.0), ("e", 2, 1.0), ("e", None, 9.0)], "contig string, taxid int, bits double")
+    got = rows(taxonomy.weighted_lca(orfs, tree, 0.25), "contig", "ancestor", "score")
+    assert got == [("c", 1, 1.0), ("c", 4, 0.6), ("c", 5, 0.6), ("c", 6, 0.3), ("d", 1, 1.0), ("d", 4, 0.5), ("d", 5, 0.5), ("e", 1, 1.0), ("e", 2, 1.0)]
+    names = spark.createDataFrame([(1, "no rank", "root"), (4, "class", "Tailed phages")], "taxid int, rank string, name string")
+    text = {r["contig"]: r["lineage"] for r in taxonomy.lineage_strings(taxonomy.weighted_lca(orfs, tree, 0.25), names, 1).collect()}
+    assert text["d"] == "class:Caudoviricetes;unknown:unknown" and text["e"] == "unknown:unknown"
+    with pytest.raises(ValueError):
+        taxonomy.closure(spark.createDataFrame([(1, 2), (2, 1)], "taxid int, parent int"))
+
+
 def test_closure_of_a_long_chain(spark):
-    n = 21
+    n = 150
     chain = spark.createDataFrame([(i, max(0, i - 1)) for i in range(n)], "taxid int, parent int")
     assert taxonomy.closure(chain).count() == n * (n + 1) // 2
 
@@ -145,11 +157,12 @@ def test_propagation(spark):
 
 
 def test_virus_call(spark):
-    df = spark.createDataFrame([(5000, 0.7, 0.05), (5000, 0.9, 0.8), (2999, 0.9, 0.9), (5000, 0.4, 0.9), (5000, None, 0.76), (5000, None, 0.1), (5000, None, 0.09), (5000, None, None)], "length int, score double, proportion double")
+    df = spark.createDataFrame([(5000, 0.7, 0.05), (5000, 0.9, 0.8), (2999, 0.9, 0.9), (2999, None, 0.9), (5000, 0.4, 0.9), (5000, 0.4, 0.09), (5000, None, 0.76), (5000, None, 0.1), (5000, None, 0.09), (5000, None, None), (5000, 0.5, 0.5)], "length int, score double, proportion double")
     got = [tuple(r) for r in models.virus_call(df).select("pred", "call_score", "confidence").collect()]
+    low = "lower than reject threshold"
     assert got == [
-        ("non-virus", 0.05, "lower than reject threshold"), ("virus", 0.9, "high-confidence"), ("filtered by length", 0.0, "rejected"), ("non-virus", 0.4, "non-virus"),
-        ("virus", 0.76, "high-confidence"), ("virus", 0.1, "low-confidence"), ("non-virus", 0.09, "lower than reject threshold"), ("non-virus", 0.0, "lower than reject threshold"),
+        ("non-virus", 0.05, low), ("virus", 0.9, "high-confidence"), ("virus", 0.9, "high-confidence"), ("filtered by length", 0.0, "rejected"), ("non-virus", 0.4, models.LOW_SCORE), ("non-virus", 0.4, low),
+        ("virus", 0.76, "high-confidence"), ("virus", 0.1, models.LOW), ("non-virus", 0.0, low), ("non-virus", 0.0, low), ("virus", 0.5, models.LOW),
     ]
 
 
@@ -180,16 +193,122 @@ def test_quality_bins_and_windows(spark):
     assert [r[0] for r in size.select(regions.window_size(F.col("n"))).collect()] == [15, 22, 16, 50]
 
 
-def test_regions(spark):
+def plain_regions(label, gc, end, length):
+    """The boundary rules word by word, on lists."""
+    n = len(label)
+    size = min(max(15, round(0.3 * n)), 50)
+
+    def windows(s1, e1, s2, e2):
+        if not any(label[s1:e1]):
+            s1 = max([j for j in range(s1) if label[j]], default=s1)
+        if not any(label[s2:e2]):
+            e2 = min([j for j in range(e2 + 1, n) if label[j]], default=e2)
+        left, right = [x for x in label[s1:e1] if x], [x for x in label[s2:e2] if x]
+        delta = 0
+        if left and right:
+            by = sum(left) / len(left) - sum(right) / len(right)
+            off = abs(sum(gc[s1:e1]) / (e1 - s1) - sum(gc[s2:e2]) / (e2 - s2))
+            delta = (abs(by) + 0.02 * off) * ((by > 0) - (by < 0))
+        return delta, (s1, e1, s2, e2), left, right
+
+    cuts = []
+    while True:
+        start = cuts[-1][2] if cuts else 0
+        best = None
+        for i in range(1, n):
+            if start and i - start < size:
+                continue
+            d, w, left, right = windows(start, i, i, min(i + size, n))
+            host, viral = (left, right) if d < 0 else (right, left)
+            many = n <= 10 or (host.count(-1) >= 2 and viral.count(1) >= 2)
+            rich = left.count(-1) >= 0.3 * (w[1] - w[0]) - 1e-12 or right.count(-1) >= 0.3 * (w[3] - w[2]) - 1e-12
+            if abs(d) < 1.2 or not (host.count(-1) and viral.count(1)) or not many or not rich:
+                continue
+            if best and not (d * best[0] > 0 and abs(d) > abs(best[0])):
+                break
+            best = (d, w)
+        if not best:
+            break
+        cuts.append(best[1])
+    if cuts:
+        cuts[-1] = (*cuts[-1][:3], n)
+    out, at = [], 1
+    for c in cuts:
+        d, _, left, _ = windows(*c)
+        out.append(("host" if d < 0 else "viral", c[0], c[1], at, end[c[1] - 1], left.count(-1), left.count(1)))
+        at = end[c[1] - 1] + 1
+    if cuts:
+        _, s1, e1 = out[-1][:3]
+        right = windows(s1, e1, e1, n)[3]
+        out.append(("viral" if out[-1][0] == "host" else "host", e1, n, at, length, right.count(-1), right.count(1)))
+    return out
+
+
+def test_regions_match_the_rules(spark):
+    rng = random.Random(8)
+    cases = {"even": [1] * 20 + [-1] * 20, "inner": [1] * 20 + [-1] * 10 + [1] * 20, "none": [0] * 40, "short": [1, 1, -1, -1, -1, 0], "gaps": [0] * 30 + [1] * 5 + [0] * 60 + [-1] * 9 + [0] * 40 + [1] * 9}
+    for k in range(120):
+        parts = [rng.choices([1, 0, -1], weights=w, k=rng.randrange(1, 60)) for w in rng.choices([(6, 3, 1), (1, 3, 6), (1, 9, 1), (8, 1, 0), (0, 1, 8)], k=rng.randrange(1, 7))]
+        cases[f"r{k}"] = sum(parts, [])
+    genes, sizes, want = [], [], []
+    for name, label in cases.items():
+        gc = [rng.choice([0.25, 0.5, 0.75]) for _ in label]
+        end = [100 * i + 90 for i in range(len(label))]
+        genes += [(name, i + 1, end[i] - 89, end[i], gc[i], x) for i, x in enumerate(label)]
+        sizes.append((name, end[-1] + 37))
+        want += [(name, *r) for r in plain_regions(label, gc, end, end[-1] + 37)]
+    g = spark.createDataFrame(genes, "accession string, gene_no int, start int, end int, gc double, label int")
+    got = rows(regions.define_regions(g, spark.createDataFrame(sizes, "accession string, length int")), "accession", "type", "start_gene", "end_gene", "start_pos", "end_pos", "host_genes", "viral_genes")
+    assert got == sorted(want) and len({r[0] for r in got}) > 30
+    # climbing stops at gene 15: one further is no stronger
+    assert [r[1:4] for r in sorted((x for x in got if x[0] == "inner"), key=lambda r: r[2])][0] == ("viral", 0, 15)
+
+
+def test_region_reports(spark):
     g = [("c", i + 1, 100 * i + 1, 100 * i + 90, 0.5, 1 if i < 20 else -1) for i in range(40)]
-    r = regions.define_regions(spark.createDataFrame(g, "accession string, gene_no int, start int, end int, gc double, label int"))
-    got = rows(r, "type", "start_gene", "end_gene")
-    assert got == [("host", 21, 40), ("viral", 1, 20)]
+    size = spark.createDataFrame([("c", 4000)], "accession string, length int")
+    r = regions.define_regions(spark.createDataFrame(g, "accession string, gene_no int, start int, end int, gc double, label int"), size)
     seq = spark.createDataFrame([("c", "A" * 2000 + "C" * 2000)], "accession string, seq string")
     assert regions.provirus(r, seq).first()["end_pos"] == 1990
-    assert regions.region_summary(r).first()["regions"] == "viral:1-1990;host:2001-3990"
-    flat = spark.createDataFrame([(a, b, c, d, e, 0) for a, b, c, d, e, _ in g], r"accession string, gene_no int, start int, end int, gc double, label int")
-    assert regions.define_regions(flat).count() == 0
+    one = regions.region_summary(r, size).first()
+    assert (one["regions"], one["contamination"]) == ("viral:1-1990;host:1991-4000", 50.25)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 8)).round(3)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "id long, v array<double>").repartition(5)
+    dot = v @ v.T
+    np.fill_diagonal(dot, -np.inf)
+    for block in (7, 4096):
+        got = {r["id"]: r["best"] for r in kmers.vector_argmax(df, df, block, skip_same=True).collect()}
+        assert got == {i: int(dot[i].argmax()) for i in range(90)}
+    assert kmers.vector_argmax(df.limit(0), df).count() == 0 and kmers.vector_argmax(df, df.limit(0)).count() == 0
+
+
+def test_kmer_host_calls(spark):
+    hits = spark.createDataFrame([("v1_1", "m1", 80.0), ("v1_2", "m1", 90.0), ("v1_1", "m2", 40.0), ("v2_1", "m3", 55.0)], "qseqid string, mag string, pident double")
+    per = evidence.mag_identity(hits)
+    assert rows(per) == [("v1", "m1", 0.9), ("v1", "m2", 0.4), ("v2", "m3", 0.55)]
+    calls = spark.createDataFrame([("v1", "m1"), ("v2", "m1"), ("v3", "m1")], "accession string, host string")
+    assert rows(evidence.mean_identity(calls.select(F.col("accession").alias("phage")), per)) == [("v1", 0.65), ("v2", 0.55), ("v3", 0.0)]
+    assert rows(evidence.kmer_gate(calls, per)) == [("v1", "m1", 0.9)]
+    taxa = spark.createDataFrame([("m1", "species:a", "genus:g", None), ("m3", "species:b", "genus:g", None)], "mag string, species string, genus string, family string")
+    assert rows(evidence.kmer_gate(calls, per, taxa)) == [("v1", "m1", 0.9), ("v2", "genus:g", 0.55)]
+    evidence.check_complete(per.select("mag").where("mag <> 'm2'"), taxa.select("mag"))
+    with pytest.raises(ValueError):
+        evidence.check_complete(per.select("mag"), taxa.select("mag"))
+    with pytest.raises(ValueError, match="m2"):
+        evidence.strict_lookup(per, taxa, "mag", "genus")
+
+
+def test_nearest_profile_by_density(spark):
+    seqs = spark.createDataFrame([("a", "ACGT" * 30), ("b", "AATT" * 30), ("c", "GGCC" * 30)], "id string, seq string")
+    refs = kmers.profiles(seqs)
+    assert len(refs.first()["v"]) == 256
+    q = kmers.profiles(spark.createDataFrame([("x", "ACGT" * 20 + "AAAA"), ("y", "GGCC" * 25)], "id string, seq string")).withColumn("model", F.lit(3))
+    got = rows(kmers.density_argmax(q.union(q.select(F.lit("z"), "v", F.lit(None))), refs, {3: kmers.gaussian(0.01)}), "id", "best")
+    assert got == [("x", "a"), ("y", "c")]
 
 
 def test_msa(spark):
@@ -204,8 +323,12 @@ def test_ranks(spark):
     x = ranks.explode_lineage(d, "id", "lineage", "scores")
     assert rows(x, "rank", "name", "score") == [("family", "F", None), ("realm", "Duplo:x", 0.9)]
     assert rows(ranks.pivot_ranks(x, "id", ["realm", "genus"])) == [(1, "Duplo:x", "NA")]
-    valid = spark.createDataFrame([("realm", "Duplodnaviria", 0), ("family", "F", 1)], "rank string, name string, ord int")
-    assert rows(ranks.to_valid_rank(x, valid, 5), "name", "valid_rank") == [("Duplo:x", "realm"), ("F", "family")]
+    valid = spark.createDataFrame([("Realm", "Duplodnaviria", 0), ("Genus", "Duploxvirus", 1), ("Family", "F", 2), ("Order", "Fxvirales", 3)], "rank string, name string, ord int")
+    n = spark.createDataFrame([("realm", "Duploviria"), ("genus", "Duploxvirus"), ("family", "Duploxviridae"), ("order", "F"), ("family", "Qviridae"), ("species", "Fx")], "rank string, name string")
+    assert rows(ranks.to_valid_rank(n, valid), "name", "valid_rank", "valid_name") == [
+        ("Duploviria", "Realm", "Duplodnaviria"), ("Duploxviridae", "Genus", "Duploxvirus"), ("Duploxvirus", "Genus", "Duploxvirus"), ("F", "Family", "F"), ("Fx", "Order", "Fxvirales"), ("Qviridae", None, None),
+    ]
+    assert rows(ranks.scores_by_rank(x, "id", ["realm", "genus"])) == [(1, "Duplo:x", "0.9", "NA", "NA")]
 
 
 def test_sentences_and_annotation(spark):

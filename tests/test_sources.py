@@ -15,6 +15,12 @@ def test_fasta_round_trip(spark, tmp_path):
     assert {r["mag"] for r in sources.genome_folder(spark, str(tmp_path / "a.fa")).collect()} == {"a"}
 
 
+def test_a_mark_inside_a_header_starts_no_record(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">c1 gene a > b\r\nAC GT\r\n>c2\nTT\nGG")
+    got = sorted((r["accession"], r["header"], r["seq"]) for r in sources.fasta(spark, str(tmp_path / "a.fa")).collect())
+    assert got == [("c1", "c1 gene a > b", "ACGT"), ("c2", "c2", "TTGG")]
+
+
 def test_protein_headers(spark, tmp_path):
     (tmp_path / "p.faa").write_text(">c1_1 # 2 # 181 # -1 # ID=1_1;partial=10;gc_cont=0.512\nMKL*\n")
     r = sources.proteins(spark, str(tmp_path / "p.faa")).first()
@@ -28,8 +34,11 @@ def test_tables(spark, tmp_path):
     assert sources.contamination_hits(spark, str(tmp_path / "m.tab")).first()["target"] == "X"
     (tmp_path / "c.txt").write_text("a b\tc\n\nd\n")
     assert sorted(tuple(r) for r in sources.cluster_file(spark, str(tmp_path / "c.txt")).collect()) == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "d")]
-    (tmp_path / "m1.crt").write_text("head\n12\t\tREP\tACGTN\n13\t\tREP\tQQQ\n14\t\tREP\t\n")
-    assert [tuple(r) for r in sources.spacers(spark, str(tmp_path / "m1.crt")).collect()] == [("m1", 12, "ACGTN")]
+    (tmp_path / "m1.crt").write_text("head\n12\t\tREP\tACGTN\n13\t\tREP\tQQQ\n14\t\tREP\t\n15\t\tREP\tGG\t[ 1 ]\n")
+    got = sorted(map(tuple, sources.spacers(spark, str(tmp_path / "m1.crt")).collect()), key=lambda r: r[2])
+    assert got == [("m1_CRISPR_0", "m1", 12, "ACGTN", True), (None, "m1", 13, "QQQ", False), ("m1_CRISPR_1", "m1", 15, "GG", True)]
+    (tmp_path / "k.csv").write_text("h," + ",".join(["0.25"] * 16) + "\n")
+    assert sources.kmer_table(spark, str(tmp_path / "k.csv"), 2).first()["v"] == [0.25] * 16
     (tmp_path / "n.json").write_text('{"Genus": ["A", "B"], "Family": []}')
     assert sorted(tuple(r) for r in sources.valid_names(spark, str(tmp_path / "n.json")).collect()) == [("Genus", 0, "A"), ("Genus", 1, "B")]
     d = tmp_path / "mixed"
