@@ -51,3 +51,14 @@ def marker_best(hits: DataFrame, identity: float, cover: float) -> DataFrame:
     h = hits.withColumn("cov", 100 * F.greatest(F.try_divide(F.col("length").cast("double"), "qlen"), F.try_divide(F.col("length").cast("double"), "slen")))
     best = first_per_key(h, ["genome"], [F.col("cov").desc(), F.col("pident").desc(), F.col("sseqid"), F.col("qseqid")])
     return best.where((F.col("cov") > cover) & (F.col("pident") > identity))
+
+
+def first_evalue(hits: DataFrame, order: Column) -> DataFrame:
+    """(query, evalue): the first hit's e-value of each query in a given order."""
+    return first_per_key(hits, ["query"], [order]).select("query", "evalue")
+
+
+def span_ratio(hits: DataFrame, order: Column, least: float = 0.7) -> DataFrame:
+    """(qseqid, ratio): query span over target span of each query's first hit, in a given order, that reaches `least`."""
+    ratio = F.abs(F.try_divide((F.col("qstart") - F.col("qend")).cast("double"), F.col("sstart") - F.col("send")))
+    return first_per_key(hits.withColumn("ratio", ratio).where(F.col("ratio") >= least), ["qseqid"], [order]).select("qseqid", "ratio")

@@ -29,6 +29,24 @@ def viruses(contigs: DataFrame, calls: DataFrame) -> DataFrame:
     return contigs.join(calls.where("pred = 'virus'").select("accession"), "accession", "left_semi")
 
 
+def recruit(contigs: DataFrame, proteins: DataFrame, calls: DataFrame | None = None, longer: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(viral contigs of more than `longer` bases, their proteins); without calls all contigs count as viral."""
+    own = (viruses(contigs, calls) if calls is not None else contigs).where(F.col("length") > longer)
+    known = own.select("accession")
+    return own, proteins.withColumn("accession", genome_of(F.col("orf_id"))).join(known, "accession", "left_semi").drop("accession")
+
+
+def gene_to_genome(hits: DataFrame) -> DataFrame:
+    """(protein_id, contig_id, keywords) of all proteins that have a hit."""
+    p = hits.select(F.col("qseqid").alias("protein_id")).distinct()
+    return p.select("protein_id", genome_of(F.col("protein_id")).alias("contig_id"), F.lit("hypothetical protein").alias("keywords"))
+
+
+def units(contigs: DataFrame, hits: DataFrame, orfs: DataFrame, config: Config) -> DataFrame:
+    """Species or genus units, as config.mode says."""
+    return species_units(contigs, hits, config) if config.mode == "ANI" else genus_units(contigs, hits, orfs, config)
+
+
 def annotate(orfs: DataFrame, hits: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(annotated genes, annotation rates) from 12-column hits and (protein, description)."""
     best = besthit.best_hit(hits).withColumn("coverage", coverage_to_qend(F.col("length"), F.col("qend")))

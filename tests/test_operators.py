@@ -286,6 +286,20 @@ def test_nearest_vectors_in_blocks(spark):
     assert kmers.vector_argmax(df.limit(0), df).count() == 0 and kmers.vector_argmax(df, df.limit(0)).count() == 0
 
 
+def test_parameters():
+    for bad in ({"task": "x"}, {"mode": "B"}, {"markers": ("terl", "y")}, {"genomes_only": True}, {"genome_taxonomy": "t.tsv"}, {"spacer_identity": 80}, {"reject": 21}, {"spacer_program": "z"}):
+        with pytest.raises(ValueError):
+            Config(**bad)
+    assert Config(genomes="f", genomes_only=True, markers=("head",)).markers == ("head",)
+
+
+def test_first_hits(spark):
+    h = spark.createDataFrame([("q", 1, 100, 1, 200, 0), ("q", 1, 100, 100, 1, 1), ("q", 1, 90, 1, 90, 2), ("r", 1, 9, 5, 5, 0)], "qseqid string, qstart int, qend int, sstart int, send int, n int")
+    assert rows(besthit.span_ratio(h, F.col("n"))) == [("q", 1.0)]
+    e = spark.createDataFrame([("p", 0.5, 0), ("p", 0.1, 1)], "query string, evalue double, n int")
+    assert rows(besthit.first_evalue(e, F.col("n"))) == [("p", 0.5)]
+
+
 def test_kmer_host_calls(spark):
     hits = spark.createDataFrame([("v1_1", "m1", 80.0), ("v1_2", "m1", 90.0), ("v1_1", "m2", 40.0), ("v2_1", "m3", 55.0)], "qseqid string, mag string, pident double")
     per = evidence.mag_identity(hits)
