@@ -292,33 +292,33 @@ def _components(placed: DataFrame, reps: DataFrame, texts: DataFrame, percent: i
     pool = pool.drop("comp").join(core.select("no", "core"), "no").where(fits)
     pool = materialize(pool.join(reps.select("no", "bands").dropDuplicates(["no"]), "no"), "near-pool")
     discard(old, core)
-    led = [pool.where("no = leader").select("band", "no")]
+    # one that has led in a bucket has been compared with all of it, and leaves it
+    rest = pool.where("no <> leader")
     turn = 16
     while True:
-        # one that has led in the bucket has been compared with all of it
-        now, done = label(pool), _union(led)
+        now = label(rest)
         per = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
         main = per.groupBy("band").agg(F.max_by("comp", F.struct("k", F.hash("comp"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-        outside = now.join(main, "band").where("comp <> main").join(done, ["band", "no"], "left_anti")
-        lead = materialize(_some(outside, turn), "near-lead")
+        lead = materialize(_some(now.join(main, "band").where("comp <> main"), turn), "near-lead")
         if lead.isEmpty():
             break
-        rest = now.join(done, ["band", "no"], "left_anti")
         cols = ("no", "n", "core", "comp", "bands")
-        x, y = (t.select("band", F.struct(*cols).alias(c)) for t, c in ((lead, "x"), (rest, "y")))
+        x, y = (t.select("band", F.struct(*cols).alias(c)) for t, c in ((lead, "x"), (now, "y")))
         cx, cy = F.col("x"), F.col("y")
         common = F.array_position(F.zip_with(cx["bands"], cy["bands"], lambda a, b: a == b), True)
         at = F.array_position(cx["bands"], F.col("band"))
         # the size test first, then a pair only in the first bucket that both are in
         pairs = x.join(y, "band").where((cx["comp"] != cy["comp"]) & _may(percent, F.least(cx["core"], cy["core"]), cx["n"], cy["n"]) & (common == at))
         found = _links(pairs.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b")).distinct(), texts, percent, shingle)
-        led.append(lead.select("band", "no"))
+        old = rest
+        rest = materialize(old.join(lead.select("band", "no"), ["band", "no"], "left_anti"), "near-rest")
+        discard(old, lead)
         if not found.isEmpty():
             links.append(found)
             discard(comp)
             comp = connected_components(_union(links))
         turn *= 16
-    discard(pool, *links)
+    discard(pool, rest, lead, *links)
     return comp
 
 
