@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import OWN, bounded_broadcast, materialize, word_count
+from seqlake.llm.common import OWN, bounded_broadcast, discard, materialize, word_count
 
 #: Pareto ranks (log2 of odds) are first summed by steps of 1/RANK_STEP; only the step with the cut is ranked exactly.
 RANK_STEP = 1 << 8
@@ -59,38 +59,76 @@ def mix(
     the front until the rest is filled. Fixed size counts words: the cut goes to the nearer side of the document
     that crosses it, and then one more document, the one outside that best closes the gap, may be added.
 
+    That document is the one exception to the order, at most one (or its equal rows) in each source; a source's other
+    documents keep the inclusion of the sampling design.
+
     The cut is found as in a radix selection: words summed by (source, rank step), then exact order inside the one
-    step that crosses. So a hot source is never sorted in one task.
+    step that crosses. So a hot source is never sorted in one task. What a document needs to know is a row for each
+    source: k, the cut and the added document. Copies are an expression on the document's row, so texts never move.
 
     Null text has size 0 and takes 0 words, as does text without words. Null source is a source of its own, last.
-    Null or repeated ids are allowed: rows that are equal in id, source and size get consecutive ranks, taken by the
-    same rule as any tie. Empty input gives empty output. Columns of docs with the names of added ones are replaced.
+    Null or repeated ids are allowed: rows that are equal in id, source and size share a rank and are taken together.
+    Empty input gives empty output. Columns of docs with the names of added ones are replaced; none may start with `__sl_`.
     """
-    s, z, e = F.col(OWN + "source"), F.col(OWN + "size"), F.col(OWN + "id")
-    base = docs.withColumns({OWN + "source": F.col(source_col), OWN + "size": word_count(F.col(text_col)), OWN + "id": F.col(id_col)})
-    # rows alike in (id, source, size) are told apart by nothing that a rerun keeps, so they share one rank: see `dup`
-    small = materialize(base.groupBy(e.alias("id"), s.alias("source"), z.alias("size")).agg(F.count("*").alias("dup")), "mix-sizes")
-    plan = _plan(small, weights, share, cap, seed)
+    rows = docs.withColumns({OWN + "source": F.col(source_col), OWN + "size": word_count(F.col(text_col)), OWN + "id": F.col(id_col)})
+    small = materialize(_kinds(rows.select(F.col(OWN + "id").alias("id"), F.col(OWN + "source").alias("source"), F.col(OWN + "size").alias("size"))), "mix-sizes")
+    p = _params(small, weights, share, cap, seed)
+    discard(small)
     keys = [OWN + "id", OWN + "source", OWN + "size"]
-    plan = plan.select(F.col("id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "copies")
-    out = base.drop("size", "source_size", "target", "copies", "taken").join(
-        plan, e.eqNullSafe(F.col("p_id")) & s.eqNullSafe(F.col("p_source")) & (z == F.col("p_size")), "left"
-    )
-    return out.withColumn("size", z).withColumn("taken", F.col("copies") * z).drop(*keys, "p_id", "p_source", "p_size")
+    out = rows.drop("size", "source_size", "target", "copies", "taken").join(p, _same(F.col(OWN + "source"), F.col(OWN + "p_source")), "left")
+    of = F.col(OWN + "p")
+    out = out.withColumns({"size": F.col(OWN + "size"), "source_size": of["source_size"], "target": of["target"], "copies": _copies(*(F.col(c) for c in keys[::2]), of, seed)})
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(*keys, OWN + "p", OWN + "p_source")
+
+
+def _kinds(rows: DataFrame) -> DataFrame:
+    """Rows alike in (id, source, size) are told apart by nothing that a rerun keeps, so they are one row with their number."""
+    return rows.groupBy("id", "source", "size").agg(F.count("*").alias("dup"))
 
 
 def plan_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 20) -> DataFrame:
     """As mix(), but only (id, source, size, dup, source_size, target, copies): one narrow row for each kind of row, no texts."""
-    small = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("dup"))
-    return _plan(materialize(small, "mix-sizes"), weights, share, cap, seed)
+    small = materialize(_kinds(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))), "mix-sizes")
+    p = _params(small, weights, share, cap, seed)
+    of = F.col(OWN + "p")
+    return small.join(p, _same(F.col("source"), F.col(OWN + "p_source")), "left").select(
+        "id", "source", "size", "dup", of["source_size"].alias("source_size"), of["target"].alias("target"), _copies(F.col("id"), F.col("size"), of, seed).alias("copies")
+    )
 
 
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _plan(small: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
-    by_size = small.groupBy("source", "size").agg(F.sum("dup").alias("n"))
+def _rank(id_: Column, size: Column, of: Column, seed: int) -> Column:
+    """Pareto rank in log2: log2(u/(1-u)) - log2(p/(1-p)), u kept off 0 and 1. Probability 1 ranks below every other; null is never taken."""
+    u = (F.pmod(F.xxhash64(id_, size, F.lit(seed)), F.lit(1 << 50)) + 0.5) / float(1 << 50)
+    p = of["k"] * size
+    sure = (size > 0) & (of["rest"] > 0) & (of["k"].isNull() | (size > of["below"]))
+    return F.when(sure, F.lit(-1000.0)).when((of["rest"] > 0) & (size > 0) & (p > 0), F.log2(u / (1 - u)) - F.log2(p / (1 - p)))
+
+
+def _order(rank: Column, id_: Column, size: Column, seed: int) -> Column:
+    """The exact order: by rank, ties by a hash, then by id, null last, and size."""
+    return F.struct(rank.alias("rank"), F.xxhash64(id_, size, F.lit(seed + 1)).alias("tie"), id_.isNull().alias("last"), id_.alias("id"), size.alias("size"))
+
+
+def _picked(id_: Column, size: Column, of: Column, seed: int) -> Column:
+    """Whether the sample takes the document: it comes before the cut of its source (all do if its words don't fill the rest)."""
+    rank = _rank(id_, size, of, seed)
+    step = F.floor(rank * RANK_STEP)
+    upto = (step < of["c_step"]) | ((step == of["c_step"]) & of["edge"].isNotNull() & (_order(rank, id_, size, seed) <= of["edge"]))
+    return F.coalesce(rank.isNotNull() & F.when(of["c_step"].isNull(), F.lit(True)).otherwise(upto), F.lit(False))
+
+
+def _copies(id_: Column, size: Column, of: Column, seed: int) -> Column:
+    added = F.coalesce(of["f_id"].eqNullSafe(id_) & (of["f_size"] == size), F.lit(False))
+    return F.when(size > 0, of["whole"] + (_picked(id_, size, of, seed) | added).cast("bigint")).otherwise(F.lit(0)).cast("bigint")
+
+
+def _params(small: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """(OWN p_source, OWN p): for each source, the struct that _copies() reads; broadcast if there are few sources."""
+    by_size = materialize(small.groupBy("source", "size").agg(F.sum("dup").alias("n")), "mix-by-size")
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(totals, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -110,45 +148,44 @@ def _plan(small: DataFrame, weights: Sequence[float], share: float, cap: float,
         .agg(F.max_by(F.struct("k", "size"), F.col("size")).alias("m"))
         .select(F.col("source").alias("k_source"), F.col("m.k").alias("k"), F.col("m.size").alias("below"))
     )
-    goal = bounded_broadcast(materialize(goal.join(k, _same(goal["source"], k["k_source"]), "left").drop("k_source").withColumnRenamed("source", "g_source"), "mix-odds"), BROADCAST_ROWS)
-
-    # Pareto rank in log2: log2(u/(1-u)) - log2(p/(1-p)), with u and p kept off 0 and 1
-    u = (F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(1 << 50)) + 0.5) / float(1 << 50)
-    p = F.col("k") * F.col("size")
-    d = small.join(goal, _same(F.col("source"), F.col("g_source"))).drop("g_source")
-    d = d.withColumn("sure", (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("k").isNull() | (F.col("size") > F.col("below"))))
-    # probability 1 comes first in the order: a rank below every other
-    rank = F.when(F.col("sure"), F.lit(-1000.0)).when((F.col("rest") > 0) & (F.col("size") > 0) & (p > 0), F.log2(u / (1 - u)) - F.log2(p / (1 - p)))
-    d = d.withColumn("rank", rank).withColumn("step", F.floor(F.col("rank") * RANK_STEP)).withColumn("mass", F.col("size") * F.col("dup"))
-    d = materialize(d, "mix-ranks")
+    odds = goal.join(k, _same(goal["source"], k["k_source"]), "left").drop("k_source")
+    odds = materialize(odds.withColumns({"source_size": F.col("source_size").cast("bigint"), "target": F.col("target").cast("double")}), "mix-odds")
+    discard(goal, by_size)
+
+    per = lambda t: bounded_broadcast(t.select(F.col("source").alias("p_source"), F.struct(*[c for c in t.columns if c != "source"]).alias("p")), BROADCAST_ROWS)
+    rank, mass = _rank(F.col("id"), F.col("size"), F.col("p"), seed), F.col("size") * F.col("dup")
+    d = small.join(per(odds), _same(F.col("source"), F.col("p_source"))).select("id", "source", "size", mass.alias("mass"), rank.alias("rank"), F.col("p.rest").alias("rest"))
+    d = materialize(d.where("rank is not null").withColumn("step", F.floor(F.col("rank") * RANK_STEP)), "mix-ranks")
 
     up = Window.partitionBy("source").orderBy("step")
     cut = (
-        d.where("rank is not null").groupBy("source", "step").agg(F.sum("mass").alias("mass"), F.first("rest").alias("rest"))
+        d.groupBy("source", "step").agg(F.sum("mass").alias("mass"), F.first("rest").alias("rest"))
         .withColumn("upto", F.sum("mass").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .where(F.col("upto") >= F.col("rest"))
         .groupBy("source").agg(F.min_by(F.struct("step", (F.col("upto") - F.col("mass")).alias("before")), F.col("step")).alias("c"))
         .select(F.col("source").alias("c_source"), F.col("c.step").alias("c_step"), "c.before")
     )
-    cut = bounded_broadcast(materialize(cut, "mix-cuts"), BROADCAST_ROWS)
-    d = d.join(cut, _same(F.col("source"), F.col("c_source")), "left").drop("c_source")
+    cut = materialize(cut, "mix-cuts")
     # exact order inside the crossing step alone; the nearer side of the crossing document is the cut
-    edge = Window.partitionBy("source").orderBy("rank", F.xxhash64("id", "size", F.lit(seed + 1)), F.col("id").asc_nulls_last(), "size")
-    inside = d.where(F.col("step") == F.col("c_step")).withColumn("upto", F.col("before") + F.sum("mass").over(edge.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = inside.withColumn("picked", F.abs(F.col("upto") - F.col("rest")) <= F.abs(F.col("upto") - F.col("mass") - F.col("rest")))
-    rest = d.where(~F.coalesce(F.col("step") == F.col("c_step"), F.lit(False))).withColumn("picked", F.coalesce(F.col("c_step").isNull() & F.col("rank").isNotNull(), F.lit(False)) | F.coalesce(F.col("step") < F.col("c_step"), F.lit(False)))
-    d = materialize(inside.drop("upto").unionByName(rest), "mix-picks")
+    order = _order(F.col("rank"), F.col("id"), F.col("size"), seed)
+    inside = d.join(bounded_broadcast(cut, BROADCAST_ROWS), _same(F.col("source"), F.col("c_source")) & (F.col("step") == F.col("c_step"))).withColumn("key", order)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("mass").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = inside.where(F.abs(F.col("upto") - F.col("rest")) <= F.abs(F.col("upto") - F.col("mass") - F.col("rest")))
+    edge = inside.groupBy("source").agg(F.max("key").alias("edge")).withColumnRenamed("source", "e_source")
+    edges = odds.join(cut.drop("before"), _same(odds["source"], cut["c_source"]), "left").drop("c_source")
+    edges = materialize(edges.join(edge, _same(F.col("source"), F.col("e_source")), "left").drop("e_source"), "mix-edges")
 
     # one document outside may close the gap that is left
-    got = d.groupBy("source").agg(F.sum(F.when(F.col("picked"), F.col("mass")).otherwise(F.lit(0))).alias("got"), F.first("rest").alias("need")).withColumn("gap", F.col("need") - F.col("got")).where("gap > 0.5")
-    got = bounded_broadcast(materialize(got.select(F.col("source").alias("f_source"), "gap"), "mix-gaps"), BROADCAST_ROWS)
-    fill = d.where("not picked and mass > 0 and rank is not null").join(got, _same(F.col("source"), F.col("f_source"))).where(F.col("mass") < 2 * F.col("gap"))
-    fill = fill.groupBy("f_source").agg(F.min_by(F.struct("id", "size"), F.struct(F.abs(F.col("mass") - F.col("gap")), F.col("id").isNull(), F.col("id"), F.col("size"))).alias("f"))
-    fill = bounded_broadcast(materialize(fill.select("f_source", F.col("f.id").alias("f_id"), F.col("f.size").alias("f_size")), "mix-fill"), BROADCAST_ROWS)
-    d = d.join(fill, _same(F.col("source"), F.col("f_source")) & _same(F.col("id"), F.col("f_id")) & (F.col("size") == F.col("f_size")), "left")
-    picked = F.col("picked") | F.col("f_size").isNotNull()
-    copies = F.when(F.col("size") > 0, F.col("whole") + picked.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
-    return d.select("id", "source", "size", "dup", F.col("source_size").cast("bigint").alias("source_size"), F.col("target").cast("double").alias("target"), copies.alias("copies"))
+    at = d.select("id", "source", "size", "mass").join(per(edges), _same(F.col("source"), F.col("p_source")))
+    at = at.withColumn("picked", _picked(F.col("id"), F.col("size"), F.col("p"), seed))
+    got = at.groupBy("source").agg((F.first("p.rest") - F.sum(F.when(F.col("picked"), F.col("mass")).otherwise(F.lit(0)))).alias("gap")).where("gap > 0.5")
+    got = bounded_broadcast(materialize(got.select(F.col("source").alias("g_source"), "gap"), "mix-gaps"), BROADCAST_ROWS)
+    fill = at.where("not picked").join(got, _same(F.col("source"), F.col("g_source"))).where(F.col("mass") < 2 * F.col("gap"))
+    fill = fill.groupBy("g_source").agg(F.min_by(F.struct("id", "size"), F.struct(F.abs(F.col("mass") - F.col("gap")), F.col("id").isNull(), F.col("id"), F.col("size"))).alias("f"))
+    fill = fill.select(F.col("g_source").alias("f_source"), F.col("f.id").alias("f_id"), F.col("f.size").alias("f_size"))
+    out = materialize(edges.join(fill, _same(F.col("source"), F.col("f_source")), "left").drop("f_source"), "mix-params")
+    discard(d, edges, cut, odds)
+    return per(out).withColumnsRenamed({"p_source": OWN + "p_source", "p": OWN + "p"})
 
 
 def op4_pareto_mix(spark, sf_dir: str) -> DataFrame:
