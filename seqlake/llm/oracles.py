@@ -43,21 +43,22 @@ def _located(kind: str, pattern: str) -> str:
 
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN (2 * CAST(substr({_DIGITS}, length({_DIGITS}) - i + 1, 1) AS INT)) // 10 + (2 * CAST(substr({_DIGITS}, length({_DIGITS}) - i + 1, 1) AS INT)) % 10 ELSE CAST(substr({_DIGITS}, length({_DIGITS}) - i + 1, 1) AS INT) END)) % 10 = 0"
-_CLEAN = r"regexp_replace({x}, '\S*[0-9@]\S*', ' ', 'g')"
+_CLEAN = r"regexp_replace({x}, '[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*', ' ', 'g')"
 _TERMS = r"list_distinct(list_transform(regexp_extract_all({x}, '\p{{L}}{{3,}}'), lambda y: lower(y)))"
 _JOIN = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a)"
 
-OP10_SQL = f"""WITH u AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+OP10_SQL = f"""WITH u AS (SELECT coalesce(text, '') AS t, count(*) AS c FROM documents GROUP BY 1),
 raw AS ({_located("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")} UNION ALL {_located("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")}
   UNION ALL {_located("card", r"[0-9](?:[\x20-]?[0-9])+")} UNION ALL {_located("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}),
 base AS (SELECT t, kind, v, a, a + length(v) AS b, list_position(['email', 'ip', 'card', 'phone'], kind) AS o FROM raw WHERE CASE kind WHEN 'email' THEN true
   WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0
   WHEN 'card' THEN length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN} ELSE length({_DIGITS}) BETWEEN 9 AND 15 END),
-near AS (SELECT t, kind || ':' || v AS value, string_split(substr(t, greatest(a - 120, 0) + 1, least(a, 120)), chr(10))[-1] AS l, string_split(substr(t, b + 1, 120), chr(10))[1] AS r FROM base),
-ctx AS (SELECT t, value, l, r, unnest({_TERMS.format(x=_CLEAN.format(x="l") + " || chr(10) || " + _CLEAN.format(x="r"))}) AS term FROM near),
-pair AS (SELECT term, max(texts) AS with_value FROM (SELECT value, term, count(DISTINCT t) AS texts FROM ctx GROUP BY 1, 2 HAVING count(DISTINCT (l, r)) >= 3) GROUP BY 1),
-tok AS (SELECT t, term FROM (SELECT t, unnest({_TERMS.format(x="t")}) AS term FROM u) WHERE term IN (SELECT term FROM pair)),
-bad AS (SELECT term FROM tok JOIN pair USING (term) GROUP BY term HAVING count(*) <= 2 * any_value(with_value)),
+ent AS (SELECT DISTINCT t, unnest([kind || ':' || v, CASE kind WHEN 'email' THEN 'domain:' || lower(string_split(v, '@')[-1]) WHEN 'ip' THEN 'net:' || array_to_string(string_split(v, '.')[1:3], '.')
+  WHEN 'card' THEN 'bin:' || left({_DIGITS}, 6) ELSE 'line:' || left({_DIGITS}, length({_DIGITS}) - 4) END]) AS value FROM base),
+tok AS (SELECT t, c, unnest({_TERMS.format(x=_CLEAN.format(x="t"))}) AS term FROM u),
+often AS (SELECT value FROM ent GROUP BY value HAVING count(*) >= 3),
+pair AS (SELECT term, max(docs) AS with_value FROM (SELECT value, term, sum(c) AS docs FROM ent JOIN often USING (value) JOIN tok USING (t) GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+bad AS (SELECT term FROM tok JOIN pair USING (term) GROUP BY term HAVING sum(c) <= 2 * any_value(with_value)),
 hit AS (SELECT t, list(term) AS own FROM tok WHERE term IN (SELECT term FROM bad) GROUP BY 1),
 occ AS (SELECT t, 'term' AS kind, v, a, a + length(v) AS b, 5 AS o FROM ({_located("term", r"\p{L}{3,}").replace("FROM u", "FROM (SELECT t FROM hit)")}) JOIN hit USING (t) WHERE list_contains(own, lower(v))),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM occ WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.t = occ.t AND base.a < occ.b AND occ.a < base.b)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import OWN, materialize, table
+from seqlake.llm.common import OWN, bounded_broadcast, discard, materialize, table
 
 #: kind -> pattern. They match what `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+` and the like match, leftmost
 #: and non-overlapping, but never backtrack: possessive runs, and a start inside a run only where the last match ended.
@@ -22,11 +22,11 @@ TERM = r"\p{L}{3,}"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 #: A term discloses an entity value when knowing the term leaves at most this many bits of the value's information.
 LEFT_BITS = 1.0
-#: ... as seen in at least so many distinct contexts, so that copies of one text are no evidence.
-LEAST_CONTEXTS = 3
-#: Context of an entity: its line, within so many code points on each side.
-REACH = 120
-#: At most so many terms are broadcast; more are joined by shuffle.
+#: ... as seen in at least so many distinct texts, so that copies of one text are no evidence.
+LEAST_TEXTS = 3
+#: A token with a digit or @ holds entities and no terms.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: At most so many terms, or rows of texts with such terms, are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 50_000
 
 
@@ -75,43 +75,66 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(SPAN))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(value, line, term): distinct lower-cased terms in the line around each base span, REACH code points each way."""
-    t = F.col(OWN + "t")
-    s = found.where(F.size(OWN + "base") > 0).select(t, F.col(OWN + "base"), F.explode(OWN + "base").alias("s"))
-    left = F.element_at(F.split(F.substring(t, F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))), "\n"), -1)
-    right = F.element_at(F.split(F.substring(t, F.col("s.end") + 1, F.lit(REACH)), "\n"), 1)
-    clean = lambda x: F.regexp_replace(x, r"\S*[0-9@]\S*", " ")  # noqa: E731  other entities are no terms
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws("\n", clean(left), clean(right)), F.lit(TERM), F.lit(0)), F.lower))
-    return s.select(F.concat_ws(":", "s.kind", "s.value").alias("value"), F.xxhash64(left, right).alias("line"), F.xxhash64(t).alias("doc"), F.explode(terms).alias("term"))
+def _terms(t: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace(t, TOKEN, " "), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _entities(base: Column) -> Column:
+    """Distinct protected entities of base spans: each value, and the group it belongs to (an e-mail's domain, the first
+    three parts of an ip, the first six digits of a card, a phone number without its last four digits)."""
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+    group = lambda k, v: (
+        F.when(k == "email", F.concat(F.lit("domain:"), F.lower(F.substring_index(v, "@", -1))))
+        .when(k == "ip", F.concat(F.lit("net:"), F.substring_index(v, ".", 3)))
+        .when(k == "card", F.concat(F.lit("bin:"), F.substring(digits(v), 1, 6)))
+        .otherwise(F.concat(F.lit("line:"), F.substring(digits(v), F.lit(1), F.length(digits(v)) - 4)))
+    )
+    return F.array_distinct(F.flatten(F.transform(base, lambda x: F.array(F.concat_ws(":", x["kind"], x["value"]), group(x["kind"], x["value"])))))
 
 
-def _text_terms(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64(OWN + "t").alias("doc"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(OWN + "t"), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+def co_occurrences(found: DataFrame) -> DataFrame:
+    """(term, with_value): the most documents in which the term meets one protected entity, for terms that may disclose it.
+
+    Counted over whole texts with an entity. An entity or pair in fewer than LEAST_TEXTS distinct texts is no evidence.
+    A term that stands in more than 2**LEFT_BITS times as many of these documents as it shares with any entity
+    can't disclose: its documents in all are no fewer.
+    """
+    t = F.col(OWN + "t")
+    own = found.where(F.size(OWN + "base") > 0).select(F.xxhash64(t).alias("doc"), _entities(F.col(OWN + "base")).alias("values"), _terms(t).alias("terms"))
+    own = materialize(own, "pii-bearing")
+    # one row for each distinct text, with the number of documents that have it
+    copies = own.groupBy("doc").agg(F.count("*").alias("copies"))
+    own2 = materialize(own.dropDuplicates(["doc"]).join(copies, "doc"), "pii-texts")
+    discard(own)
+    values = own2.select("doc", F.explode("values").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS).select("value")
+    per = values.join(often, "value").groupBy("doc").agg(F.collect_list("value").alias("often"))
+    pair = own2.join(per, "doc").select("copies", "terms", F.explode("often").alias("value")).select("copies", "value", F.explode("terms").alias("term"))
+    pair = pair.groupBy("value", "term").agg(F.sum("copies").alias("docs"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
+    pair = pair.groupBy("term").agg(F.max("docs").alias("with_value"))
+    bearing = own2.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("docs"))
+    out = pair.join(bearing, "term").where(F.col("docs") <= 2.0**LEFT_BITS * F.col("with_value")).select("term", "with_value")
+    out = materialize(out, "pii-pairs")
+    discard(own2)
+    return out
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
-    """(term, bits): terms whose presence reveals a protected value.
+    """(term, docs, with_value, bits): terms whose presence reveals a protected entity.
 
-    With D(x) the documents that hold x: PMI(term; value) = log2(D(term, value) * D / (D(term) * D(value))), and the
-    value's information is log2(D / D(value)). What the term leaves is their difference, log2(D(term) / D(term, value)).
-    A term discloses if that is at most LEFT_BITS and the pair stands in LEAST_CONTEXTS distinct contexts.
-    D(term) is counted over all documents, for terms that have a candidate value.
+    With D(x) the documents that hold x: PMI(term; entity) = log2(D(term, entity) * D / (D(term) * D(entity))), and the
+    entity's information is log2(D / D(entity)). What the term leaves is their difference, log2(D(term) / D(term, entity)),
+    never below 0. A term discloses if that is at most LEFT_BITS and the pair stands in LEAST_TEXTS distinct texts. Both
+    counts are of whole texts, over all documents.
     """
-    ctx = materialize(contexts(found), "pii-contexts")
-    pair = ctx.groupBy("value", "term", "doc").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("texts"))
-    wide = ctx.select("value", "term", "line").distinct().groupBy("value", "term").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_CONTEXTS)
-    pair = materialize(pair.join(wide, ["value", "term"]).groupBy("term").agg(F.max("texts").alias("with_value")), "pii-pairs")
+    pair = co_occurrences(found)
     if pair.isEmpty():
-        return pair.select("term", F.lit(0.0).alias("bits"))
-    n = pair.limit(BROADCAST_TERMS + 1).count()
-    # distinct texts on both sides of the ratio: copies count once. Small candidate sets filter before the shuffle
-    tokens = _text_terms(found)
-    if n <= BROADCAST_TERMS:
-        tokens = tokens.join(F.broadcast(pair.select("term")), "term", "left_semi")
-    df = tokens.distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    left = F.log2(F.col("texts") / F.col("with_value"))
-    return materialize(df.join(pair, "term").select("term", left.alias("bits")).where(F.col("bits") <= LEFT_BITS), "pii-terms")
+        return pair.select("term", F.lit(0).cast("bigint").alias("docs"), "with_value", F.lit(0.0).alias("bits"))
+    # a plain word count, summed in each task before the shuffle
+    docs = found.select(F.explode(_terms(F.col(OWN + "t"))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    docs = docs.join(bounded_broadcast(pair, BROADCAST_TERMS), "term").where(F.col("docs") <= 2.0**LEFT_BITS * F.col("with_value"))
+    return materialize(docs.select("term", "docs", "with_value", F.log2(F.col("docs") / F.col("with_value")).alias("bits")), "pii-terms")
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -119,7 +142,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Spans are (kind, start, end, value), code points, end exclusive. Null text is empty. Term spans that overlap a base
     span are left out. Rows are judged alone but for the corpus counts, in which equal texts count once. Empty input
-    gives no rows. Columns of docs named base or terms are replaced.
+    gives no rows. Columns of docs named base or terms are replaced; none may start with `__sl_`.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.drop("base", "terms").withColumn(OWN + "t", t)
@@ -127,9 +150,10 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     terms = disclosing_terms(d.select(OWN + "t", OWN + "base"))
     if terms.isEmpty():
         return d.withColumn("base", F.col(OWN + "base")).withColumn("terms", F.array().cast(SPAN)).drop(OWN + "t", OWN + "base")
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hits = _text_terms(d.select(OWN + "t")).join(F.broadcast(terms.select("term")) if few else terms.select("term"), "term")
-    hits = materialize(hits.groupBy(F.col("doc").alias(OWN + "doc")).agg(F.collect_set("term").alias(OWN + "own")), "pii-hits")
+    # the texts that hold one, by their hash; rows without any need no join of texts if these are few
+    hits = d.select(F.xxhash64(OWN + "t").alias(OWN + "doc"), F.explode(_terms(F.col(OWN + "t"))).alias("term"))
+    hits = hits.join(bounded_broadcast(terms.select("term"), BROADCAST_TERMS), "term").groupBy(OWN + "doc").agg(F.collect_set("term").alias(OWN + "own"))
+    hits = bounded_broadcast(materialize(hits, "pii-hits"), BROADCAST_TERMS)
     d = d.join(hits, F.xxhash64(OWN + "t") == F.col(OWN + "doc"), "left")
     base = F.col(OWN + "base")
     spans = F.filter(
