@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import materialize, scratch_dir, table
+from seqlake.llm.common import discard, materialize, scratch_dir, table
 from seqlake.llm.wordhash import Words, slices
 
 #: A fingerprint is the least hash of the GRAM-word runs inside a window, so equal windows have equal fingerprints.
 GRAM = 10
+#: A manifest: its runs by level, and the words of a window.
+MANIFEST = "level int, run string, window int"
 #: Runs of one level are merged into one of the next as soon as there are so many.
 FAN_IN = 2
 
@@ -139,9 +141,38 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 50):
+        """The index stored under `path`, as its last manifest has it, or a new one. One writer at a time."""
         self.spark, self.window = spark, window
         self.path = path or f"{scratch_dir(spark)}/marks-{uuid.uuid4().hex}"
         self.runs: list[tuple[int, str]] = []
+        self.version = 0
+        if path and (last := self._last()):
+            self.version, rows = last, spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest-{last:08d}").collect()
+            self.runs = [(r["level"], f"{self.path}/{r['run']}") for r in rows]
+            if {r["window"] for r in rows} - {window}:
+                raise ValueError(f"the index at {path} has windows of another size")
+
+    def _store(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _last(self) -> int:
+        """Number of the last manifest whose write was committed."""
+        fs, p = self._store(self.path)
+        names = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        done = [x for x in names if x.getName().startswith("manifest-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        return max((int(x.getName()[9:]) for x in done), default=0)
+
+    def _commit(self) -> None:
+        """Write the list of runs as the next manifest, one row for each run; runs that it lacks are deleted after it stands."""
+        rows = [(level, path.rsplit("/", 1)[1], self.window) for level, path in self.runs]
+        self.version += 1
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest-{self.version:08d}")
+        fs, p = self._store(self.path)
+        for x in fs.listStatus(p):
+            name = x.getPath().getName()
+            if name.startswith("run-") and name not in {r[1] for r in rows} or name.startswith("manifest-") and name < f"manifest-{self.version:08d}":
+                fs.delete(x.getPath(), True)
 
     def _write(self, marks: DataFrame, level: int) -> DataFrame:
         path = f"{self.path}/run-{level}-{uuid.uuid4().hex}"
@@ -150,15 +181,18 @@ class FingerprintIndex:
         return self.spark.read.schema(marks.schema).parquet(path)
 
     def compact(self) -> None:
+        """Merge the runs of a level into one of the next wherever there are FAN_IN; the manifest names what then holds."""
         for level in sorted({x for x, _ in self.runs}):
             own = [p for x, p in self.runs if x == level]
             if len(own) >= FAN_IN:
                 merged = self.spark.read.parquet(*own).dropDuplicates(["mark", "id"])
                 self.runs = [(x, p) for x, p in self.runs if x != level]
                 self._write(merged, level + 1)
+        self._commit()
 
     def add(self, batch: DataFrame, history: DataFrame) -> DataFrame:
-        """(id, gone) for documents of the batch: starts of windows to remove. batch, history: (id, text), ids not null."""
+        """(id, gone): starts of windows to remove, for documents of the batch, and for those of history that a smaller id of
+        the batch now comes before. batch, history: (id, text), ids not null."""
         kind = batch.schema["id"].dataType.simpleString()
         old = [p for _, p in self.runs]
         new = self._write(batch.mapInArrow(_fingerprints(self.window), f"mark bigint, id {kind}").distinct(), 0)
@@ -173,14 +207,17 @@ class FingerprintIndex:
         hot = materialize(hot.groupBy("id").agg(F.collect_set("mark").alias("marks")), "sub-hot")
         texts = history.unionByName(batch) if old else batch
         texts = materialize(texts.join(hot, "id").select("id", "text", "marks"), "sub-texts")
-        self.compact()
-
         win = texts.mapInArrow(_windows(self.window), f"h bigint, id {kind}, at int")
         first = win.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("hi"), F.min_by("at", "id").alias("first_at")).where("first <> hi").drop("hi")
         batch_ids = new.select("id").distinct()
+        lowest = new.agg(F.min("id")).first()[0]
+        late = bool(old) and lowest is not None and not past.where(F.col("id") > F.lit(lowest)).isEmpty()
         hit = win.join(first, "h").where("id > first").select("id", "at", "first", "first_at", "h")
         if old:
-            hit = hit.join(batch_ids, "id", "left_semi")
+            fresh = hit.join(batch_ids, "id", "left_semi")
+            if late:
+                fresh = fresh.unionByName(hit.join(batch_ids, "id", "left_anti").join(batch_ids.withColumnRenamed("id", "first"), "first", "left_semi"))
+            hit = fresh
         hit = materialize(hit, "sub-hits")
 
         # hits at one distance to the same first document are one stretch of words, verified at once
@@ -201,7 +238,11 @@ class FingerprintIndex:
         wrong = both.where("not same")
         if not wrong.isEmpty():
             gone = gone.union(self._by_words(wrong, hit, texts, kind))
-        return materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("gone")), "sub-gone")
+        out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("gone")), "sub-gone")
+        # the batch is in the index once its result stands: a job that dies before adds it again
+        self.compact()
+        discard(past, hot, texts, hit, seg, got, both)
+        return out
 
     def _by_words(self, wrong: DataFrame, hit: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
         """The exact way for windows whose hash also belongs to other words: grouped by the words' digest."""

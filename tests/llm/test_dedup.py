@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from seqlake.llm import neardup, substring
 from seqlake.llm.wordhash import slices
@@ -180,6 +181,29 @@ def test_passages_edge_cases(frame):
     assert substring.dedup_passages(df.limit(0)).count() == 0
 
 
+def test_a_stored_index_is_opened_again(spark, frame, tmp_path):
+    """Batches added by other index objects, compaction between them, string ids, and a late batch of smaller ids."""
+    rng = random.Random(5)
+    share = [" ".join(f"s{k}_{i}" for i in range(15)) for k in range(3)]
+    docs = {f"d{i:02}": " ".join(f"x{rng.randrange(10**6)}" for _ in range(9)) + " " + rng.choice(share) for i in range(20)}
+    want = brute_passages(docs, 12)
+    order = [list(docs)[8:14], list(docs)[14:], list(docs)[:8]]
+    gone, seen = {}, []
+    for names in order:
+        index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", 12)
+        kind = "id string, text string"
+        found = index.add(frame([(x, docs[x]) for x in names], kind), frame([(x, docs[x]) for x in seen], kind))
+        for r in found.collect():
+            gone.setdefault(r["id"], set()).update(r["gone"])
+        seen += names
+    kept = {x: " ".join(w for i, w in enumerate(t.split()) if not any(a <= i < a + 12 for a in gone.get(x, ()))) for x, t in docs.items()}
+    assert kept == {x: w[2] for x, w in want.items()}
+    last = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", 12)
+    assert last.version == 3 and len(last.runs) < 3
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, f"file://{tmp_path}/index", 50)
+
+
 def test_a_hash_shared_by_other_words_is_settled_by_words(spark, frame, monkeypatch):
     index = substring.FingerprintIndex(spark, window=3)
     texts = frame([(1, "a b c", [0]), (2, "a b c", [0]), (3, "x y z", [0])], "id long, text string, marks array<long>")
