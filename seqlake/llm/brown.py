@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import SPACE_RUN, SPACES, materialize, table
+from seqlake.llm.common import SPACE_RUN, SPACES, discard, materialize, table
 from seqlake.llm.langid import held_out
 from seqlake.llm.wordhash import Words, slices
 
@@ -337,12 +337,15 @@ def train(docs: DataFrame, head: int = HEAD, units: int = UNITS, forms: int = FO
     both = both.join(cls.withColumnRenamed("cls", "l"), "h").join(cls.toDF("g", "r"), "g").select((F.col("l") * n_cls + F.col("r")).alias("k"), "c")
     r = seen.where("kind = 0").select("k", F.col("n").alias("c")).unionByName(own.where("h is null").select("k", "c")).unionByName(both)
     r = r.groupBy("k").agg(F.sum("c").alias("n")).toArrow()
+    discard(seen)
     t = np.zeros((n_cls, n_cls))
     k = r.column("k").to_numpy()
     t[k // n_cls, k % n_cls] = r.column("n").to_numpy()
     prior = (t.sum(0) + 0.1) / (t.sum() + 0.1 * n_cls)
     m.trans = np.log10((t + BACK_OFF * prior[None, :]) / (t.sum(1, keepdims=True) + BACK_OFF))
-    counts = materialize(counts.join(cls, "h", "left").select("word", "c", "cls"), "lm-classes")
+    bare = counts
+    counts = materialize(bare.join(cls, "h", "left").select("word", "c", "cls"), "lm-classes")
+    discard(bare, own, head_h)
     m.mass = np.bincount(m.cls, weights=m.counts + FLAT, minlength=n_cls)
     for x in counts.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         m.mass[x["cls"]] += x["c"] + FLAT * x["v"]

@@ -197,6 +197,40 @@ def test_rare_words_take_the_class_of_their_contexts(frame):
     t = np.array([[pairs[a, b] for b in range(4)] for a in range(4)])
     prior = (t.sum(0) + 0.1) / (t.sum() + 0.4)
     assert np.allclose(10**model.trans, (t + brown.BACK_OFF * prior) / (t.sum(1, keepdims=True) + brown.BACK_OFF))
+    # every text's score from the definition: class transitions, and words from their class's mass of counts
+    count = Counter(w for x in low for w in x)
+    mass = np.zeros(4)
+    for w, c in count.items():
+        mass[kind(w)] += c + brown.FLAT
+    mass[3] += len(rows) + brown.FLAT
+    forms = range(1 + len(model.words), model.n_ids)
+    once = Counter(w[-2:] for w, c in count.items() if cls[w] is not None and c == 1)
+    assert sum(model.counts[f] for f in forms) == sum(once.values())
+    for f in forms:
+        mass[model.cls[f]] += model.counts[f] + brown.FLAT
+    every = {r["doc_id"]: r["score"] for r in brown.score(df, model, counts).collect()}
+    for (i, _), x in zip(rows, low, strict=True):
+        steps = [*((kind(w), count[w]) for w in x), (3, len(rows))]
+        want = sum(model.trans[a, b] + math.log10((c + brown.FLAT) / mass[b]) for a, (b, c) in zip([3, *(k for k, _ in steps)], steps, strict=False))
+        assert every[i] == pytest.approx(want)
+
+
+def test_exchange_stops_where_no_move_gains():
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 9, (14, 14)).astype(float)
+    cls = brown.exchange(pairs, 4, sweeps=200)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+
+    def worth(c):
+        hot = np.eye(4)[c]
+        t = hot.T @ pairs @ hot
+        return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+    for u in range(14):
+        for b in range(4):
+            moved = cls.copy()
+            moved[u] = b
+            assert worth(moved) <= worth(cls) + 1e-6
 
 
 def test_exchange_finds_the_classes():
