@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import table
+from seqlake.llm.common import bounded_broadcast, table
 
 #: First code point of a script range -> script (letters before the next entry belong to it).
 SCRIPTS = [
@@ -34,6 +34,8 @@ SCRIPT_SHARE = 0.01
 #: Nats lost at each change of language between words, and the most that one word can say.
 SWITCH, WORD_CAP = 6.0, 8.0
 SLICE_CHARS = 1 << 20
+#: Counts of so many languages are broadcast; more are joined by shuffle.
+BROADCAST_LANGS = 100_000
 CACHE_WORDS = 400_000
 
 
@@ -63,7 +65,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(train_docs) / F.col("n")
-    part = rows.join(F.broadcast(sizes.orderBy(F.col("n").desc(), "lang").limit(1000)), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    part = rows.join(bounded_broadcast(sizes, BROADCAST_LANGS), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.common import materialize, scratch_dir, table
 
+#: Archives are read in at most so many tasks.
+READ_TASKS = 20_000
 #: Fixed values of the .warc.zst format: the dictionary's skippable frame, and a frame's magic.
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -224,5 +226,6 @@ def resolve(records: DataFrame) -> DataFrame:
 def op2_warc_zstd(spark, sf_dir: str) -> DataFrame:
     """Query: all pages written as archives in the shared scratch folder and read back."""
     manifest = archive_pages(spark, table(spark, sf_dir, "pages"), f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}")
-    back = resolve(materialize(read_archives(manifest.repartition("path")), "warc-records"))
+    # as many tasks as archives: the manifest is small, so Spark would read them all in one
+    back = resolve(materialize(read_archives(manifest.repartition(max(1, min(manifest.count(), READ_TASKS)))), "warc-records"))
     return back.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "error")

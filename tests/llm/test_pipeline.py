@@ -37,3 +37,27 @@ def test_stages(spark, tmp_path):
         assert abs(got - want) < 95
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["copy"]) for r in whole.collect()) == sorted((r["doc_id"], r["copy"]) for r in last)
+
+
+def test_empty_and_odd_documents(spark, tmp_path):
+    """No documents give no rows; rows without an id, without a source or twice the same pass every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(3)]
+    rows = [(None, texts[0], None, None, None), (None, texts[0], None, None, None), (1, texts[1], "en", None, 1), (1, texts[1], "en", None, 1), (None, None, None, None, None), (2, texts[2], None, "s", None)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        ids = sorted(str(r["doc_id"]) for r in docs.collect())
+        if k in (1, 2, 3):
+            assert ids == ["1", "2", "None"]
+    assert set(ids) <= {"1", "2", "None"}
+    none = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0 and none.columns == [c.split()[0] for c in kind.split(", ")]
