@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,21 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of pattern in text with code-point positions: pieces between matches and matches alternate."""
+def _located(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column]) -> Column:
+    """Matches of pattern in text that `keep` accepts, with code-point positions: pieces between matches and matches alternate.
+
+    The running state is copied at every match, so it holds only what is kept.
+    """
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     empty = F.array().cast(SPAN)
+    span = lambda at, v: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"))
     # the last piece has no match after it
     return F.aggregate(
         F.filter(steps, lambda x: x["hit"].isNotNull()),
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda a, x: F.struct(
             (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(a["out"], F.struct(F.lit(kind).alias("kind"), (a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))).alias("out"),
+            F.when(keep(x["hit"]), F.array_append(a["out"], span(a["at"] + F.length(x["gap"]), x["hit"]))).otherwise(a["out"]).alias("out"),
         ),
         lambda a: a["out"],
     )
@@ -71,7 +77,7 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     """Valid spans of one kind in order; an empty array for null. Matches that fail are dropped, without a retry."""
-    found = F.filter(_located(text, PATTERNS[kind], kind), lambda x: _valid(kind, x["value"]))
+    found = _located(text, PATTERNS[kind], kind, lambda v: _valid(kind, v))
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(SPAN))
 
 
@@ -156,10 +162,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hits = bounded_broadcast(materialize(hits, "pii-hits"), BROADCAST_TERMS)
     d = d.join(hits, F.xxhash64(OWN + "t") == F.col(OWN + "doc"), "left")
     base = F.col(OWN + "base")
-    spans = F.filter(
-        _located(F.col(OWN + "t"), TERM, "term"),
-        lambda x: F.array_contains(F.col(OWN + "own"), F.lower(x["value"])) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    own = _located(F.col(OWN + "t"), TERM, "term", lambda v: F.array_contains(F.col(OWN + "own"), F.lower(v)))
+    spans = F.filter(own, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     d = d.withColumn("base", base).withColumn("terms", F.when(F.col(OWN + "own").isNotNull(), spans).otherwise(F.array().cast(SPAN)))
     return d.drop(OWN + "t", OWN + "base", OWN + "doc", OWN + "own")
 
