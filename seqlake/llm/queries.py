@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlake.llm import brown, chat, decontaminate, langid, mixing, neardup, oracles, pii, quality, substring, warc
+from seqlake.llm import alignment, brown, chat, decontaminate, divergence, langid, mixing, neardup, oracles, pii, quality, secrets, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": quality.op1_adaptive_quality,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_setsketch": neardup.op8_setsketch,
     "op9_fingerprint_index": substring.op9_fingerprint_index,
     "op10_disclosure": pii.op10_disclosure,
+    "op11_segment_alignment": alignment.op11_segment_alignment,
+    "op12_token_efficiency": secrets.op12_token_efficiency,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_setsketch": oracles.OP8_SQL,
     "op9_fingerprint_index": oracles.OP9_SQL,
     "op10_disclosure": oracles.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
