@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment: the tokens of two vocabularies over one text, cut where both end.
 
 A text is split before spaces where no token of either vocabulary reaches across, so its tokens are those of its segments.
-Documents are gathered in blocks that list each distinct segment once; a segment is tokenised and aligned once for the
-whole corpus, its alignment is joined back to the blocks that have it, and documents are put together from numbers.
+Documents are gathered in blocks that list each distinct segment once, and are lists of numbers from then on. Sorted by
+segment, the blocks' lists meet: each segment is tokenised and aligned once for the whole corpus, and every block that has it
+gets its alignment back in the same pass. Blocks then put their documents together.
 """
 
 from __future__ import annotations
@@ -17,16 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import bounded_broadcast, discard, materialize, table
+from seqlake.llm.common import materialize, table
 
 #: Vocabulary files, readable on every executor.
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text after which a block of documents ends; a longer document is a block of its own.
-BLOCK = 4_000_000
-#: Id pairs up to which their counts (24 bytes each) are broadcast; beyond it the join shuffles.
-PAIRS = 400_000
-
-_TOKENS = "segment binary, ok boolean, n_a int, n_b int, groups string, last_a array<int>, last_b array<int>"
+BLOCK = 12_000_000
+#: Marks between the two lists of a group, and between groups, in packed alignments; ids come after them.
+_BAR, _STOP, _FIRST_ID = 0, 1, 2
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,7 +49,8 @@ class Vocabularies:
         letter = _byte_letters()
         self.bytes_a = {i: bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        crossing = {b"\t\n\x0b\x0c\r "[k] for k in range(6)}
+        self.kind = np.uint16 if max(*self.bytes_a, len(self.bytes_b)) + _FIRST_ID < 1 << 16 else np.uint32
+        crossing = set(b"\t\n\x0b\x0c\r ")
         for token in (*self.bytes_a.values(), *self.bytes_b):
             crossing.update(token[k - 1] for k in range(1, len(token)) if token[k] == 32)
         if len(crossing) == 256:
@@ -65,30 +65,28 @@ class Vocabularies:
             parts[-2:] = [parts[-2] + b" "]
         return parts
 
-    def align(self, segments: list[bytes]) -> Iterator[tuple]:
-        """For each segment: whether both token lists spell it, their lengths, the groups, and the last ids of each group."""
+    def align(self, segments: list[bytes]) -> Iterator[bytes | None]:
+        """Each segment's groups, packed as numbers; none if a token list doesn't spell the segment."""
         texts = [s.decode("utf-8", "replace") for s in segments]
         first = [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
         second = self.b.encode([t[1:] for t in texts], num_threads=1)
         for segment, a, b in zip(segments, first, second, strict=True):
-            ends_a, ends_b = [len(self.bytes_a[t]) for t in a], [len(self.bytes_b[t]) for t in b]
-            if b"".join(map(self.bytes_a.__getitem__, a)) != segment or b"".join(map(self.bytes_b.__getitem__, b)) != segment:
-                yield segment, False, 0, 0, "", [], []
+            spelt_a, spelt_b = [self.bytes_a[t] for t in a], [self.bytes_b[t] for t in b]
+            if b"".join(spelt_a) != segment or b"".join(spelt_b) != segment:
+                yield None
                 continue
-            groups, last_a, last_b = [], [], []
+            packed: list[int] = []
             i = j = from_i = from_j = at_a = at_b = 0
             while i < len(a):
-                at_a += ends_a[i]
+                at_a += len(spelt_a[i])
                 i += 1
                 while at_b < at_a:
-                    at_b += ends_b[j]
+                    at_b += len(spelt_b[j])
                     j += 1
                 if at_a == at_b:
-                    groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                    last_a.append(a[i - 1])
-                    last_b.append(b[j - 1])
+                    packed += [*(x + _FIRST_ID for x in a[from_i:i]), _BAR, *(x + _FIRST_ID for x in b[from_j:j]), _STOP]
                     from_i, from_j = i, j
-            yield segment, True, len(a), len(b), ";".join(groups), last_a, last_b
+            yield np.array(packed, self.kind).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -107,7 +105,10 @@ def _gather(first: str, second: str, kind: pa.DataType):
         task = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([docs], layout), pa.array([list(numbers)], pa.list_(pa.binary()))], ["block", "docs", "segments"])
+            n = np.bincount(np.concatenate([d["parts"] for d in docs]), minlength=len(numbers))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + made], pa.int64()), pa.array([docs], layout), pa.array([list(numbers)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64()))], ["block", "docs", "segments", "n"]
+            )
 
         for b in batches:
             for key, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -123,17 +124,21 @@ def _gather(first: str, second: str, kind: pa.DataType):
     return gather
 
 
-def _tokenise(first: str, second: str):
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _load(first, second)
-        kinds = [pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+def _align(first: str, second: str):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by segment: equal segments are neighbours, so each is tokenised once, for all its blocks."""
+        own, last, packed = _load(first, second), None, None
         for b in batches:
             segments = b.column("segment").to_pylist()
-            for at in range(0, len(segments), 2000):
-                rows = list(zip(*own.align(segments[at : at + 2000]), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["segment", "ok", "n_a", "n_b", "groups", "last_a", "last_b"])
+            fresh = [s for s, before in zip(segments, [last, *segments], strict=False) if s != before]
+            found, done = own.align(fresh), []
+            for s in segments:
+                if s != last:
+                    last, packed = s, next(found)
+                done.append(packed)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), b.column("n"), pa.array(done, pa.binary())], ["block", "number", "n", "packed"])
 
-    return tokenise
+    return align
 
 
 def _documents(row: pa.StructArray) -> Iterator[tuple]:
@@ -144,41 +149,75 @@ def _documents(row: pa.StructArray) -> Iterator[tuple]:
         yield key, values[starts[k] : starts[k + 1]]
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each segment of a block stands in documents all of whose segments are good."""
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each segment of a block stands in documents with a segment that isn't spelt."""
     for b in batches:
         for k in range(b.num_rows):
-            segments = b.column("segments")[k].values
-            bad = np.array(b.column("bad")[k].as_py() or [], np.int64)
-            n = np.zeros(len(segments), np.int64)
-            for _, parts in _documents(b.column("docs")[k].values):
-                if not (len(bad) and np.isin(parts, bad).any()):
-                    n += np.bincount(parts, minlength=len(n))
-            yield pa.RecordBatch.from_arrays([segments, pa.array(n)], ["segment", "n"])
+            bad = np.array(b.column("bad")[k].as_py(), np.int64)
+            own = [parts for _, parts in _documents(b.column("docs")[k].values) if np.isin(parts, bad).any()]
+            n = np.bincount(np.concatenate(own))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[k].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["block", "number", "lost"])
+
+
+def _unpack(packed: list[bytes | None], kind: type) -> tuple[np.ndarray, ...]:
+    """Of packed alignments, one after another: the numbers, where each alignment ends, and where its groups' bars and stops are."""
+    values = np.frombuffer(b"".join(x or b"" for x in packed), kind).astype(np.int64)
+    ends = np.cumsum([len(x or b"") // np.dtype(kind).itemsize for x in packed], dtype=np.int64)
+    return values, ends, np.flatnonzero(values == _BAR), np.flatnonzero(values == _STOP)
+
+
+def _links(first: str, second: str):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, a, b, n): the links of each block and how often they stand there, summed for a batch."""
+        kind = _load(first, second).kind
+        for batch in batches:
+            values, ends, bars, stops = _unpack(batch.column("packed").to_pylist(), kind)
+            row = np.searchsorted(ends, stops, "right")
+            a, b = values[bars - 1] - _FIRST_ID, values[stops - 1] - _FIRST_ID
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("block").to_numpy()[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(batch.column("n").to_numpy()[row])], ["block", "a", "b", "n"])
+
+    return links
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 
-def _compose(kind: pa.DataType):
-    def compose(blocks: pa.Table, parts: pa.Table) -> pa.Table:
-        """The documents of one block from the alignments of its segments."""
-        number = parts["number"].to_numpy()
-        at = np.empty(len(number), np.int64)
-        at[number] = np.arange(len(number))
-        ok = parts["ok"].to_numpy(zero_copy_only=False)[at] if len(at) else np.zeros(0, bool)
-        groups = parts["groups"].to_pylist()
-        groups = [groups[i] for i in at]
-        values = np.stack([parts[c].to_numpy()[at] for c in _NUMBERS]) if len(at) else np.zeros((len(_NUMBERS), 0), np.int64)
-        keys, sums, texts = [], [], []
+def _compose(kind: pa.DataType, first: str, second: str):
+    def compose(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        """The documents of one block, from the alignments of its segments and the counts of its links."""
+        own = _load(first, second)
+        parts, links = rows.filter(rows["number"].is_valid()).sort_by("number"), rows.filter(rows["number"].is_null())
+        packed = parts["packed"].to_pylist()
+        values, ends, bars, stops = _unpack(packed, own.kind)
+        size, owner = len(packed), np.searchsorted(ends, np.arange(len(values)), "right")
+        key = links["a"].to_numpy() << 32 | links["b"].to_numpy()
+        order = np.argsort(key)
+        at = order[np.searchsorted(key, values[bars - 1] - _FIRST_ID << 32 | values[stops - 1] - _FIRST_ID, sorter=order)] if len(bars) else np.zeros(0, np.int64)
+        sums = np.zeros((5, size + 1), np.int64)
+        before_bar = np.cumsum(values == _BAR) == np.cumsum(values == _STOP)
+        np.add.at(sums[0], owner, (values >= _FIRST_ID) & before_bar)
+        np.add.at(sums[1], owner, (values >= _FIRST_ID) & ~before_bar)
+        np.add.at(sums[2], owner[stops], 1)
+        np.add.at(sums[3], owner[stops], links["best"].to_numpy(zero_copy_only=False)[at].astype(np.int64))
+        np.add.at(sums[4], owner[stops], links["count"].to_numpy()[at])
+
+        names = np.array(["|", ";", *map(str, range(int(values.max(initial=_FIRST_ID)) - _FIRST_ID + 1))], object)
+        text = names[values]
+        pair = np.flatnonzero((values[:-1] >= _FIRST_ID) & (values[1:] >= _FIRST_ID))
+        text[pair] += ","
+        ends = [0, *ends.tolist()]
+        groups = ["".join(text[x : y - 1]) for x, y in zip(ends, ends[1:], strict=False)]
+        good = np.array([x is not None for x in packed], bool)
+        keys, numbers, texts = [], [], []
         for row in blocks["docs"].combine_chunks():
-            for key, own in _documents(row.values):
-                good = len(own) > 0 and bool(ok[own].all())
-                keys.append(key)
-                sums.append(values[:, own].sum(1) if good else np.zeros(len(_NUMBERS), np.int64))
-                texts.append(";".join(map(groups.__getitem__, own)) if good else "")
-        sums = np.array(sums, np.int64).reshape(-1, len(_NUMBERS))
-        return pa.table([pa.array(keys, kind), *(pa.array(sums[:, k]) for k in range(len(_NUMBERS))), pa.array(texts, pa.large_string() if sum(map(len, texts)) > 1 << 30 else pa.string())], names=["id", *_NUMBERS, "groups"])
+            for name, own_parts in _documents(row.values):
+                keys.append(name)
+                fine = len(own_parts) > 0 and bool(good[own_parts].all())
+                numbers.append(sums[:, own_parts].sum(1) if fine else np.zeros(5, np.int64))
+                texts.append(";".join(map(groups.__getitem__, own_parts)) if fine else "")
+        numbers = np.array(numbers, np.int64).reshape(-1, 5)
+        return pa.table([pa.array(keys, kind), *(pa.array(numbers[:, k]) for k in range(5)), pa.array(texts, pa.string())], names=["id", *_NUMBERS, "groups"])
 
     return compose
 
@@ -198,23 +237,23 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", first: str = FIRST, se
 
     kind, ddl = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = materialize(plain.mapInArrow(_gather(first, second, kind), f"block long, docs array<struct<id:{ddl},parts:array<int>>>, segments array<binary>"), "align-blocks")
-    listed = blocks.select("block", F.posexplode("segments").alias("number", "segment"))
-
-    tokens = materialize(listed.select("segment").distinct().mapInArrow(_tokenise(first, second), _TOKENS), "align-tokens")
-    bad = listed.join(tokens.where("NOT ok").select("segment"), "segment").groupBy("block").agg(F.collect_list("number").alias("bad"))
-    used = blocks.join(bad, "block", "left").select("docs", "segments", "bad").mapInArrow(_occurrences, "segment binary, n long").where("n > 0").groupBy("segment").agg(F.sum("n").alias("n"))
-
-    links = lambda: F.explode(F.arrays_zip(F.col("last_a").alias("a"), F.col("last_b").alias("b"))).alias("x")
-    counts = tokens.join(used, "segment").select(links(), "n").groupBy("x.a", "x.b").agg(F.sum("n").alias("count"))
-    counts = materialize(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))), "align-counts")
-    of_segment = tokens.select("segment", links()).select("segment", "x.a", "x.b").join(bounded_broadcast(counts, PAIRS), ["a", "b"])
-    scores = of_segment.groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    aligned = tokens.join(scores, "segment", "left").select("segment", "ok", F.col("n_a").cast("long"), F.col("n_b").cast("long"), F.size("last_a").cast("long").alias("n_groups"), zero("n_best"), zero("count_sum"), "groups")
-    parts = listed.join(aligned, "segment").drop("segment").withColumnRenamed("block", "of")
+    blocks = materialize(plain.mapInArrow(_gather(first, second, kind), f"block long, docs array<struct<id:{ddl},parts:array<int>>>, segments array<binary>, n array<long>"), "align-blocks")
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("segments", "n")).alias("number", "x")).select("block", "number", F.col("x.segments").alias("segment"), "x.n")
+    parts = materialize(listed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(first, second), "block long, number int, n long, packed binary"), "align-parts")
+
+    counted = parts.where("packed IS NOT NULL")
+    bad = parts.where("packed IS NULL").groupBy("block").agg(F.collect_list("number").alias("bad"))
+    if not bad.isEmpty():
+        lost = blocks.select("block", "docs").join(bad, "block").mapInArrow(_lost, "block long, number int, lost long")
+        counted = counted.join(lost, ["block", "number"], "left").select("block", F.expr("n - coalesce(lost, 0)").alias("n"), "packed")
+    links = counted.select("block", "n", "packed").mapInArrow(_links(first, second), "block long, a int, b int, n long").groupBy("block", "a", "b").agg(F.sum("n").alias("n"))
+    links = materialize(links, "align-links")
+    counts = links.groupBy("a", "b").agg(F.sum("n").alias("count")).withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    scored = links.select("block", "a", "b").join(counts, ["a", "b"]).select("block", none("int", "number"), none("binary", "packed"), F.col("a").cast("long"), F.col("b").cast("long"), "count", "best")
+    rows = parts.select("block", "number", "packed", none("long", "a"), none("long", "b"), none("long", "count"), none("boolean", "best")).unionByName(scored)
     out = f"id {ddl}, " + ", ".join(f"{c} long" for c in _NUMBERS) + ", groups string"
-    done = blocks.select("block", "docs").groupBy("block").cogroup(parts.groupBy("of")).applyInArrow(_compose(kind), out)
+    done = blocks.select("block", "docs").groupBy("block").cogroup(rows.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_compose(kind, first, second), out)
     return done.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
 
 
