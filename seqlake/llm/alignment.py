@@ -23,7 +23,7 @@ from seqlake.llm.common import materialize, table
 #: Vocabulary files, readable on every executor.
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text after which a block of documents ends; a longer document is a block of its own.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 #: Marks between the two lists of a group, and between groups, in packed alignments; ids come after them.
 _BAR, _STOP, _FIRST_ID = 0, 1, 2
 
@@ -160,11 +160,12 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[k].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["block", "number", "lost"])
 
 
-def _unpack(packed: list[bytes | None], kind: type) -> tuple[np.ndarray, ...]:
+def _unpack(packed: pa.Array, kind: type) -> tuple[np.ndarray, ...]:
     """Of packed alignments, one after another: the numbers, where each alignment ends, and where its groups' bars and stops are."""
-    values = np.frombuffer(b"".join(x or b"" for x in packed), kind).astype(np.int64)
-    ends = np.cumsum([len(x or b"") // np.dtype(kind).itemsize for x in packed], dtype=np.int64)
-    return values, ends, np.flatnonzero(values == _BAR), np.flatnonzero(values == _STOP)
+    size, (_, offsets, data) = np.dtype(kind).itemsize, packed.buffers()
+    ends = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1] // size if len(packed) else np.zeros(1, np.int32)
+    values = np.frombuffer(data, kind, ends[-1] - ends[0], ends[0] * size) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return values, (ends[1:] - ends[0]).astype(np.int64), np.flatnonzero(values == _BAR), np.flatnonzero(values == _STOP)
 
 
 def _links(first: str, second: str):
@@ -172,9 +173,9 @@ def _links(first: str, second: str):
         """(block, a, b, n): the links of each block and how often they stand there, summed for a batch."""
         kind = _load(first, second).kind
         for batch in batches:
-            values, ends, bars, stops = _unpack(batch.column("packed").to_pylist(), kind)
+            values, ends, bars, stops = _unpack(batch.column("packed"), kind)
             row = np.searchsorted(ends, stops, "right")
-            a, b = values[bars - 1] - _FIRST_ID, values[stops - 1] - _FIRST_ID
+            a, b = values[bars - 1].astype(np.int64) - _FIRST_ID, values[stops - 1].astype(np.int64) - _FIRST_ID
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("block").to_numpy()[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(batch.column("n").to_numpy()[row])], ["block", "a", "b", "n"])
 
     return links
@@ -188,12 +189,14 @@ def _compose(kind: pa.DataType, first: str, second: str):
         """The documents of one block, from the alignments of its segments and the counts of its links."""
         own = _load(first, second)
         parts, links = rows.filter(rows["number"].is_valid()).sort_by("number"), rows.filter(rows["number"].is_null())
-        packed = parts["packed"].to_pylist()
+        packed = parts["packed"].combine_chunks() if len(parts) else pa.array([], pa.binary())
+        packed = packed if isinstance(packed, pa.Array) else pa.concat_arrays(packed.chunks)
         values, ends, bars, stops = _unpack(packed, own.kind)
-        size, owner = len(packed), np.searchsorted(ends, np.arange(len(values)), "right")
+        size, owner = len(packed), np.repeat(np.arange(len(packed)), np.diff(ends, prepend=0))
+        link = lambda x: values[x - 1].astype(np.int64) - _FIRST_ID
         key = links["a"].to_numpy() << 32 | links["b"].to_numpy()
         order = np.argsort(key)
-        at = order[np.searchsorted(key, values[bars - 1] - _FIRST_ID << 32 | values[stops - 1] - _FIRST_ID, sorter=order)] if len(bars) else np.zeros(0, np.int64)
+        at = order[np.searchsorted(key, link(bars) << 32 | link(stops), sorter=order)] if len(bars) else np.zeros(0, np.int64)
         sums = np.zeros((5, size + 1), np.int64)
         before_bar = np.cumsum(values == _BAR) == np.cumsum(values == _STOP)
         np.add.at(sums[0], owner, (values >= _FIRST_ID) & before_bar)
@@ -202,13 +205,14 @@ def _compose(kind: pa.DataType, first: str, second: str):
         np.add.at(sums[3], owner[stops], links["best"].to_numpy(zero_copy_only=False)[at].astype(np.int64))
         np.add.at(sums[4], owner[stops], links["count"].to_numpy()[at])
 
-        names = np.array(["|", ";", *map(str, range(int(values.max(initial=_FIRST_ID)) - _FIRST_ID + 1))], object)
-        text = names[values]
+        ids = range(int(values.max(initial=own.kind(_FIRST_ID))) - _FIRST_ID + 1)
+        alone, followed = (np.array(["|", ";", *(f"{i}{mark}" for i in ids)], object) for mark in ("", ","))
+        text = alone[values]
         pair = np.flatnonzero((values[:-1] >= _FIRST_ID) & (values[1:] >= _FIRST_ID))
-        text[pair] += ","
+        text[pair] = followed[values[pair]]
         ends = [0, *ends.tolist()]
         groups = ["".join(text[x : y - 1]) for x, y in zip(ends, ends[1:], strict=False)]
-        good = np.array([x is not None for x in packed], bool)
+        good = packed.is_valid().to_numpy(zero_copy_only=False)
         keys, numbers, texts = [], [], []
         for row in blocks["docs"].combine_chunks():
             for name, own_parts in _documents(row.values):
