@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlake import schemas
 from seqlake.functions import is_dna
+from seqlake.operators.genes import call_genes
 
 
 def records(reader, path: str) -> DataFrame:
@@ -102,20 +103,20 @@ def count_records(spark: SparkSession, path: str) -> int:
     return records(spark.read, path).count()
 
 
-def proteins_or_frames(spark: SparkSession, path: str | None, contigs: DataFrame, least: int = 90) -> DataFrame:
-    """(orf_id, start, end, strand): the user's proteins of known contigs; open frames where no file is given or none is known."""
+def proteins_or_genes(spark: SparkSession, path: str | None, contigs: DataFrame, **options) -> DataFrame:
+    """(orf_id, start, end, strand): the user's proteins of known contigs; called genes where no file is given or none is known."""
     if path:
         own = known_proteins(proteins(spark, path), contigs)
         if not own.isEmpty():
             return own.select("orf_id", "start", "end", "strand")
-    return open_frames(contigs, least).select("orf_id", "start", "end", "strand")
+    return call_genes(contigs, **options).select("orf_id", "start", "end", "strand")
 
 
-def translated_genomes(spark: SparkSession, path: str, least: int = 90) -> DataFrame:
-    """(mag, orf_id, start, end, strand) of open frames in a folder of genomes, one file each."""
+def translated_genomes(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(mag, orf_id, start, end, strand, protein) of the genes in a folder of genomes, one file each, with a model for each genome."""
     g = genome_folder(spark, path)
-    frames = open_frames(g.select(F.concat_ws("\u0001", "mag", "accession").alias("accession"), "seq"), least)
-    return frames.select(F.substring_index("accession", "\u0001", 1).alias("mag"), F.substring_index("orf_id", "\u0001", -1).alias("orf_id"), "start", "end", "strand")
+    genes = call_genes(g.select("mag", F.concat_ws("\u0001", "mag", "accession").alias("accession"), "seq"), group="mag", **options)
+    return genes.select(F.substring_index("accession", "\u0001", 1).alias("mag"), F.substring_index("orf_id", "\u0001", -1).alias("orf_id"), "start", "end", "strand", "protein")
 
 
 def blast_xml(spark: SparkSession, path: str) -> DataFrame:
