@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 # A seed is two polynomials of its letters modulo a prime, with these bases.
 PRIME, BASES = 2**31 - 1, (1_812_433_253 % (2**31 - 1), 1_664_525)
+#: Seeds of the queries up to which they (some 60 bytes each) are broadcast; with more, both sides are shuffled by seed.
+SEEDS = 200_000
 #: Cells of direction codes that a task holds for the pairs it aligns together.
 CELLS = 24_000_000
 _NEVER = -(10**6)
@@ -207,14 +209,16 @@ def similarity_join(queries: DataFrame, targets: DataFrame, k: int = 12, w: int
     alignment over the whole of both sequences, with width / 2 more diagonals on either side; `best_only` keeps one of each
     pair. `same` leaves out a sequence's alignment with itself (equal ids). Sequences are bytes: letters count as they are.
 
-    No seed, pair or partner is capped. Equal sequences of a side are one until the end, where ids come back. Null
+    No seed, pair or partner is capped. Equal sequences of a side (by their MD5) are one until the end, where ids come back. Null
     sequences, and those shorter than k, align with nothing; null ids stay. Columns other than id and seq are not read.
     """
-    side = lambda d, id_, no: d.select(F.col("id").alias(id_), F.col("seq").cast("binary").alias("seq")).where("length(seq) > 0").withColumn(no, F.unhex(F.sha2("seq", 256)))
+    side = lambda d, id_, no: d.select(F.col("id").alias(id_), F.col("seq").cast("binary").alias("seq")).where("length(seq) > 0").withColumn(no, F.unhex(F.md5("seq")))
     q, t = side(queries, "qseqid", "qno"), side(targets, "sseqid", "sno")
     qs, ts = q.groupBy("qno").agg(F.any_value("seq").alias("qseq")), t.groupBy("sno").agg(F.any_value("seq").alias("sseq"))
     seeds = lambda d, no, seq, at: d.select(F.col(no).alias("no"), F.col(seq).alias("seq")).mapInArrow(_seeds(k, w), "no binary, seed long, at int").select(F.col("no").alias(no), "seed", F.col("at").alias(at))
-    met = seeds(qs, "qno", "qseq", "qat").join(seeds(ts, "sno", "sseq", "sat"), "seed")
+    asked = seeds(qs, "qno", "qseq", "qat")
+    asked = F.broadcast(asked) if asked.limit(SEEDS + 1).count() <= SEEDS else asked
+    met = seeds(ts, "sno", "sseq", "sat").join(asked, "seed")
     band = F.floor((F.col("sat") - F.col("qat")) / width)
     bands = met.select("qno", "sno", F.explode(F.array(band, band - 1)).alias("band")).groupBy("qno", "sno", "band").agg(F.count("*").alias("n"))
     by = Window.partitionBy("qno", "sno").orderBy("band")
