@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions import canonical, windows
+from seqlake.operators.density import Mixture, best_reference, fit_mixtures, gaussian
+
+__all__ = ["Mixture", "canonical_depth", "counts", "density_argmax", "fit_mixtures", "frequencies", "gaussian", "length_model", "pair_differences", "profiles", "vector_argmax"]
 
 
 def counts(seqs: DataFrame, k: int = 4) -> DataFrame:
@@ -49,72 +52,21 @@ def profiles(seqs: DataFrame, k: int = 4) -> DataFrame:
     return have.select("id", F.transform(names, lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0))).alias("v"))
 
 
-def gaussian(width: float) -> Callable:
-    """Log-density of an isotropic Gaussian of standard deviation `width` at rows of differences."""
-
-    def score(d):
-        import numpy as np
-
-        return -0.5 * (d * d).sum(1) / width**2 - d.shape[1] * np.log(width * np.sqrt(2 * np.pi))
-
-    return score
+def vector_argmax(queries: DataFrame, refs: DataFrame, skip_same: bool = False) -> DataFrame:
+    """(id, best, score): for each query vector (id, v) the reference of the largest dot product. See best_reference()."""
+    return best_reference(queries.select("id", "v", F.lit(0).alias("model")), refs, {0: None}, skip_same)
 
 
-def vector_argmax(queries: DataFrame, refs: DataFrame, block: int = 4096, skip_same: bool = False) -> DataFrame:
-    """(id, best, score): for each query vector (id, v) the reference of the largest dot product. See _best_reference()."""
-    return _best_reference(queries.select("id", "v", F.lit(0).alias("model")), refs, {0: None}, block, skip_same)
-
-
-def density_argmax(queries: DataFrame, refs: DataFrame, models: dict[int, Callable], block: int = 512, skip_same: bool = False) -> DataFrame:
+def density_argmax(queries: DataFrame, refs: DataFrame, models: dict[int, Callable], skip_same: bool = False) -> DataFrame:
     """(id, best, score): for each query (id, v, model) the reference whose difference to it the model finds likeliest.
 
-    models: number -> function from rows of differences (query less reference) to log-densities; any fitted density will do,
-    such as gaussian(). A query whose model is null or unknown gets no row.
+    models: number -> fitted Mixture, or a function from rows of differences (query less reference) to log-densities. A
+    query whose model is null or unknown gets no row.
     """
-    return _best_reference(queries.select("id", "v", F.col("model").cast("int").alias("model")).where(F.col("model").isin(list(models))), refs, models, block, skip_same)
+    return best_reference(queries, refs, models, skip_same)
 
 
-def _best_reference(queries: DataFrame, refs: DataFrame, models: dict, block: int, skip_same: bool) -> DataFrame:
-    """A nearest-profile search has no equi-join key. Queries are broadcast in blocks of about `block` vectors; every task
-    scores its references against the block and gives one row for each query and batch, ties to the least reference id.
-    References are never moved. skip_same leaves out the reference of the query's own id.
-    """
-    kind, own = refs.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
-    passes = -(-queries.count() // block) or 1
-    found = None
-    for k in range(passes):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toArrow().to_pydict()
-        shared = queries.sparkSession.sparkContext.broadcast((part["id"], part["v"], part["model"]))
-        one = refs.select("id", "v").mapInArrow(_nearest(shared, models, skip_same), f"id {own}, best {kind}, score double")
-        found = one if found is None else found.unionByName(one)
-    top = F.struct((-F.col("score")).alias("s"), "best")
-    return found.groupBy("id").agg(F.min(top).alias("t")).select("id", F.col("t.best").alias("best"), (-F.col("t.s")).alias("score"))
-
-
-def _nearest(shared, models: dict, skip_same: bool):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        names, vectors, model = shared.value
-        q = [np.array(v, dtype=np.float64) for v in vectors]
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            if not ids or not names:
-                continue
-            order = sorted(range(len(ids)), key=ids.__getitem__)  # argmax then finds the least id of a tie
-            r = np.array([b.column(1)[i].as_py() for i in order], dtype=np.float64)
-            at = {ids[i]: k for k, i in enumerate(order)} if skip_same else {}
-            out = []
-            for k, x in enumerate(names):
-                rule = models[model[k]]
-                score = r @ q[k] if rule is None else rule(q[k] - r)
-                if x in at:
-                    score[at[x]] = -np.inf
-                best = int(score.argmax())
-                if score[best] > -np.inf:
-                    out.append((x, ids[order[best]], float(score[best])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["id", "best", "score"])
-
-    return run
+def pair_differences(pairs: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(model, x) of known pairs (id, ref): profile of the query (id, v, model) less that of the reference (id, v)."""
+    r = refs.select(F.col("id").alias("ref"), F.col("v").alias("_r"))
+    return pairs.join(queries.select("id", "v", "model"), "id").join(r, "ref").select("model", F.zip_with("v", "_r", lambda a, b: a - b).alias("x"))

@@ -1,10 +1,11 @@
-"""More registered queries: similarity search with alignment. Same form as catalog.py."""
+"""More registered queries: similarity search with alignment, gene calls, hosts by fitted densities. Same form as catalog.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.operators import similarity
+from seqlake.operators import genes, kmers, similarity
+from seqlake.plans import tasks
 from seqlake.plans import testbed as tb
 from seqlake.plans.catalog import query
 
@@ -56,3 +57,38 @@ def similarity_search(spark, d):
     found = similarity.similarity_join(q, t, _K, _W, _LEAST, _WIDTH, _SCORING, _EVALUE, best_only=True)
     r = lambda c: F.round(c, 6).alias(c)
     return found.select("qseqid", "sseqid", r("pident"), "length", "gapopen", "qstart", "qend", "sstart", "send", r("bitscore"), r("qcov"), r("scov"))
+
+
+@query()
+def gene_calls(spark, d):
+    """Genes of all documents as contigs, with a model for each GC percent."""
+    found = genes.call_genes(tb.contigs(spark, d), train=150, rounds=0)
+    return found.select("orf_id", "accession", "start", "end", "strand", "partial_left", "partial_right", F.round("score", 3).alias("score"), "protein")
+
+
+_PROFILES_SQL = """words AS (SELECT DISTINCT a || b || c || d AS kmer FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b), (SELECT unnest(['A', 'C', 'G', 'T']) AS c), (SELECT unnest(['A', 'C', 'G', 'T']) AS d)),
+have AS (SELECT accession, length, lang, kmer, count(*) / CAST(any_value(n) - 1 AS DOUBLE) AS freq FROM (SELECT accession, length, lang, length(seq) AS n, unnest(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, CAST(i AS BIGINT), 4))) AS kmer FROM contigs WHERE length(seq) >= 4) GROUP BY ALL),
+prof AS (SELECT c.accession, c.length, c.lang, words.kmer, coalesce(freq, 0) AS v, CASE WHEN c.length > 12500 THEN 1 WHEN c.length > 7500 THEN 2 WHEN c.length > 4000 THEN 3 WHEN c.length > 2000 THEN 4 WHEN c.length > 4 THEN 5 END AS model FROM (SELECT DISTINCT accession, length, lang FROM have) c CROSS JOIN words LEFT JOIN have USING (accession, kmer))"""
+
+
+@query(f"""WITH {tb.CONTIGS_SQL}, {_PROFILES_SQL},
+known AS (SELECT accession, CAST(min(CAST(accession AS BIGINT)) OVER (PARTITION BY lang) AS VARCHAR) AS host FROM contigs),
+dif AS (SELECT p.model, p.kmer, p.v - h.v AS x FROM prof p JOIN known USING (accession) JOIN prof h ON h.accession = known.host AND h.kmer = p.kmer WHERE p.model IS NOT NULL),
+fit AS (SELECT model, kmer, avg(x) AS mean, greatest(avg(x * x) - avg(x) * avg(x), 1e-6::DOUBLE) AS var FROM dif GROUP BY 1, 2),
+score AS (SELECT q.accession, h.accession AS host, round(sum(-0.5 * ((q.v - h.v - mean) * (q.v - h.v - mean) / var + ln(2 * pi() * var))), 7) AS s FROM prof q JOIN fit ON fit.model = q.model AND fit.kmer = q.kmer JOIN prof h ON h.kmer = q.kmer WHERE CAST(q.accession AS BIGINT) % 50 = 0 GROUP BY 1, 2),
+calls AS (SELECT accession, host FROM score QUALIFY row_number() OVER (PARTITION BY accession ORDER BY s DESC, host) = 1),
+mh AS (SELECT CAST(l_orderkey * 50 AS VARCHAR) AS phage, CAST(l_suppkey AS VARCHAR) AS mag, (40 + l_quantity) / 100 AS pident FROM lineitem), x AS (SELECT phage, mag, max(pident) AS ident FROM mh GROUP BY 1, 2), m AS (SELECT phage, avg(ident) AS mean FROM x GROUP BY 1),
+taxa AS (SELECT accession AS mag, CASE WHEN CAST(accession AS BIGINT) % 4 <> 0 THEN 'genus:g' || (CAST(accession AS BIGINT) % 2) END AS genus FROM contigs), l AS (SELECT phage, arg_max(genus, mag) AS genus FROM x JOIN taxa USING (mag) WHERE genus IS NOT NULL GROUP BY 1)
+SELECT accession, CASE WHEN x.mag IS NOT NULL THEN host ELSE t.genus END AS host, round(coalesce(ident, mean), 2) AS score FROM calls c JOIN m ON m.phage = accession LEFT JOIN x ON x.phage = accession AND x.mag = host
+LEFT JOIN taxa t ON t.mag = host LEFT JOIN l ON l.phage = accession WHERE x.mag IS NOT NULL OR t.genus = l.genus""")
+def host_by_fitted_density(spark, d):
+    """Densities fitted to all documents against the first of their language, by length; hosts for a query set, gated by protein hits."""
+    c = tb.contigs(spark, d)
+    v = kmers.profiles(c.select(F.col("accession").alias("id"), "seq"))
+    first = c.groupBy(F.col("lang").alias("_lang")).agg(F.min(F.col("accession").cast("bigint")).cast("string").alias("ref"))
+    known = c.join(first, F.col("lang").eqNullSafe(F.col("_lang"))).select(F.col("accession").alias("id"), "ref")
+    fitted = kmers.fit_mixtures(kmers.pair_differences(known, v.join(c.select(F.col("accession").alias("id"), kmers.length_model(F.col("length")).alias("model")), "id"), v))
+    hits = tb.table(spark, d, "lineitem").select(F.expr("concat(l_orderkey * 50, '_', l_linenumber)").alias("qseqid"), F.col("l_suppkey").cast("string").alias("mag"), (40 + F.col("l_quantity")).alias("pident"))
+    no, none = F.col("accession").cast("bigint"), F.lit(None).cast("string")
+    taxa = c.select(F.col("accession").alias("mag"), none.alias("species"), F.when(no % 4 != 0, F.concat(F.lit("genus:g"), (no % 2).cast("string"))).alias("genus"), none.alias("family"))
+    return tasks.kmer_host(c.where(no % 50 == 0), c, densities=fitted, protein_hits=hits, taxa=taxa)

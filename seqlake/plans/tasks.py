@@ -124,20 +124,22 @@ def host(contigs: DataFrame, rows: DataFrame, config: Config, lineages: DataFram
     return out.join(one.select(*rest), "accession", "left"), evidence.multi(rows).orderBy("accession", F.col("score").desc())
 
 
-#: Standard deviations of the stand-in densities by length model; fitted models are passed in instead.
-WIDTHS = {1: 0.002, 2: 0.003, 3: 0.004, 4: 0.006, 5: 0.01}
-
-
-def kmer_host(viruses_: DataFrame, hosts: DataFrame, densities: dict | None = None, protein_hits: DataFrame | None = None, taxa: DataFrame | None = None) -> DataFrame:
+def kmer_host(viruses_: DataFrame, hosts: DataFrame, known: DataFrame | None = None, densities: dict | None = None, protein_hits: DataFrame | None = None, taxa: DataFrame | None = None, components: int = 1) -> DataFrame:
     """(accession, host, score): the host whose tetranucleotide profile the density of the virus's length finds likeliest.
 
-    densities: length model (1 to 5) -> log-density of profile differences. With protein_hits (qseqid, mag, pident) a call
-    stands only if hits bear it out (see evidence.kmer_gate), and the score is their identity.
+    Densities are fitted to the profile differences of `known` pairs (accession, host) among both tables, one mixture of
+    `components` Gaussians for each of the five length models, or given: length model (1 to 5) -> log-density. A virus of a
+    length that no known pair has gets no row. With protein_hits (qseqid, mag, pident) a call stands only if hits bear it
+    out (see evidence.kmer_gate), and the score is their identity.
     """
+    if (known is None) == (densities is None):
+        raise ValueError("either known pairs or fitted densities are needed")
     q = kmers.profiles(viruses_.select(F.col("accession").alias("id"), "seq"))
     q = q.join(viruses_.select(F.col("accession").alias("id"), kmers.length_model(F.col("length")).alias("model")), "id")
-    rules = densities or {k: kmers.gaussian(w) for k, w in WIDTHS.items()}
-    best = kmers.density_argmax(q, kmers.profiles(hosts.select(F.col("accession").alias("id"), "seq")), rules)
+    refs = kmers.profiles(hosts.select(F.col("accession").alias("id"), "seq"))
+    if known is not None:
+        densities = kmers.fit_mixtures(kmers.pair_differences(known.select(F.col("accession").alias("id"), F.col("host").alias("ref")), q, refs), components)
+    best = kmers.density_argmax(q, refs, densities)
     calls = best.select(F.col("id").alias("accession"), F.col("best").alias("host"), "score")
     return calls if protein_hits is None else evidence.kmer_gate(calls, evidence.mag_identity(protein_hits), taxa)
 

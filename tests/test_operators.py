@@ -1,6 +1,7 @@
 """Hand-computed expectations, with a case on the line of every threshold."""
 
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqlake import functions as fn
 from seqlake.config import Config
-from seqlake.operators import annotation, besthit, evidence, graph, kmers, models, msa, pairs, ranks, regions, taxonomy
+from seqlake.operators import annotation, besthit, density, evidence, graph, kmers, models, msa, pairs, ranks, regions, taxonomy
 
 
 def rows(df, *cols):
@@ -280,8 +281,9 @@ def test_nearest_vectors_in_blocks(spark):
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "id long, v array<double>").repartition(5)
     dot = v @ v.T
     np.fill_diagonal(dot, -np.inf)
-    for block in (7, 4096):
-        got = {r["id"]: r["best"] for r in kmers.vector_argmax(df, df, block, skip_same=True).collect()}
+    for numbers in (56, 1 << 18):
+        with mock.patch.object(density, "NUMBERS", numbers):
+            got = {r["id"]: r["best"] for r in kmers.vector_argmax(df, df, skip_same=True).collect()}
         assert got == {i: int(dot[i].argmax()) for i in range(90)}
     assert kmers.vector_argmax(df.limit(0), df).count() == 0 and kmers.vector_argmax(df, df.limit(0)).count() == 0
 

@@ -1,5 +1,6 @@
 """The tasks end to end on a small made-up sample."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqlake.config import Config
@@ -38,8 +39,12 @@ def test_annotate_and_hosts(spark):
     genes, rate = tasks.annotate(orfs, hits, spark.createDataFrame([("p1", "portal")], "protein string, description string"))
     assert {r["accession"]: r["rate"] for r in rate.collect()} == {"v1": 0.5, "v2": 0.0, "m1": 0.0}
     assert genes.where("orf_id = 'v1_1'").first()["coverage"] == 0.9
-    near = {r["accession"]: r["host"] for r in tasks.kmer_host(contigs.where("length > 25"), contigs.where("length > 25").withColumn("accession", F.concat(F.lit("h_"), "accession"))).collect()}
+    own = contigs.where("length > 25")
+    hosts = own.withColumn("accession", F.concat(F.lit("h_"), "accession"))
+    near = {r["accession"]: r["host"] for r in tasks.kmer_host(own, hosts, own.select("accession", F.concat(F.lit("h_"), "accession").alias("host"))).collect()}
     assert near == {"v1": "h_v1", "v2": "h_v2"}
+    with pytest.raises(ValueError):
+        tasks.kmer_host(own, hosts)
 
 
 def test_units_and_contamination(spark):
