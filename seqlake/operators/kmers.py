@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seqlake.functions import canonical, windows
 from seqlake.operators.density import Mixture, best_reference, fit_mixtures, gaussian
@@ -14,22 +17,68 @@ from seqlake.operators.density import Mixture, best_reference, fit_mixtures, gau
 __all__ = ["Mixture", "canonical_depth", "counts", "density_argmax", "fit_mixtures", "frequencies", "gaussian", "length_model", "pair_differences", "profiles", "vector_argmax"]
 
 
-def counts(seqs: DataFrame, k: int = 4) -> DataFrame:
-    """(id, kmer, n) of windows of A, C, G, T alone."""
-    one = seqs.select("id", F.explode(_words(F.upper("seq"), k)).alias("kmer"))
-    return one.groupBy("id", "kmer").agg(F.count("*").alias("n"))
+#: Ids whose counts a task holds before it hands them on.
+HELD = 2000
+
+
+def _tally(k: int, kind: pa.DataType):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of all 4**k words of A, C, G and T alone, summed by id as far as a task's memory bound lets it."""
+        size, code = 4**k, np.full(256, -1, np.int64)
+        for i, c in enumerate("ACGT"):
+            code[ord(c)] = code[ord(c.lower())] = i
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            ids, rows = list(held), list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["id", "over", "n"])
+
+        for b in batches:
+            for name, seq in zip(b.column("id").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                x = code[np.frombuffer(seq, np.uint8)]
+                n = max(0, len(x) - k + 1)
+                word, known = np.zeros(n, np.int64), np.ones(n, bool)
+                for j in range(k):
+                    word = 4 * word + x[j : j + n]
+                    known &= x[j : j + n] >= 0
+                over, old = held.get(name, (0, 0))
+                held[name] = max(over, len(x) - 1), old + np.bincount(word[known], minlength=size)
+                if len(held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    return tally
+
 
+def _words(k: int) -> Column:
+    return F.array(*[F.lit("".join(x)) for x in itertools.product("ACGT", repeat=k)])
 
-def _words(seq: Column, k: int) -> Column:
-    """Windows of A, C, G and T alone: the look-ahead itself passes over others."""
-    return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+
+def _tallies(seqs: DataFrame, k: int) -> DataFrame:
+    """(id, over, n): counts of all words in alphabetical order and the length less one, of the rows of an id together.
+
+    Tasks sum first, so an id has a row for each task at most; null sequences are left out.
+    """
+    if k > 6:
+        raise ValueError("words of up to 6 letters are counted; canonical_depth takes longer ones")
+    kind = seqs.schema["id"].dataType
+    rows = seqs.where("seq IS NOT NULL").select("id", F.col("seq").cast("binary").alias("seq")).mapInArrow(_tally(k, to_arrow_type(kind)), f"id {kind.simpleString()}, over long, n array<long>")
+    every = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, x: F.zip_with(a, x, lambda y, z: y + z))
+    return rows.groupBy("id").agg(F.max("over").alias("over"), F.collect_list("n").alias("all")).select("id", "over", every.alias("n"))
+
+
+def counts(seqs: DataFrame, k: int = 4) -> DataFrame:
+    """(id, kmer, n) of windows of A, C, G, T alone."""
+    return frequencies(seqs, k).select("id", "kmer", "n")
 
 
 def frequencies(seqs: DataFrame, k: int = 4) -> DataFrame:
-    """(id, kmer, n, freq): counts over sequence length less one, carried along so that the text is read once."""
-    one = seqs.select("id", (F.length("seq") - 1).alias("over"), F.explode(_words(F.upper("seq"), k)).alias("kmer"))
-    n = one.groupBy("id", "kmer").agg(F.count("*").alias("n"), F.max("over").alias("over"))
-    return n.select("id", "kmer", "n", F.try_divide(F.col("n").cast("double"), "over").alias("freq"))
+    """(id, kmer, n, freq): counts over sequence length less one, of the words that occur."""
+    each = F.filter(F.arrays_zip(_words(k).alias("kmer"), F.col("n").alias("n")), lambda x: x["n"] > 0)
+    one = _tallies(seqs, k).select("id", "over", F.explode(each).alias("x"))
+    return one.select("id", "x.kmer", "x.n", F.try_divide(F.col("x.n").cast("double"), "over").alias("freq"))
 
 
 def canonical_depth(seqs: DataFrame, k: int = 21) -> DataFrame:
@@ -45,11 +94,9 @@ def length_model(length: Column) -> Column:
 
 
 def profiles(seqs: DataFrame, k: int = 4) -> DataFrame:
-    """(id, v): frequencies of all 4**k words in alphabetical order, 0 where a word does not occur."""
-    every = ["".join(x) for x in itertools.product("ACGT", repeat=k)]
-    have = frequencies(seqs, k).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("m"))
-    names = F.array(*[F.lit(x) for x in every])
-    return have.select("id", F.transform(names, lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0))).alias("v"))
+    """(id, v): frequencies of all 4**k words in alphabetical order, 0 where a word does not occur; ids with no word have no row."""
+    v = F.transform("n", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("over")), F.lit(0.0)))
+    return _tallies(seqs, k).where(F.exists("n", lambda x: x > 0)).select("id", v.alias("v"))
 
 
 def vector_argmax(queries: DataFrame, refs: DataFrame, skip_same: bool = False) -> DataFrame:
