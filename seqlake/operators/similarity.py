@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.storage import materialize
+
 # A seed is two polynomials of its letters modulo a prime, with these bases.
 PRIME, BASES = 2**31 - 1, (1_812_433_253 % (2**31 - 1), 1_664_525)
 #: Seeds of the queries up to which they (some 60 bytes each) are broadcast; with more, both sides are shuffled by seed.
@@ -214,16 +216,22 @@ def similarity_join(queries: DataFrame, targets: DataFrame, k: int = 12, w: int
     """
     side = lambda d, id_, no: d.select(F.col("id").alias(id_), F.col("seq").cast("binary").alias("seq")).where("length(seq) > 0").withColumn(no, F.unhex(F.md5("seq")))
     q, t = side(queries, "qseqid", "qno"), side(targets, "sseqid", "sno")
-    qs, ts = q.groupBy("qno").agg(F.any_value("seq").alias("qseq")), t.groupBy("sno").agg(F.any_value("seq").alias("sseq"))
+    qs = q.groupBy("qno").agg(F.any_value("seq").alias("qseq"))
     seeds = lambda d, no, seq, at: d.select(F.col(no).alias("no"), F.col(seq).alias("seq")).mapInArrow(_seeds(k, w), "no binary, seed long, at int").select(F.col("no").alias(no), "seed", F.col("at").alias(at))
     asked = seeds(qs, "qno", "qseq", "qat")
     asked = F.broadcast(asked) if asked.limit(SEEDS + 1).count() <= SEEDS else asked
-    met = seeds(ts, "sno", "sseq", "sat").join(asked, "seed")
+    met = seeds(t, "sno", "seq", "sat").join(asked, "seed").select("qno", "sno", "qat", "sat").distinct()
     band = F.floor((F.col("sat") - F.col("qat")) / width)
     bands = met.select("qno", "sno", F.explode(F.array(band, band - 1)).alias("band")).groupBy("qno", "sno", "band").agg(F.count("*").alias("n"))
     by = Window.partitionBy("qno", "sno").orderBy("band")
     beside = lambda f: F.when(f("band").over(by) == F.col("band") + (1 if f is F.lead else -1), f("n").over(by)).otherwise(0)
     bands = bands.withColumn("beside", F.greatest(beside(F.lag), beside(F.lead))).where((F.col("n") >= least) & (F.col("n") >= F.col("beside"))).select("qno", "sno", "band")
+    bands = materialize(bands, "similarity-bands")
+
+    wanted = bands.select("sno").distinct()
+    wanted = F.broadcast(wanted) if bands.count() <= SEEDS else wanted
+    own = materialize(t.join(wanted, "sno", "left_semi"), "similarity-targets")
+    ts = own.groupBy("sno").agg(F.any_value("seq").alias("sseq"))
     rows = bands.join(qs, "qno").join(ts, "sno").select("qno", "sno", F.length("qseq").alias("qlen"), F.length("sseq").alias("slen"), "qseq", "sseq", F.col("band").cast("long"))
     hits = rows.mapInArrow(_aligner(width, width // 2, scoring), f"qno binary, sno binary, qlen int, slen int, {HITS}").where("score > 0").distinct()
     space = t.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("space"))
@@ -231,7 +239,7 @@ def similarity_join(queries: DataFrame, targets: DataFrame, k: int = 12, w: int
     if best_only:
         first = F.row_number().over(Window.partitionBy("qno", "sno").orderBy(F.desc("score"), "qend", "send"))
         hits = hits.withColumn("_first", first).where("_first = 1")
-    named = hits.join(q.select("qno", "qseqid"), "qno").join(t.select("sno", "sseqid"), "sno")
+    named = hits.join(q.select("qno", "qseqid"), "qno").join(own.select("sno", "sseqid"), "sno")
     if same:
         named = named.where("qseqid <> sseqid")
     share = lambda a, b, n: (100.0 * (F.col(b) - F.col(a) + 1) / F.col(n)).alias
