@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from seqlake.functions import argmax, genome_of, orf_index, softmax
+from seqlake.functions import argmax, genome_of, orf_index, sigmoid, softmax
 from seqlake.operators.besthit import first_per_key, near_top
 
 
@@ -67,12 +68,12 @@ def lifestyle(df: DataFrame, logits: str = "logits") -> DataFrame:
     return df.withColumn("type", F.when(argmax(p) == 1, "temperate").when(p.isNotNull(), "virulent")).withColumn("type_score", F.array_max(p))
 
 
-def infer(df: DataFrame, tokens: str, make_predict: Callable, batch_size: int = 500) -> DataFrame:
+def infer(df: DataFrame, tokens: str, make_predict: Callable, batch_size: int = 500, length: int = 300) -> DataFrame:
     """Add score: the sigmoid of a model's output, batched. make_predict loads the model once for each worker.
 
-    Weights are not part of this repository: make_predict is any function that returns predict(ndarray) -> ndarray.
+    make_predict returns predict(array of rows of `length` tokens) -> array of numbers; transformer.score_sentences has one.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    raw = predict_batch_udf(make_predict, return_type="double", batch_size=batch_size, input_tensor_shapes=[[300]])
-    return df.withColumn("_raw", raw(F.col(tokens).cast("array<double>"))).withColumn("score", 1 / (1 + F.exp(-F.col("_raw")))).drop("_raw")
+    raw = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[length]])
+    return df.withColumn("_raw", raw(F.col(tokens).cast("array<double>"))).withColumn("score", sigmoid(F.col("_raw"))).drop("_raw")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from seqlake.operators import genes, kmers, similarity
+from seqlake.operators import genes, kmers, similarity, transformer
 from seqlake.plans import tasks
 from seqlake.plans import testbed as tb
 from seqlake.plans.catalog import query
@@ -92,3 +93,61 @@ def host_by_fitted_density(spark, d):
     no, none = F.col("accession").cast("bigint"), F.lit(None).cast("string")
     taxa = c.select(F.col("accession").alias("mag"), none.alias("species"), F.when(no % 4 != 0, F.concat(F.lit("genus:g"), (no % 2).cast("string"))).alias("genus"), none.alias("family"))
     return tasks.kmer_host(c.where(no % 50 == 0), c, densities=fitted, protein_hits=hits, taxa=taxa)
+
+
+#: A small model for the driver's tables: its weights follow from their places, by one rule for Python and SQL.
+_SIZES = {
+    transformer.WORDS: (10, 4), transformer.PLACES: (6, 4), "encoder.layers.attention.values.weight": (2, 2), "encoder.layers.attention.keys.weight": (2, 2), "encoder.layers.attention.queries.weight": (2, 2),
+    "encoder.layers.attention.fc_out.weight": (4, 4), "encoder.layers.attention.fc_out.bias": (4,), "encoder.layers.norm1.weight": (4,), "encoder.layers.norm1.bias": (4,), "encoder.layers.feed_forward.0.weight": (8, 4),
+    "encoder.layers.feed_forward.0.bias": (8,), "encoder.layers.feed_forward.2.weight": (4, 8), "encoder.layers.feed_forward.2.bias": (4,), "encoder.layers.norm2.weight": (4,), "encoder.layers.norm2.bias": (4,),
+    "fc1.weight": (3, 24), "fc1.bias": (3,), "bn.running_mean": (3,), "bn.running_var": (3,), "bn.weight": (3,), "bn.bias": (3,), "out.weight": (1, 3), "out.bias": (1,),
+}
+
+
+def _small_model() -> dict[str, np.ndarray]:
+    found = {}
+    for k, (name, shape) in enumerate(_SIZES.items()):
+        i, j = np.indices(shape) if len(shape) > 1 else (np.arange(shape[0]), 0)
+        found[name] = np.sin(1.7 * k + 0.9 * i + 0.37 * j) + (1.5 if name == "bn.running_var" else 0)
+    return found
+
+
+def _weight(name: str, i: str, j: str = "0") -> str:
+    k = list(_SIZES).index(name)
+    return f"(sin({1.7 * k!r}::DOUBLE + 0.9::DOUBLE * ({i}) + 0.37::DOUBLE * ({j}))" + (" + 1.5)" if name == "bn.running_var" else ")")
+
+
+def _layer(name: str, i: str, j: str = "0") -> str:
+    return _weight("encoder.layers." + name, i, j)
+
+
+def _project(name: str) -> str:
+    return f"sum(x * {_layer(f'attention.{name}.weight', 'o.o', 'd % 2')}) AS {name}"
+
+
+def _norm_sql(table: str, name: str) -> str:
+    return f"SELECT s, p, t, d, (y - avg(y) OVER w) / sqrt(var_pop(y) OVER w + 1e-5::DOUBLE) * {_layer(name + '.weight', 'd')} + {_layer(name + '.bias', 'd')} AS x FROM {table} WINDOW w AS (PARTITION BY s, p)"
+
+
+@query(f"""WITH li AS (SELECT l_orderkey AS s, 1 + l_partkey % 9 AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem),
+tok AS (SELECT s, p, coalesce(li.t, 0) AS t FROM (SELECT DISTINCT s FROM li) CROSS JOIN (SELECT unnest(range(6)) AS p) LEFT JOIN li USING (s, p)),
+e AS (SELECT s, p, t, d, {_weight(transformer.WORDS, 't', 'd')} + {_weight(transformer.PLACES, 'p', 'd')} AS x FROM tok CROSS JOIN (SELECT unnest(range(4)) AS d)),
+qkv AS (SELECT s, p, t, d // 2 AS h, o.o AS o, {_project('queries')}, {_project('keys')}, {_project('values')} FROM e CROSS JOIN (SELECT unnest(range(2)) AS o) o GROUP BY ALL),
+en AS (SELECT a.s, a.p AS q, b.p AS k, a.h, CASE WHEN b.t = 0 THEN -1e20::DOUBLE ELSE sum(a.queries * b.keys) END / 2 AS e FROM qkv a JOIN qkv b ON a.s = b.s AND a.h = b.h AND a.o = b.o GROUP BY a.s, a.p, b.p, a.h, b.t),
+sm AS (SELECT s, q, k, h, x / sum(x) OVER (PARTITION BY s, q, h) AS a FROM (SELECT s, q, k, h, exp(e - max(e) OVER (PARTITION BY s, q, h)) AS x FROM en)),
+seen AS (SELECT sm.s, q AS p, sm.h * 2 + o AS d, sum(a * "values") AS v FROM sm JOIN qkv ON qkv.s = sm.s AND qkv.p = sm.k AND qkv.h = sm.h GROUP BY ALL),
+y1 AS (SELECT e.s, e.p, e.t, e.d, any_value(e.x) + {_layer('attention.fc_out.bias', 'e.d')} + sum(v * {_layer('attention.fc_out.weight', 'e.d', 'seen.d')}) AS y FROM e JOIN seen ON seen.s = e.s AND seen.p = e.p GROUP BY e.s, e.p, e.t, e.d),
+n1 AS ({_norm_sql('y1', 'norm1')}),
+ff AS (SELECT s, p, t, i, greatest(0, {_layer('feed_forward.0.bias', 'i')} + sum(x * {_layer('feed_forward.0.weight', 'i', 'd')})) AS f FROM n1 CROSS JOIN (SELECT unnest(range(8)) AS i) GROUP BY s, p, t, i),
+y2 AS (SELECT n1.s, n1.p, n1.t, n1.d, any_value(n1.x) + {_layer('feed_forward.2.bias', 'n1.d')} + sum(f * {_layer('feed_forward.2.weight', 'n1.d', 'i')}) AS y FROM n1 JOIN ff ON ff.s = n1.s AND ff.p = n1.p GROUP BY n1.s, n1.p, n1.t, n1.d),
+n2 AS ({_norm_sql('y2', 'norm2')}),
+hid AS (SELECT s, o, {_weight('fc1.bias', 'o')} + sum(x * {_weight('fc1.weight', 'o', 'p * 4 + d')}) AS z FROM n2 CROSS JOIN (SELECT unnest(range(3)) AS o) GROUP BY s, o),
+bn AS (SELECT s, o, (z - {_weight('bn.running_mean', 'o')}) / sqrt({_weight('bn.running_var', 'o')} + 1e-5::DOUBLE) * {_weight('bn.weight', 'o')} + {_weight('bn.bias', 'o')} AS z FROM hid)
+SELECT s AS accession, round(1 / (1 + exp(-(sum(z * {_weight('out.weight', '0', 'o')}) + {_weight('out.bias', '0')}))), 5) AS score FROM bn GROUP BY s""")
+def sentence_scores(spark, d):
+    """Orders as contigs, their lines as tokens, scored by a small sentence model."""
+    line = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    t = tb.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("accession")).agg(F.slice(F.transform(line, lambda x: (1 + x["l_partkey"] % 9).cast("int")), 1, 6).alias("t"))
+    tokens = F.concat("t", F.array_repeat(F.lit(0), F.lit(6) - F.size("t")))
+    scored = transformer.score_sentences(t.select("accession", tokens.alias("tokens")), _small_model(), heads=2)
+    return scored.select("accession", F.round("score", 5).alias("score"))
