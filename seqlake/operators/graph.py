@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,34 +215,6 @@ def largest_components(labels: DataFrame, queries: DataFrame, k: int = 10) -> Da
     return labels.join(own, "component", "left_semi").groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component").limit(k)
 
 
-def shared_cluster_edges(members: DataFrame, total: int | None = None, least: float = 1.0, most: float = 1000.0) -> DataFrame:
-    """(a, b, shared, weight) of genomes by the clusters they share: members is (genome, cluster).
-
-    weight = -log10 P(X >= shared) - log10(number of pairs), X hypergeometric over all clusters; kept above `least`,
-    cut at `most`. Pairs come from an equi-join on the cluster; the tail sum is a Pandas UDF, as Spark has no log-gamma.
-    """
-    m = materialize(members.select("genome", "cluster").distinct(), "net-members")
-    sizes = m.groupBy("genome").agg(F.count("*").alias("n"))
-    n_all = total or m.select("cluster").distinct().count()
-    n_gen = sizes.count()
-    log_pairs = math.log10(max(1, n_gen * (n_gen - 1) // 2))
-    p = m.select(F.col("genome").alias("a"), "cluster").join(m.select(F.col("genome").alias("b"), "cluster"), "cluster").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    p = p.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(k: int, x: int, y: int) -> float:
-            c = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
-            logs = [c(x, i) + c(n_all - x, y - i) - c(n_all, y) for i in range(k, min(x, y) + 1) if n_all - x >= y - i]
-            top = max(logs, default=-math.inf)
-            return -(top + math.log(sum(math.exp(v - top) for v in logs))) / math.log(10) if logs else math.inf
-
-        return pd.Series([one(*r) for r in zip(k, x, y, strict=True)], dtype="float64")
-
-    w = F.least(tail("shared", "na", "nb") - F.lit(log_pairs), F.lit(most))
-    return p.withColumn("weight", w).where(F.col("weight") > least).select("a", "b", "shared", "weight")
-
-
 def number_clusters(clusters: DataFrame) -> DataFrame:
     """(node, cluster) -> adds size and name: `group_i` numbered by cluster, or `singleton`.
 

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from seqlake.functions import canonical, windows
 from seqlake.operators.density import Mixture, best_reference, fit_mixtures, gaussian
 
-__all__ = ["Mixture", "canonical_depth", "counts", "density_argmax", "fit_mixtures", "frequencies", "gaussian", "length_model", "pair_differences", "profiles", "vector_argmax"]
+__all__ = ["Mixture", "canonical_depth", "counts", "density_argmax", "fit_mixtures", "frequencies", "gaussian", "length_model", "pair_differences", "profiles", "scaled_profiles", "vector_argmax"]
 
 
 #: Ids whose counts a task holds before it hands them on.
@@ -99,6 +99,12 @@ def profiles(seqs: DataFrame, k: int = 4) -> DataFrame:
     return _tallies(seqs, k).where(F.exists("n", lambda x: x > 0)).select("id", v.alias("v"))
 
 
+def scaled_profiles(seqs: DataFrame, k: int = 4) -> DataFrame:
+    """(id, v): counts of all words scaled to 0..1 within the id; null where all counts are equal."""
+    low, high = F.array_min("n"), F.array_max("n")
+    return _tallies(seqs, k).select("id", F.when(high > low, F.transform("n", lambda x: (x - low) / (high - low))).alias("v"))
+
+
 def vector_argmax(queries: DataFrame, refs: DataFrame, skip_same: bool = False) -> DataFrame:
     """(id, best, score): for each query vector (id, v) the reference of the largest dot product. See best_reference()."""
     return best_reference(queries.select("id", "v", F.lit(0).alias("model")), refs, {0: None}, skip_same)

@@ -476,9 +476,3 @@ def host_by_genus(spark, d):
     doc = tb.table(spark, d, "documents")
     calls = doc.select(F.col("doc_id").cast("string").alias("accession"), F.col("lang").alias("genus"), F.when(F.col("doc_id") % 3 != 0, F.lit("0.90;0.60")).alias("scores"))
     return evidence.by_genus(calls, spark.createDataFrame([("en", "host of en"), ("de", "host of de")], "genus string, host string"))
-
-
-@query()
-def shared_cluster_network(spark, d):
-    h = tb.hits(spark, d)
-    return graph.shared_cluster_edges(h.select(fn.genome_of(F.col("qseqid")).alias("genome"), F.col("sseqid").alias("cluster")), least=-10)

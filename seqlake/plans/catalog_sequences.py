@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqlake.operators import genes, kmers, similarity, transformer
+from seqlake import functions as fn
+from seqlake.operators import genes, kmers, network, similarity, transformer
 from seqlake.plans import tasks
 from seqlake.plans import testbed as tb
 from seqlake.plans.catalog import query
@@ -151,3 +152,40 @@ def sentence_scores(spark, d):
     tokens = F.concat("t", F.array_repeat(F.lit(0), F.lit(6) - F.size("t")))
     scored = transformer.score_sentences(t.select("accession", tokens.alias("tokens")), _small_model(), heads=2)
     return scored.select("accession", F.round("score", 5).alias("score"))
+
+
+_LINES_SQL = f"""{tb.ORFS_SQL}, gene AS (SELECT orf_id AS gene, regexp_replace(orf_id, '_[^_]*$', '') AS genome, CASE WHEN length(clean) >= 20 THEN clean END AS line, CASE WHEN size % 3 = 0 THEN 'size ' || (size % 7) || '; three' END AS keywords FROM orfs),
+often AS (SELECT line FROM gene WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT genome) > 1), member AS (SELECT line AS cluster, gene FROM gene JOIN often USING (line)),
+prof AS (SELECT DISTINCT genome, cluster FROM gene JOIN member USING (gene)),
+gen AS (SELECT genome, proteins, coalesce(clusters, 0) AS clusters, proteins - coalesce(clusters, 0) AS singletons FROM (SELECT genome, count(*) AS proteins FROM gene GROUP BY 1) LEFT JOIN (SELECT genome, count(*) AS clusters FROM prof GROUP BY 1) USING (genome))"""
+
+
+def _line_genes(spark, d):
+    """Lines of documents as genes, lines that two documents have as clusters, with keywords by their length."""
+    o = tb.orfs(spark, d)
+    g = o.select(F.col("orf_id").alias("gene"), fn.genome_of(F.col("orf_id")).alias("genome"), F.when(F.length("clean") >= 20, F.col("clean")).alias("line"), F.expr("CASE WHEN size % 3 = 0 THEN concat('size ', size % 7, '; three') END").alias("keywords"))
+    often = g.where("line IS NOT NULL").groupBy("line").agg(F.count_distinct("genome").alias("n")).where("n > 1").select("line")
+    return g, g.join(often, "line").select(F.col("line").alias("cluster"), "gene")
+
+
+@query(f"""WITH {_LINES_SQL}, known AS (SELECT cluster, genome, keywords FROM member JOIN gene USING (gene)), word AS (SELECT cluster, trim(unnest(string_split(keywords, ';'))) AS k FROM known WHERE keywords IS NOT NULL),
+keys AS (SELECT cluster, string_agg(k || ' (' || n || ')', '; ' ORDER BY n DESC, k) AS keys FROM (SELECT cluster, k, count(*) AS n FROM word GROUP BY 1, 2) GROUP BY 1)
+SELECT md5(cluster) AS cluster, count(*) AS size, count(keywords) AS annotated, any_value(keys) AS keys FROM known LEFT JOIN keys USING (cluster) GROUP BY cluster""")
+def cluster_keywords(spark, d):
+    return network.cluster_profiles(*_line_genes(spark, d))[2].withColumn("cluster", F.md5("cluster"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT * FROM gen")
+def genome_profiles(spark, d):
+    return network.cluster_profiles(*_line_genes(spark, d))[1]
+
+
+@query(f"""WITH {_LINES_SQL}, n AS (SELECT count(*) AS genomes, CAST(sum(singletons) AS BIGINT) + (SELECT count(DISTINCT cluster) FROM prof) AS total FROM gen),
+c AS (SELECT x.genome AS a, y.genome AS b, count(*) AS shared FROM prof x JOIN prof y ON x.cluster = y.cluster AND x.genome < y.genome GROUP BY 1, 2),
+s AS (SELECT a, b, shared, p.proteins AS x, q.proteins AS y FROM c JOIN gen p ON p.genome = a JOIN gen q ON q.genome = b),
+t AS (SELECT s.*, log10(0.5::DOUBLE * genomes * (genomes - 1)) AS pairs, list_transform(range(greatest(shared, x + y - total), least(x, y) + 1), lambda i: lgamma(x + 1) - lgamma(i + 1) - lgamma(x - i + 1) + lgamma(total - x + 1) - lgamma(y - i + 1) - lgamma(total - x - y + i + 1) - lgamma(total + 1) + lgamma(y + 1) + lgamma(total - y + 1)) AS l FROM s, n),
+w AS (SELECT a, b, shared, least(-(list_max(l) + ln(list_sum(list_transform(l, lambda v: exp(v - list_max(l)))))) / ln(10) - pairs, 1000) AS weight FROM t)
+SELECT a, b, shared, round(weight, 4) AS weight FROM w WHERE weight > 1""")
+def shared_cluster_network(spark, d):
+    profiles, genomes, _ = network.cluster_profiles(*_line_genes(spark, d))
+    return network.shared_cluster_edges(profiles, genomes).select("a", "b", "shared", F.round("weight", 4).alias("weight"))

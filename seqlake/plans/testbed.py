@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.operators import network
+
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 
 
@@ -76,8 +78,8 @@ th AS (SELECT contig, orf, taxid, bitscore FROM (SELECT *, max(bitscore) OVER (P
 
 def shared_lines(spark, d, least: int = 3) -> DataFrame:
     """(a, b, lines): document pairs sharing at least `least` distinct cleaned lines of 20 letters or more."""
-    o = orfs(spark, d).where(F.length("clean") >= 20).select(F.regexp_replace("orf_id", "_[^_]*$", "").cast("bigint").alias("id"), "clean").distinct()
-    return o.select(F.col("id").alias("a"), "clean").join(o.select(F.col("id").alias("b"), "clean"), "clean").where("a < b").groupBy("a", "b").agg(F.count("*").alias("lines")).where(F.col("lines") >= least)
+    o = orfs(spark, d).where(F.length("clean") >= 20).select(F.regexp_replace("orf_id", "_[^_]*$", "").cast("bigint").alias("id"), F.col("clean").alias("item"))
+    return network.shared_items(o, least).withColumnRenamed("shared", "lines")
 
 
 SHARED_SQL = f"""{ORFS_SQL}, ln AS (SELECT DISTINCT CAST(regexp_replace(orf_id, '_[^_]*$', '') AS BIGINT) AS id, clean FROM orfs WHERE length(clean) >= 20),
