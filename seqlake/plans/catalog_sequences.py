@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from seqlake import cache
 from seqlake import functions as fn
-from seqlake.operators import genes, kmers, network, similarity, transformer
+from seqlake.operators import genes, kmers, network, pairs, similarity, transformer
 from seqlake.plans import tasks
 from seqlake.plans import testbed as tb
 from seqlake.plans.catalog import query
+from seqlake.storage import scratch_dir
 
 _K, _W, _LEAST, _WIDTH = 8, 5, 3, 32
 _SCORING = similarity.Scoring(2, -3, 5, 2, 26)
@@ -189,3 +193,12 @@ SELECT a, b, shared, round(weight, 4) AS weight FROM w WHERE weight > 1""")
 def shared_cluster_network(spark, d):
     profiles, genomes, _ = network.cluster_profiles(*_line_genes(spark, d))
     return network.shared_cluster_edges(profiles, genomes).select("a", "b", "shared", F.round("weight", 4).alias("weight"))
+
+
+@query(f"WITH {tb.ORFS_SQL} SELECT regexp_replace(orf_id, '_[^_]*$', '') AS genome, count(*) AS genes FROM orfs GROUP BY 1")
+def cached_intermediate(spark, d):
+    """Genome sizes through the store of intermediates: built by the first call, read by the second."""
+    root = f"{scratch_dir(spark)}/cache-{uuid.uuid4().hex}"
+    take = lambda: cache.cached(spark, root, "genome_sizes", {"version": 1}, [f"{d}/documents.parquet"], lambda: pairs.genome_sizes(tb.orfs(spark, d)))
+    take()
+    return take()

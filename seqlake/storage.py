@@ -34,6 +34,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems: the one place that needs the JVM, as Spark has no call for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by materialize() that nothing reads any more; others are left alone.
 
@@ -45,7 +51,6 @@ def discard(*tables: DataFrame | None) -> None:
         path = t.__dict__.pop("_scratch_path", None) if t is not None else None
         if path:
             gone = t.sparkSession
-            where = gone._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(gone._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            delete(gone, path)
     if gone is not None:
         gone._jvm.System.gc()
