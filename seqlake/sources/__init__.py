@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from seqlake import schemas
 from seqlake.functions import is_dna
 from seqlake.operators.genes import call_genes
+from seqlake.sources.pickles import pickled_table
+from seqlake.sources.reports import blast_xml, report_records, write_reports
+
+__all__ = ["blast_xml", "pickled_table", "report_records", "write_reports"]
 
 
 def records(reader, path: str) -> DataFrame:
@@ -119,23 +123,6 @@ def translated_genomes(spark: SparkSession, path: str, **options) -> DataFrame:
     return genes.select(F.substring_index("accession", "\u0001", 1).alias("mag"), F.substring_index("orf_id", "\u0001", -1).alias("orf_id"), "start", "end", "strand", "protein")
 
 
-def blast_xml(spark: SparkSession, path: str) -> DataFrame:
-    """The 12 columns of hits from search-report XML, one row for each HSP."""
-    hsp = "struct<Hsp_bit-score:double,Hsp_evalue:double,Hsp_query-from:int,Hsp_query-to:int,Hsp_hit-from:int,Hsp_hit-to:int,Hsp_identity:int,Hsp_gaps:int,Hsp_align-len:int,Hsp_qseq:string,Hsp_hseq:string>".replace("Hsp_bit-score", "`Hsp_bit-score`").replace("Hsp_query-from", "`Hsp_query-from`").replace("Hsp_query-to", "`Hsp_query-to`").replace("Hsp_hit-from", "`Hsp_hit-from`").replace("Hsp_hit-to", "`Hsp_hit-to`").replace("Hsp_align-len", "`Hsp_align-len`")
-    schema = f"`Iteration_query-def` string, Iteration_hits struct<Hit:array<struct<Hit_id:string,Hit_def:string,Hit_hsps:struct<Hsp:array<{hsp}>>>>>"
-    x = spark.read.format("xml").option("rowTag", "Iteration").schema(schema).load(path)
-    h = x.select(F.substring_index("`Iteration_query-def`", " ", 1).alias("qseqid"), F.explode("Iteration_hits.Hit").alias("h"))
-    p = h.select("qseqid", F.substring_index("h.Hit_def", " ", 1).alias("sseqid"), F.explode("h.Hit_hsps.Hsp").alias("p"))
-    f = lambda n: F.col("p")[n]
-    n, ident, gaps = f("Hsp_align-len"), f("Hsp_identity"), F.coalesce(f("Hsp_gaps"), F.lit(0))
-    opens = F.regexp_count(f("Hsp_qseq"), F.lit("-+")) + F.regexp_count(f("Hsp_hseq"), F.lit("-+"))
-    bits = F.when(f("Hsp_bit-score") < 100, F.round(f("Hsp_bit-score"), 1)).otherwise(F.floor(f("Hsp_bit-score")).cast("double"))
-    return p.select(
-        "qseqid", "sseqid", F.round(100 * F.try_divide(ident.cast("double"), n), 3).alias("pident"), n.alias("length"), (n - ident - gaps).alias("mismatch"), F.coalesce(opens, F.lit(0)).alias("gapopen"),
-        f("Hsp_query-from").alias("qstart"), f("Hsp_query-to").alias("qend"), f("Hsp_hit-from").alias("sstart"), f("Hsp_hit-to").alias("send"), f("Hsp_evalue").alias("evalue"), bits.alias("bitscore"),
-    )
-
-
 def valid_names(spark: SparkSession, path: str) -> DataFrame:
     """(rank, name, ord) from a JSON object of rank -> list of names."""
     m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))

@@ -50,9 +50,9 @@ def test_tables(spark, tmp_path):
 
 def test_search_xml(spark, tmp_path):
     (tmp_path / "b.xml").write_text(
-        "<R><Iteration><Iteration_query-def>q_1 x</Iteration_query-def><Iteration_hits><Hit><Hit_id>1</Hit_id><Hit_def>t_9 y</Hit_def><Hit_hsps><Hsp><Hsp_bit-score>120.7</Hsp_bit-score><Hsp_evalue>1e-5</Hsp_evalue>"
+        "<R><Iteration><Iteration_query-ID>Query_1</Iteration_query-ID><Iteration_query-def>q_1 x</Iteration_query-def><Iteration_hits><Hit><Hit_id>gnl|BL_ORD_ID|1</Hit_id><Hit_def>t_9 y</Hit_def><Hit_accession>1</Hit_accession><Hit_hsps><Hsp><Hsp_bit-score>120.7</Hsp_bit-score><Hsp_evalue>1e-5</Hsp_evalue>"
         "<Hsp_query-from>1</Hsp_query-from><Hsp_query-to>9</Hsp_query-to><Hsp_hit-from>2</Hsp_hit-from><Hsp_hit-to>11</Hsp_hit-to><Hsp_identity>8</Hsp_identity><Hsp_gaps>1</Hsp_gaps><Hsp_align-len>10</Hsp_align-len>"
-        "<Hsp_qseq>AB-DEFGHIJ</Hsp_qseq><Hsp_hseq>ABCDEFGHIK</Hsp_hseq></Hsp></Hit_hsps></Hit></Iteration_hits></Iteration></R>"
+        "<Hsp_qseq>AB-DEFGHIJ</Hsp_qseq><Hsp_hseq>ABCDEFGHIK</Hsp_hseq><Hsp_midline>AB DEFGHI </Hsp_midline></Hsp></Hit_hsps></Hit></Iteration_hits></Iteration></R>"
     )
     r = sources.blast_xml(spark, str(tmp_path / "b.xml")).first()
     assert (r["qseqid"], r["sseqid"], r["pident"], r["mismatch"], r["gapopen"], r["bitscore"]) == ("q_1", "t_9", 80.0, 1, 1, 120.0)
