@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqlake.storage import discard, materialize
 
 #: Numbers in one block of vectors (8 bytes each).
-NUMBERS = 1 << 18
+NUMBERS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,13 @@ class Mixture:
         for w, m, v in zip(self.weights, self.means, self.variances, strict=True):
             m, v = np.broadcast_to(m, q.shape[1]), np.broadcast_to(v, q.shape[1])
             a, b = (q - m) / np.sqrt(v), r / np.sqrt(v)
-            square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-            one = np.log(w) - 0.5 * (np.maximum(square, 0) + np.log(2 * np.pi * v).sum())
+            one = a @ b.T
+            one *= 2
+            one -= (a * a).sum(1)[:, None]
+            one -= (b * b).sum(1)
+            np.minimum(one, 0, out=one)
+            one *= 0.5
+            one += np.log(w) - 0.5 * np.log(2 * np.pi * v).sum()
             found = one if found is None else np.logaddexp(found, one)
         return found
 
@@ -141,8 +146,8 @@ def _best_of_blocks(models: dict, skip_same: bool):
             for k in range(b.num_rows):
                 names, refs = b.column("ids")[k].values, b.column("rids")[k].values
                 kinds = b.column("models")[k].values.to_numpy()
-                q = np.frombuffer(b.column("v")[k].as_py()).reshape(len(names), -1)
-                r = np.frombuffer(b.column("rv")[k].as_py()).reshape(len(refs), -1)
+                q = np.frombuffer(b.column("v")[k].as_buffer()).reshape(len(names), -1)
+                r = np.frombuffer(b.column("rv")[k].as_buffer()).reshape(len(refs), -1)
                 score = np.empty((len(names), len(refs)))
                 for m in set(kinds.tolist()):
                     own, rule = kinds == m, models[m]
@@ -152,7 +157,7 @@ def _best_of_blocks(models: dict, skip_same: bool):
                         score[own] = rule.between(q[own], r)
                     else:
                         score[own] = np.stack([rule(x - r) for x in q[own]])
-                score = np.round(score, 7)
+                np.round(score, 7, out=score)
                 if skip_same:
                     at = {x: j for j, x in enumerate(refs.to_pylist())}
                     for i, x in enumerate(names.to_pylist()):

@@ -281,7 +281,7 @@ def test_nearest_vectors_in_blocks(spark):
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "id long, v array<double>").repartition(5)
     dot = v @ v.T
     np.fill_diagonal(dot, -np.inf)
-    for numbers in (56, 1 << 18):
+    for numbers in (56, 1 << 17):
         with mock.patch.object(density, "NUMBERS", numbers):
             got = {r["id"]: r["best"] for r in kmers.vector_argmax(df, df, skip_same=True).collect()}
         assert got == {i: int(dot[i].argmax()) for i in range(90)}
