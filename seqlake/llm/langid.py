@@ -39,6 +39,28 @@ BROADCAST_LANGS = 100_000
 CACHE_WORDS = 400_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters. The pattern also lets fractions, raised digits and Roman numerals through; words with any are cut at them."""
+    found = WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
+def letter_spans(text: str) -> list[tuple[int, int]]:
+    """Where the runs of letter_runs() begin and end."""
+    spans = []
+    for m in WORD.finditer(text):
+        if m[0].isalpha():
+            spans.append(m.span())
+            continue
+        at = [k for k, c in enumerate(m[0]) if c.isalpha()]
+        starts = [k for k in at if k == 0 or not m[0][k - 1].isalpha()]
+        ends = [k + 1 for k in at if k + 1 == len(m[0]) or not m[0][k + 1].isalpha()]
+        spans += [(m.start() + a, m.start() + b) for a, b in zip(starts, ends, strict=True)]
+    return spans
+
+
 def script_of(word: str) -> str:
     return SCRIPTS[bisect.bisect_right(_FIRST, ord(word[0])) - 1][1]
 
@@ -72,7 +94,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = total.setdefault(lang, Counter())
-                for w, n in Counter(WORD.findall(text.lower())).items():
+                for w, n in Counter(letter_runs(text.lower())).items():
                     own["#" + script_of(w)] += n
                     for g in grams(w):
                         own["=" + g] += n
@@ -202,7 +224,7 @@ def label(texts: list[str | None], model: Model, labeler: Labeler, spans: bool =
     runs of one language, from its first word to its last, in code points, end exclusive.
     """
     k = len(model.langs)
-    found = [WORD.findall(t) if t else [] for t in texts]
+    found = [letter_runs(t) if t else [] for t in texts]
     size = np.array([len(f) for f in found], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     words = [w for f in found for w in f]
@@ -221,7 +243,7 @@ def label(texts: list[str | None], model: Model, labeler: Labeler, spans: bool =
     for i, t in enumerate(texts if spans else []):
         if size[i]:
             own = path[first[i] : first[i + 1]]
-            at = [m.span() for m in WORD.finditer(t)]
+            at = letter_spans(t)
             cut = (np.flatnonzero(np.diff(own)) + 1).tolist()
             out[i] = [{"start": at[x][0], "end": at[y - 1][1], "lang": model.langs[own[x]]} for x, y in zip([0, *cut], [*cut, len(own)], strict=True)]
     return langs, np.clip(score, 0.0, 1.0).tolist(), out

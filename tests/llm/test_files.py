@@ -114,6 +114,20 @@ def toy_texts(n=120, seed=6):
     return rng, word, [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in zip(range(n), itertools.cycle(stems), strict=False)]
 
 
+def test_only_letters_are_words(frame):
+    """Numerals of every kind are no letters: a text of them alone has no language, and they cut words."""
+    for t in ("½ ²", "Ⅷ", "٣ ৩ 7", "_ _", "①㉈"):
+        assert langid.letter_runs(t) == [] and langid.letter_spans(t) == []
+    t = "a½b x² Ⅷword _é漢_ no1"
+    assert langid.letter_runs(t) == ["a", "b", "x", "word", "é漢", "no"] == [t[a:b] for a, b in langid.letter_spans(t)]
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x30000))))
+    assert "".join(langid.letter_runs(every)) == "".join(c for c in every if c.isalpha())
+    rng, word, rows = toy_texts()
+    model = langid.train(frame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(frame([(1, "½ ²"), (2, "Ⅷ"), (3, word("bb") + "½")], "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "bb"
+
+
 def test_language_spans(frame):
     rng, word, rows = toy_texts()
     model = langid.train(frame(rows, "doc_id long, text string, lang string"))
