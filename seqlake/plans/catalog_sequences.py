@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqlake import cache
@@ -134,7 +135,7 @@ def _norm_sql(table: str, name: str) -> str:
     return f"SELECT s, p, t, d, (y - avg(y) OVER w) / sqrt(var_pop(y) OVER w + 1e-5::DOUBLE) * {_layer(name + '.weight', 'd')} + {_layer(name + '.bias', 'd')} AS x FROM {table} WINDOW w AS (PARTITION BY s, p)"
 
 
-@query(f"""WITH li AS (SELECT l_orderkey AS s, 1 + l_partkey % 9 AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem),
+@query(f"""WITH li AS (SELECT conv_id AS s, 1 + length(coalesce(text, '')) % 9 AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, '')) % 9) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
 tok AS (SELECT s, p, coalesce(li.t, 0) AS t FROM (SELECT DISTINCT s FROM li) CROSS JOIN (SELECT unnest(range(6)) AS p) LEFT JOIN li USING (s, p)),
 e AS (SELECT s, p, t, d, {_weight(transformer.WORDS, 't', 'd')} + {_weight(transformer.PLACES, 'p', 'd')} AS x FROM tok CROSS JOIN (SELECT unnest(range(4)) AS d)),
 qkv AS (SELECT s, p, t, d // 2 AS h, o.o AS o, {_project('queries')}, {_project('keys')}, {_project('values')} FROM e CROSS JOIN (SELECT unnest(range(2)) AS o) o GROUP BY ALL),
@@ -150,9 +151,10 @@ hid AS (SELECT s, o, {_weight('fc1.bias', 'o')} + sum(x * {_weight('fc1.weight',
 bn AS (SELECT s, o, (z - {_weight('bn.running_mean', 'o')}) / sqrt({_weight('bn.running_var', 'o')} + 1e-5::DOUBLE) * {_weight('bn.weight', 'o')} + {_weight('bn.bias', 'o')} AS z FROM hid)
 SELECT s AS accession, round(1 / (1 + exp(-(sum(z * {_weight('out.weight', '0', 'o')}) + {_weight('out.bias', '0')}))), 5) AS score FROM bn GROUP BY s""")
 def sentence_scores(spark, d):
-    """Orders as contigs, their lines as tokens, scored by a small sentence model."""
-    line = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    t = tb.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("accession")).agg(F.slice(F.transform(line, lambda x: (1 + x["l_partkey"] % 9).cast("int")), 1, 6).alias("t"))
+    """Conversations as contigs, their first six turns as tokens, scored by a small sentence model."""
+    turn = tb.table(spark, d, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("accession"), "turn", F.expr("CAST(1 + length(coalesce(text, '')) % 9 AS int)").alias("t"))
+    first = turn.withColumn("p", F.row_number().over(Window.partitionBy("accession").orderBy("turn", "t"))).where("p <= 6")
+    t = first.groupBy("accession").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("t"))
     tokens = F.concat("t", F.array_repeat(F.lit(0), F.lit(6) - F.size("t")))
     scored = transformer.score_sentences(t.select("accession", tokens.alias("tokens")), _small_model(), heads=2)
     return scored.select("accession", F.round("score", 5).alias("score"))
