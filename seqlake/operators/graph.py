@@ -46,36 +46,61 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), h(1), h(2)).first())
 
 
+#: Edges of a component up to which one task decides it in order, and edges that such a task has in all, about.
+WHOLE, TOGETHER = 500_000, 250_000
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fates of all nodes that edges lead to, from edges (src, dst, at: place of src, to: place of dst, lead: src is known to lead)."""
+    rep: dict = {}
+    leads = set(pdf.loc[pdf["lead"], "src"])
+    out = []
+    for (_, dst), own in pdf.sort_values(["to", "dst", "at", "src"]).groupby(["to", "dst"], sort=False)["src"]:
+        first = next((x for x in own if x in leads or rep.get(x, x) == x), dst)
+        rep[dst] = first
+        out.append((dst, first))
+    return pd.DataFrame(out, columns=["node", "rep"])
+
+
 def greedy_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, rep): in length order, each node not yet taken leads and takes the untaken nodes its edges lead to.
 
-    nodes: (node, length); edges: (src, dst). The sequential rule in rounds: a node's fate is known once all nodes
-    that come earlier and point to it are decided. It follows the first of these that leads; if none leads, it leads.
-    The first undecided node of every chain is decided in each round, so rounds are bounded by the longest chain.
+    nodes: (node, length); edges: (src, dst). A node's fate follows from nodes that come earlier and point to it, so from
+    its component alone: components of up to WHOLE edges are decided in order, many in one task, however long their
+    chains. In larger ones a round decides nodes none of whose earlier neighbours is open, or whose first leader comes
+    before all open ones; what is decided leaves, and what then falls apart is decided in order. Only a chain of more than
+    WHOLE edges costs rounds by its length. Equal lengths go by name; repeated nodes and edges count once.
     """
-    order = nodes.select("node", F.struct((-F.col("length")).alias("l"), F.col("node").alias("n")).alias("o"))
+    order = nodes.select("node", F.struct((-F.col("length")).alias("l"), F.col("node").alias("n")).alias("o")).groupBy("node").agg(F.min("o").alias("o"))
     src, dst = order.select(F.col("node").alias("src"), F.col("o").alias("so")), order.select(F.col("node").alias("dst"), F.col("o").alias("do"))
     # only edges from an earlier to a later node can decide anything
-    back = materialize(edges.select("src", "dst").where("src <> dst").distinct().join(src, "src").join(dst, "dst").where("so < do").select("src", "dst", "so"), "greedy-edges")
-    fates = None
-    todo = materialize(nodes.select("node").distinct(), "greedy-todo")
-    while not todo.isEmpty():
-        own = back.join(todo.select(F.col("node").alias("dst")), "dst")
-        if fates is not None:
-            own = own.join(fates.select(F.col("node").alias("src"), F.col("rep").alias("src_rep")), "src", "left")
-        else:
-            own = own.withColumn("src_rep", F.lit(None).cast(nodes.schema["node"].dataType))
-        lead = F.col("src_rep") == F.col("src")
-        state = own.groupBy("dst").agg(
-            F.min(F.when(lead, F.struct("so", "src"))).alias("first"), F.min(F.when(F.col("src_rep").isNull(), F.col("so"))).alias("open")
-        )
-        now = todo.join(state, todo["node"] == state["dst"], "left")
-        # decided: nothing open, or a leader that comes before everything open
+    back = edges.select("src", "dst").where("src <> dst").distinct().join(src, "src").join(dst, "dst").where("so < do").withColumn("lead", F.lit(False))
+    back = materialize(back, "greedy-edges")
+    kind = nodes.schema["node"].dataType.simpleString()
+    fates = [order.select("node").join(back.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("rep", F.col("node"))]
+    while not back.isEmpty():
+        cc = components(back.where("NOT lead").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        held = materialize(back.join(cc.withColumnRenamed("node", "dst"), "dst", "left"), "greedy-held")  # no component: leaders alone point to it
+        sizes = held.where("component IS NOT NULL").groupBy("component").agg(F.count("*").alias("edges"))
+        few = sizes.where(F.col("edges") <= WHOLE)
+        tasks = 1 + (few.agg(F.sum("edges")).first()[0] or 0) // TOGETHER
+        small = held.join(few.select("component"), "component", "left_semi").select("src", "dst", F.col("so.l").alias("at"), F.col("do.l").alias("to"), "lead", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+        fates.append(materialize(small.groupBy("task").applyInPandas(_in_order, f"node {kind}, rep {kind}"), "greedy-fates"))
+        rest = held.join(few.select("component"), "component", "left_anti")
+        pointed = rest.select(F.col("dst").alias("src")).distinct().withColumn("_open", F.lit(True))
+        known = materialize(rest.join(pointed, "src", "left").withColumn("lead", F.col("lead") | F.col("_open").isNull()).drop("_open", "component"), "greedy-known")
+        state = known.groupBy("dst").agg(F.min(F.when(F.col("lead"), F.struct("so", "src"))).alias("first"), F.min(F.when(~F.col("lead"), F.col("so"))).alias("open"))
         sure = F.col("open").isNull() | F.coalesce(F.col("first.so") < F.col("open"), F.lit(False))
-        done = now.where(sure).select("node", F.coalesce(F.col("first.src"), F.col("node")).alias("rep"))
-        fates = materialize(done if fates is None else fates.union(done), "greedy-fates")
-        todo = materialize(todo.join(fates, "node", "left_anti"), "greedy-todo")
-    return fates if fates is not None else todo.select("node", F.col("node").alias("rep"))
+        done = materialize(state.where(sure).select(F.col("dst").alias("node"), F.coalesce(F.col("first.src"), F.col("dst")).alias("rep")), "greedy-fates")
+        fates.append(done)
+        undone = known.join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = undone.join(done.select(F.col("node").alias("src"), (F.col("rep") == F.col("node")).alias("_leads")), "src", "left").where(F.coalesce("_leads", F.lit(True)))
+        back = materialize(left.withColumn("lead", F.col("lead") | F.coalesce("_leads", F.lit(False))).drop("_leads"), "greedy-edges")
+        fates.append(undone.select("dst").distinct().join(back.select("dst"), "dst", "left_anti").select(F.col("dst").alias("node"), F.col("dst").alias("rep")))  # followers alone pointed to it
+    out = fates[0]
+    for f in fates[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def markov_clusters(edges: DataFrame, inflation: float = 2.0, max_nodes: int = 5000) -> DataFrame:

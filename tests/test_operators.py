@@ -101,7 +101,9 @@ def test_closure_of_a_long_chain(spark):
     assert taxonomy.closure(chain).count() == n * (n + 1) // 2
 
 
-def test_greedy_clusters_match_the_sequential_rule(spark):
+@pytest.mark.parametrize("whole", [500_000, 2])
+def test_greedy_clusters_match_the_sequential_rule(spark, monkeypatch, whole):
+    monkeypatch.setattr(graph, "WHOLE", whole)
     rng = random.Random(5)
     for _ in range(2):
         size = {i: rng.randrange(6) for i in range(14)}
@@ -116,6 +118,16 @@ def test_greedy_clusters_match_the_sequential_rule(spark):
         assert dict(rows(got, "node", "rep")) == want
 
 
+def test_a_long_chain_of_greedy_clusters_takes_few_rounds(spark):
+    n, tables = 10_000, []
+    real = graph.materialize
+    nodes, edges = spark.range(n).selectExpr("id AS node", "10000 - id AS length"), spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst")
+    with mock.patch.object(graph, "materialize", side_effect=lambda df, label: tables.append(label) or real(df, label)):
+        got = graph.greedy_clusters(nodes, edges)
+    assert got.where("rep = node AND node % 2 = 0 OR rep = node - 1 AND node % 2 = 1").count() == n == got.count()
+    assert tables.count("graph-stars") <= 20 and tables.count("greedy-held") == 1
+
+
 def test_components_markov_and_names(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (7, 7)], "a int, b int")
     assert dict(rows(graph.components(links))) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
