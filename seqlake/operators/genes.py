@@ -238,8 +238,8 @@ def _call(least: int, overlap: int, prior: float):
 
 def gc_percent(contigs: DataFrame) -> DataFrame:
     """Contigs with their share of G and C, in whole percent, as group: at most 101 groups, as contigs of one kind are alike in it."""
-    seq = F.upper("seq")
-    gc, at = F.length(F.regexp_replace(seq, "[^GC]", "")), F.length(F.regexp_replace(seq, "[^AT]", ""))
+    of = lambda letters: F.length("seq") - F.length(F.translate("seq", letters, ""))
+    gc, at = of("GCgc"), of("ATat")
     return contigs.withColumn("grp", F.coalesce(F.floor(100 * F.try_divide(gc.cast("double"), gc + at)), F.lit(0)).cast("int"))
 
 
@@ -255,7 +255,7 @@ def call_genes(contigs: DataFrame, group: str | None = None, least: int = 90, tr
     if not 0 <= 2 * overlap < least:
         raise ValueError("overlap must be less than half of the least length")
     named = gc_percent(contigs) if group is None else contigs.withColumn("grp", F.col(group))
-    own = named.where("length(seq) > 0").select("accession", "grp", F.col("seq").cast("binary").alias("seq"))
+    own = materialize(named.where("length(seq) > 0").select("accession", "grp", F.col("seq").cast("binary").alias("seq")), "gene-contigs")
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, ddl = to_arrow_type(own.schema["grp"].dataType), own.schema["grp"].dataType.simpleString()
