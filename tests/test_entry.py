@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
-from seqlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -28,12 +27,12 @@ def test_names():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["aai_pairs", "interval_coverage", "weighted_lca", "outer_summary", "virus_call", "weighted_identity", "vector_argmax", "set_except", "msa_intersection", "evidence_precedence", "cluster_propagate", "msa_union", "tetranuc_freq"])
+@pytest.mark.parametrize("name", ["aai_pairs", "interval_coverage", "weighted_lca", "outer_summary", "virus_call", "weighted_identity", "vector_argmax", "set_except", "msa_intersection", "evidence_precedence", "cluster_propagate", "msa_union", "tetranuc_freq", "self_similarity_pairs", "similarity_search", "host_by_fitted_density", "sentence_scores", "shared_cluster_network", "cluster_keywords", "genome_profiles", "cached_intermediate"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for p in os.listdir(SF):
         con.execute(f"create view {p.split('.')[0]} as select * from '{SF}/{p}'")
-    got = catalog.QUERIES[name](spark, SF)
+    got = entry_file.queries()[name](spark, SF)
     cols = sorted(got.columns)
-    want = con.execute(f"select {', '.join(f'"{c}"' for c in cols)} from ({catalog.ORACLE_SQL[name]})").fetchall()
+    want = con.execute(f"select {', '.join(f'"{c}"' for c in cols)} from ({entry_file.oracle_sql()[name]})").fetchall()
     assert normal(map(list, want)) == normal([list(r) for r in got.select(*[f"`{c}`" for c in cols]).collect()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqlake import functions as fn
 from seqlake.config import Config
-from seqlake.operators import annotation, besthit, density, evidence, graph, kmers, models, msa, pairs, ranks, regions, taxonomy
+from seqlake.operators import annotation, besthit, density, evidence, graph, kmers, models, msa, network, pairs, ranks, regions, taxonomy
 
 
 def rows(df, *cols):
@@ -388,6 +388,7 @@ def test_shared_clusters_against_fractions(spark):
     from math import comb, log10
 
     rows_ = [("a", f"k{i}") for i in range(6)] + [("b", f"k{i}") for i in range(1, 7)] + [("c", f"k{i}") for i in range(20, 26)]
-    got = graph.shared_cluster_edges(spark.createDataFrame(rows_, "genome string, cluster string"), total=40).collect()
+    alone = spark.createDataFrame([("a", 6, 0), ("b", 6, 0), ("c", 6, 27)], "genome string, clusters long, singletons long")  # 13 clusters and 27 singletons
+    got = network.shared_cluster_edges(spark.createDataFrame(rows_, "genome string, cluster string"), alone).where("a <> 'c' AND b <> 'c'").collect()
     p = sum(comb(6, i) * comb(34, 6 - i) for i in range(5, 7)) / comb(40, 6)
     assert [(r["a"], r["b"], r["shared"]) for r in got] == [("a", "b", 5)] and abs(got[0]["weight"] - (-log10(p) - log10(3))) < 1e-9
