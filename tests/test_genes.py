@@ -156,3 +156,36 @@ def test_translated_genomes_and_proteins_of_users(spark, tmp_path):
     assert [tuple(r) for r in sources.proteins_or_genes(spark, str(own), contigs).collect()] == [("c1_1", 3, 92, 1)]
     own.write_text(">other_1 # 3 # 92 # 1 # ID=1;gc_cont=0.5\nMK\n")
     assert sources.proteins_or_genes(spark, str(own), contigs).count() == called.count()
+
+
+def test_open_frames_as_a_table_function(spark):
+    from seqlake.functions import tables
+
+    tables.register(spark)
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 400))) for _ in range(20)] + [None, "", "ATGAAATAA"]
+    spark.createDataFrame(list(enumerate(seqs)), "id int, seq string").createOrReplaceTempView("some_contigs")
+    got = {}
+    for r in spark.sql("SELECT id, f.* FROM some_contigs, LATERAL open_frames(seq, 30) f").collect():
+        got.setdefault(r.id, set()).add((r.start, r.end, r.strand, r.partial_left, r.partial_right))
+    flip = str.maketrans("ACGT", "TGCA")
+    for i, s in enumerate(seqs):
+        want, n = set(), len(s or "")
+        for strand, x in ((1, s or ""), (-1, (s or "")[::-1].translate(flip))):
+            for frame in range(3):
+                at, begin = frame, frame
+                start = None
+                while at + 3 <= n:
+                    c = x[at : at + 3]
+                    if start is None and (c in genes.STARTS or begin == frame == at):
+                        start = (at, c not in genes.STARTS)
+                    stop = c in genes.STOPS
+                    if stop or at + 6 > n:
+                        if start and at + 3 - start[0] >= 30 and not (stop and begin == frame == at):
+                            a, e = start[0], at + 3
+                            lo, hi = (a + 1, e) if strand > 0 else (n - e + 1, n - a)
+                            edges = (start[1], not stop)
+                            want.add((lo, hi, strand, *(edges if strand > 0 else edges[::-1])))
+                        start, begin = None, at + 3
+                    at += 3
+        assert got.get(i, set()) == want, i
