@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.config import Config
-from seqlake.functions import coverage_to_qend, genome_of
+from seqlake.functions import coverage_to_qend, format_value, genome_of
 from seqlake.operators import annotation, besthit, evidence, graph, kmers, models, msa, pairs, regions, taxonomy
 
 PROKARYOTIC = "Prokaryotic virus"
@@ -47,13 +47,25 @@ def units(contigs: DataFrame, hits: DataFrame, orfs: DataFrame, config: Config)
     return species_units(contigs, hits, config) if config.mode == "ANI" else genus_units(contigs, hits, orfs, config)
 
 
-def annotate(orfs: DataFrame, hits: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(annotated genes, annotation rates) from 12-column hits and (protein, description)."""
+def annotate(orfs: DataFrame, hits: DataFrame, names: DataFrame, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(annotated genes, annotation rates) from 12-column hits and (protein, description).
+
+    With references (protein, reference), inference is the hit's reference protein; without them the hit's description
+    stands in for it, `-` where it has none.
+    """
     best = besthit.best_hit(hits).withColumn("coverage", coverage_to_qend(F.col("length"), F.col("qend")))
-    genes = annotation.annotate(orfs, best, names)
+    known = names.select("protein", F.col("description").alias("reference")) if references is None else references
+    genes = annotation.annotate(orfs, best, names, known)
     return genes, annotation.annotation_rate(genes)
 
 
+def gene_table(genes: DataFrame) -> DataFrame:
+    """Annotated genes as the output table has them: identity and coverage with two places, 0.00 without a hit; gc and places as given."""
+    two = lambda c: format_value(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c)
+    given = [F.col(c) for c in ("start", "end", "strand", "gc") if c in genes.columns]
+    return genes.select(genome_of(F.col("orf_id")).alias("genome"), "orf_id", *given, "annotation", two("pident"), two("coverage"), F.col("inference").alias("closest_gene"))
+
+
 def taxonomy_calls(contigs: DataFrame, orfs: DataFrame, hits: DataFrame, protein_taxa: DataFrame, nodes: DataFrame, names: DataFrame, config: Config, root: object = 1) -> DataFrame:
     """(accession, length, status, lineage, scores): near-top hits -> ORF ancestor -> weighted ancestor -> names.
 

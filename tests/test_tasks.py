@@ -39,6 +39,10 @@ def test_annotate_and_hosts(spark):
     genes, rate = tasks.annotate(orfs, hits, spark.createDataFrame([("p1", "portal")], "protein string, description string"))
     assert {r["accession"]: r["rate"] for r in rate.collect()} == {"v1": 0.5, "v2": 0.0, "m1": 0.0}
     assert genes.where("orf_id = 'v1_1'").first()["coverage"] == 0.9
+    table = {r.orf_id: r for r in tasks.gene_table(genes).collect()}
+    assert (table["v1_1"].pident, table["v1_1"].coverage, table["v1_1"].closest_gene) == ("90.00", "0.90", "portal") and (table["m1_1"].pident, table["m1_1"].closest_gene) == ("0.00", "-")
+    named = tasks.annotate(orfs, hits, spark.createDataFrame([("p1", "portal")], "protein string, description string"), spark.createDataFrame([("p1", "YP_1")], "protein string, reference string"))[0]
+    assert named.where("orf_id = 'v1_1'").first()["inference"] == "YP_1"
     own = contigs.where("length > 25")
     hosts = own.withColumn("accession", F.concat(F.lit("h_"), "accession"))
     near = {r["accession"]: r["host"] for r in tasks.kmer_host(own, hosts, own.select("accession", F.concat(F.lit("h_"), "accession").alias("host"))).collect()}
