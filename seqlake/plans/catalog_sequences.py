@@ -14,7 +14,7 @@ from seqlake.operators import genes, kmers, network, pairs, similarity, transfor
 from seqlake.plans import tasks
 from seqlake.plans import testbed as tb
 from seqlake.plans.catalog import query
-from seqlake.storage import scratch_dir
+from seqlake.storage import materialize, scratch_dir
 
 _K, _W, _LEAST, _WIDTH = 8, 5, 3, 32
 _SCORING = similarity.Scoring(2, -3, 5, 2, 26)
@@ -169,7 +169,9 @@ gen AS (SELECT genome, proteins, coalesce(clusters, 0) AS clusters, proteins - c
 def _line_genes(spark, d):
     """Lines of documents as genes, lines that two documents have as clusters, with keywords by their length."""
     o = tb.orfs(spark, d)
-    g = o.select(F.col("orf_id").alias("gene"), fn.genome_of(F.col("orf_id")).alias("genome"), F.when(F.length("clean") >= 20, F.col("clean")).alias("line"), F.expr("CASE WHEN size % 3 = 0 THEN concat('size ', size % 7, '; three') END").alias("keywords"))
+    line = F.when(F.length("clean") >= 20, F.unhex(F.md5("clean"))).alias("line")
+    g = o.select(F.col("orf_id").alias("gene"), fn.genome_of(F.col("orf_id")).alias("genome"), line, F.expr("CASE WHEN size % 3 = 0 THEN concat('size ', size % 7, '; three') END").alias("keywords"))
+    g = materialize(g, "line-genes")
     often = g.where("line IS NOT NULL").groupBy("line").agg(F.count_distinct("genome").alias("n")).where("n > 1").select("line")
     return g, g.join(often, "line").select(F.col("line").alias("cluster"), "gene")
 
@@ -178,7 +180,7 @@ def _line_genes(spark, d):
 keys AS (SELECT cluster, string_agg(k || ' (' || n || ')', '; ' ORDER BY n DESC, k) AS keys FROM (SELECT cluster, k, count(*) AS n FROM word GROUP BY 1, 2) GROUP BY 1)
 SELECT md5(cluster) AS cluster, count(*) AS size, count(keywords) AS annotated, any_value(keys) AS keys FROM known LEFT JOIN keys USING (cluster) GROUP BY cluster""")
 def cluster_keywords(spark, d):
-    return network.cluster_profiles(*_line_genes(spark, d))[2].withColumn("cluster", F.md5("cluster"))
+    return network.cluster_profiles(*_line_genes(spark, d))[2].withColumn("cluster", F.lower(F.hex("cluster")))
 
 
 @query(f"WITH {_LINES_SQL} SELECT * FROM gen")
