@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: the tokens of two vocabularies over one text, cut where both end.
 
 A text is split before spaces where no token of either vocabulary reaches across, so its tokens are those of its segments.
-Documents are gathered in blocks that list each distinct segment once, and are lists of numbers from then on. Sorted by
-segment, the blocks' lists meet: each segment is tokenised and aligned once for the whole corpus, and every block that has it
+Documents are gathered in blocks that list each distinct segment once, and are lists of numbers from then on; a block is
+written as many small rows, so that neither readers nor writers hold whole blocks. Sorted by segment, the blocks' lists meet: each segment is tokenised and aligned once for the whole corpus, and every block that has it
 gets its alignment back in the same pass. Blocks then put their documents together.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from seqlake.llm.common import materialize, table
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text after which a block of documents ends; a longer document is a block of its own.
 BLOCK = 6_000_000
+#: Segments of a block in one written row.
+CHUNK = 256
 #: Marks between the two lists of a group, and between groups, in packed alignments; ids come after them.
 _BAR, _STOP, _FIRST_ID = 0, 1, 2
 
@@ -86,7 +89,13 @@ class Vocabularies:
                 if at_a == at_b:
                     packed += [*(x + _FIRST_ID for x in a[from_i:i]), _BAR, *(x + _FIRST_ID for x in b[from_j:j]), _STOP]
                     from_i, from_j = i, j
-            yield np.array(packed, self.kind).tobytes()
+            yield array(self.kind(0).dtype.char, packed).tobytes()
+
+    @functools.cached_property
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """How the numbers of packed alignments are written: before a mark, and before another id."""
+        ids = range(max(*self.bytes_a, len(self.bytes_b)) + 1)
+        return tuple(np.array(["|", ";", *(f"{i}{mark}" for i in ids)], object) for mark in ("", ","))
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,42 +133,41 @@ def _gather(first: str, second: str, kind: pa.DataType):
     return gather
 
 
+def _cut(first: str, second: str, kind: pa.DataType):
+    gather = _gather(first, second, kind)
+    shape = pa.schema([("block", pa.int64()), ("id", kind), ("parts", pa.list_(pa.int32())), ("start", pa.int32()), ("segments", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks as rows: one for each document (id, parts), one for each CHUNK segments (start, segments, n)."""
+        for b in gather(batches):
+            docs, segments, n = (b.column(c)[0].values for c in ("docs", "segments", "n"))
+            start = np.arange(0, len(segments), CHUNK, dtype=np.int32)
+            ends = pa.array(np.append(start, len(segments)), pa.int32())
+            for own, size in (({"id": docs.field("id"), "parts": docs.field("parts")}, len(docs)), ({"start": pa.array(start), "segments": pa.ListArray.from_arrays(ends, segments), "n": pa.ListArray.from_arrays(ends, n)}, len(start))):
+                if size:
+                    own["block"] = pa.repeat(b.column("block")[0], size)
+                    yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(size, f.type) for f in shape], schema=shape)
+
+    return cut
+
+
 def _align(first: str, second: str):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by segment: equal segments are neighbours, so each is tokenised once, for all its blocks."""
         own, last, packed = _load(first, second), None, None
         for b in batches:
-            segments = b.column("segment").to_pylist()
-            fresh = [s for s, before in zip(segments, [last, *segments], strict=False) if s != before]
-            found, done = own.align(fresh), []
-            for s in segments:
-                if s != last:
-                    last, packed = s, next(found)
-                done.append(packed)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), b.column("n"), pa.array(done, pa.binary())], ["block", "number", "n", "packed"])
+            if not b.num_rows:
+                continue
+            coded = b.column("segment").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            again = distinct[0] == last
+            done = [*([packed] if again else []), *own.align(distinct[again:])]
+            last, packed = distinct[-1], done[-1]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), b.column("n"), pa.array(done, pa.binary()).take(coded.indices)], ["block", "number", "n", "packed"])
 
     return align
 
 
-def _documents(row: pa.StructArray) -> Iterator[tuple]:
-    """(id, numbers of its segments) of the documents of one block."""
-    parts = row.field("parts")
-    starts, values = parts.offsets.to_numpy(), parts.values.to_numpy()
-    for k, key in enumerate(row.field("id").to_pylist()):
-        yield key, values[starts[k] : starts[k + 1]]
-
-
-def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each segment of a block stands in documents with a segment that isn't spelt."""
-    for b in batches:
-        for k in range(b.num_rows):
-            bad = np.array(b.column("bad")[k].as_py(), np.int64)
-            own = [parts for _, parts in _documents(b.column("docs")[k].values) if np.isin(parts, bad).any()]
-            n = np.bincount(np.concatenate(own))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[k].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["block", "number", "lost"])
-
-
 def _unpack(packed: pa.Array, kind: type) -> tuple[np.ndarray, ...]:
     """Of packed alignments, one after another: the numbers, where each alignment ends, and where its groups' bars and stops are."""
     size, (_, offsets, data) = np.dtype(kind).itemsize, packed.buffers()
@@ -185,43 +193,42 @@ _NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 
 def _compose(kind: pa.DataType, first: str, second: str):
-    def compose(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+    def compose(docs: pa.Table, rows: pa.Table) -> pa.Table:
         """The documents of one block, from the alignments of its segments and the counts of its links."""
         own = _load(first, second)
         parts, links = rows.filter(rows["number"].is_valid()).sort_by("number"), rows.filter(rows["number"].is_null())
         packed = parts["packed"].combine_chunks() if len(parts) else pa.array([], pa.binary())
         packed = packed if isinstance(packed, pa.Array) else pa.concat_arrays(packed.chunks)
         values, ends, bars, stops = _unpack(packed, own.kind)
-        size, owner = len(packed), np.repeat(np.arange(len(packed)), np.diff(ends, prepend=0))
+        bounds, before = np.append(0, ends), lambda x: np.append(0, np.cumsum(x, dtype=np.int64))
         link = lambda x: values[x - 1].astype(np.int64) - _FIRST_ID
         key = links["a"].to_numpy() << 32 | links["b"].to_numpy()
         order = np.argsort(key)
         at = order[np.searchsorted(key, link(bars) << 32 | link(stops), sorter=order)] if len(bars) else np.zeros(0, np.int64)
-        sums = np.zeros((5, size + 1), np.int64)
-        before_bar = np.cumsum(values == _BAR) == np.cumsum(values == _STOP)
-        np.add.at(sums[0], owner, (values >= _FIRST_ID) & before_bar)
-        np.add.at(sums[1], owner, (values >= _FIRST_ID) & ~before_bar)
-        np.add.at(sums[2], owner[stops], 1)
-        np.add.at(sums[3], owner[stops], links["best"].to_numpy(zero_copy_only=False)[at].astype(np.int64))
-        np.add.at(sums[4], owner[stops], links["count"].to_numpy()[at])
-
-        ids = range(int(values.max(initial=own.kind(_FIRST_ID))) - _FIRST_ID + 1)
-        alone, followed = (np.array(["|", ";", *(f"{i}{mark}" for i in ids)], object) for mark in ("", ","))
+        # bars and stops take turns: what stands between a stop and the next bar is of the first vocabulary
+        left = before(bars - np.append(-1, stops[:-1]) - 1 if len(bars) else [])
+        right = before(stops - bars - 1)
+        best, count = before(links["best"].to_numpy(zero_copy_only=False)[at]), before(links["count"].to_numpy()[at])
+        group = np.searchsorted(stops, bounds)
+        sums = [np.diff(x[group]) for x in (left, right, np.arange(len(stops) + 1), best, count)]
+
+        alone, followed = own.marked
         text = alone[values]
         pair = np.flatnonzero((values[:-1] >= _FIRST_ID) & (values[1:] >= _FIRST_ID))
         text[pair] = followed[values[pair]]
-        ends = [0, *ends.tolist()]
-        groups = ["".join(text[x : y - 1]) for x, y in zip(ends, ends[1:], strict=False)]
         good = packed.is_valid().to_numpy(zero_copy_only=False)
-        keys, numbers, texts = [], [], []
-        for row in blocks["docs"].combine_chunks():
-            for name, own_parts in _documents(row.values):
-                keys.append(name)
-                fine = len(own_parts) > 0 and bool(good[own_parts].all())
-                numbers.append(sums[:, own_parts].sum(1) if fine else np.zeros(5, np.int64))
-                texts.append(";".join(map(groups.__getitem__, own_parts)) if fine else "")
-        numbers = np.array(numbers, np.int64).reshape(-1, 5)
-        return pa.table([pa.array(keys, kind), *(pa.array(numbers[:, k]) for k in range(5)), pa.array(texts, pa.string())], names=["id", *_NUMBERS, "groups"])
+        text[ends[good] - 1] = "\n"
+        groups = np.full(len(packed), "", object)
+        groups[good] = "".join(text.tolist()).split("\n")[:-1]
+
+        of = docs["parts"].combine_chunks()
+        of = of if isinstance(of, pa.Array) else pa.concat_arrays(of.chunks)
+        starts, own_parts = of.offsets.to_numpy(), of.values.to_numpy()
+        whole = lambda x: np.diff(before(x[own_parts])[starts])
+        fine = (np.diff(starts) > 0) & (whole(~good) == 0)
+        numbers = [np.where(fine, whole(x), 0) for x in sums]
+        texts = [";".join(groups[own_parts[x:y]].tolist()) if ok else "" for x, y, ok in zip(starts.tolist(), starts[1:].tolist(), fine.tolist(), strict=False)]
+        return pa.table([docs["id"], *map(pa.array, numbers), pa.array(texts, pa.string())], names=["id", *_NUMBERS, "groups"])
 
     return compose
 
@@ -241,14 +248,16 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", first: str = FIRST, se
 
     kind, ddl = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = materialize(plain.mapInArrow(_gather(first, second, kind), f"block long, docs array<struct<id:{ddl},parts:array<int>>>, segments array<binary>, n array<long>"), "align-blocks")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("segments", "n")).alias("number", "x")).select("block", "number", F.col("x.segments").alias("segment"), "x.n")
+    blocks = materialize(plain.mapInArrow(_cut(first, second, kind), f"block long, id {ddl}, parts array<int>, start int, segments array<binary>, n array<long>"), "align-blocks")
+    members = blocks.where("parts IS NOT NULL").select("block", "id", "parts")
+    listed = blocks.where("start IS NOT NULL").select("block", "start", F.posexplode(F.arrays_zip("segments", "n")).alias("at", "x"))
+    listed = listed.select("block", (F.col("start") + F.col("at")).alias("number"), F.col("x.segments").alias("segment"), "x.n")
     parts = materialize(listed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(first, second), "block long, number int, n long, packed binary"), "align-parts")
 
     counted = parts.where("packed IS NOT NULL")
     bad = parts.where("packed IS NULL").groupBy("block").agg(F.collect_list("number").alias("bad"))
     if not bad.isEmpty():
-        lost = blocks.select("block", "docs").join(bad, "block").mapInArrow(_lost, "block long, number int, lost long")
+        lost = members.join(bad, "block").where(F.arrays_overlap("parts", "bad")).select("block", F.explode("parts").alias("number")).groupBy("block", "number").agg(F.count("*").alias("lost"))
         counted = counted.join(lost, ["block", "number"], "left").select("block", F.expr("n - coalesce(lost, 0)").alias("n"), "packed")
     links = counted.select("block", "n", "packed").mapInArrow(_links(first, second), "block long, a int, b int, n long").groupBy("block", "a", "b").agg(F.sum("n").alias("n"))
     links = materialize(links, "align-links")
@@ -257,7 +266,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", first: str = FIRST, se
     scored = links.select("block", "a", "b").join(counts, ["a", "b"]).select("block", none("int", "number"), none("binary", "packed"), F.col("a").cast("long"), F.col("b").cast("long"), "count", "best")
     rows = parts.select("block", "number", "packed", none("long", "a"), none("long", "b"), none("long", "count"), none("boolean", "best")).unionByName(scored)
     out = f"id {ddl}, " + ", ".join(f"{c} long" for c in _NUMBERS) + ", groups string"
-    done = blocks.select("block", "docs").groupBy("block").cogroup(rows.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_compose(kind, first, second), out)
+    done = members.groupBy("block").cogroup(rows.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_compose(kind, first, second), out)
     return done.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
 
 

@@ -116,6 +116,26 @@ def test_blocks_end_by_size(spark):
     assert [len(b.column("docs")[0]) for b in made] == [2, 2, 1] and len({b.column("block")[0].as_py() for b in made}) == 3
 
 
+def test_blocks_are_written_as_small_rows(spark, frame, monkeypatch):
+    """A reader holds thousands of rows at once: no row may hold a block, and the results don't depend on how it is cut."""
+    from pyspark.sql import functions as F
+
+    widths, keep = [], alignment.materialize
+
+    def watched(df, label):
+        out = keep(df, label)
+        if label == "align-blocks":
+            widths.append(out.select(F.max(F.length(F.to_json(F.struct(*out.columns))))).first()[0])
+        return out
+
+    monkeypatch.setattr(alignment, "materialize", watched)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(100)) for _ in range(300)] + ["a ▁ b", None, ""]
+    got = alignment.align_tokens(frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string", 1)).orderBy("doc_id").collect()
+    assert widths[0] < 20_000
+    assert [tuple(r[c] for c in _RESULT) for r in got] == _brute(texts)
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------
 
 
