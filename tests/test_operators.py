@@ -392,3 +392,20 @@ def test_shared_clusters_against_fractions(spark):
     got = network.shared_cluster_edges(spark.createDataFrame(rows_, "genome string, cluster string"), alone).where("a <> 'c' AND b <> 'c'").collect()
     p = sum(comb(6, i) * comb(34, 6 - i) for i in range(5, 7)) / comb(40, 6)
     assert [(r["a"], r["b"], r["shared"]) for r in got] == [("a", "b", 5)] and abs(got[0]["weight"] - (-log10(p) - log10(3))) < 1e-9
+
+
+def test_canonical_depth_makes_no_strings(spark):
+    """Depths of words of any letters against a plain count, and no text for each window of a contig."""
+    flip = str.maketrans("ACGTacgt", "TGCAtgca")
+    rng = random.Random(9)
+    seqs = ["".join(rng.choices(a, k=n)) for a in ("ACGT", "ACGTN", "ACGTacgtN", "é漢ACGT🎉", "A") for n in (0, 2, 3, 4, 60, 300)]
+    seqs += [s + s[::-1].translate(flip) for s in seqs]
+    df = spark.createDataFrame([*enumerate(seqs), (-1, None)], "id long, seq string").repartition(3)
+    for k in (3, 21, 40):
+        found = kmers.canonical_depth(df, k)
+        assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+        got = {r.id: r.kmer_freq for r in found.collect()}
+        assert len(got) == len(seqs) + 1 and got[-1] is None
+        for i, s in enumerate(seqs):
+            own = [min(w, w[::-1].translate(flip)) for w in (s[j : j + k] for j in range(len(s) - k + 1))]
+            assert got[i] == (pytest.approx(len(own) / len(set(own)), abs=0.0051) if own else None)
