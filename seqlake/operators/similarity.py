@@ -25,6 +25,8 @@ PRIME, BASES = 2**31 - 1, (1_812_433_253 % (2**31 - 1), 1_664_525)
 SEEDS = 200_000
 #: Cells of direction codes that a task holds for the pairs it aligns together.
 CELLS = 24_000_000
+#: Rows of a batch that a task holds as Python objects at once: to find seeds, and to align.
+SEEDING, ALIGNING = 256, 2048
 _NEVER = -(10**6)
 HITS = "pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, score int"
 
@@ -99,13 +101,19 @@ def minimizers(seq: bytes, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return key[at], at
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _seeds(k: int, w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for no, seq in zip(b.column("no").to_pylist(), b.column("seq").to_pylist(), strict=True):
-                keys, at = minimizers(seq, k, w)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array([no] * len(keys), pa.binary()), pa.array(keys), pa.array(at.astype(np.int32))], ["no", "seed", "at"])
+        for b in _slices(batches, SEEDING):
+            keys, at = zip(*(minimizers(seq, k, w) for seq in b.column("seq").to_pylist()), strict=True)
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in keys])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([b.column("no").take(pa.array(row)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(at).astype(np.int32))], ["no", "seed", "at"])
 
     return run
 
@@ -182,9 +190,7 @@ def _aligner(width: int, pad: int, scoring: Scoring):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, wide = scoring.table(), 2 * width + 2 * pad
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, ALIGNING):
             queries, targets, bands = (b.column(c).to_pylist() for c in ("qseq", "sseq", "band"))
             done: list = [None] * b.num_rows
             left = sorted(range(b.num_rows), key=lambda k: len(queries[k]))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqlake.operators import pairs, similarity
@@ -138,3 +139,20 @@ def test_alignments_feed_the_pair_table(spark):
     assert sorted((r.qstart, r.qend, r.sstart, r.send) for r in hits.collect()) == [(1, 80, 1, 80), (81, 170, 481, 570)]
     one = pairs.nucleotide_pairs(hits).first()
     assert (one.num_alns, one.pid, one.qcov, one.tcov) == (2, 100.0, 100.0, round(100 * 170 / 570, 2))
+
+
+def test_tasks_hold_part_of_a_batch(monkeypatch):
+    """However many rows a batch has, a task turns a bounded number of them into Python objects at once, with equal results."""
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGT", k=rng.randint(0, 90))).encode() for _ in range(700)]
+    batch = pa.RecordBatch.from_pydict({"no": [str(i).encode() for i in range(700)], "seq": seqs})
+    made = list(similarity._seeds(8, 4)(iter([batch])))
+    want = [(str(i).encode(), key, at) for i, s in enumerate(seqs) for key, at in zip(*map(np.ndarray.tolist, similarity.minimizers(s, 8, 4)))]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want and len(made) == 3
+    seen = []
+    keep = similarity.align_band
+    monkeypatch.setattr(similarity, "align_band", lambda q, *rest: seen.append(len(q)) or keep(q, *rest))
+    rows = pa.RecordBatch.from_pydict({"k": list(range(5000)), "qseq": [b"ACGTTGCAAC"] * 5000, "sseq": [b"ACGTTGC" + b"A" * (i % 5) for i in range(5000)], "band": [0] * 5000})
+    found = list(similarity._aligner(4, 2, similarity.Scoring())(iter([rows])))
+    assert max(seen) <= 2048 and [x for b in found for x in b.column("k").to_pylist()] == list(range(5000))
+    assert {(i % 5, s) for i, s in enumerate(x for b in found for x in b.column("score").to_pylist())} == {(0, 14), (1, 16), (2, 18), (3, 18), (4, 18)}
