@@ -400,7 +400,7 @@ def _score(shared):
                 lists = lambda x: pa.array(x, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(n, pa.int64()), sums(known.astype(np.int64)), sums(base), sums(value), pa.array(words, pa.list_(pa.string())), lists(forms), lists(seq)],
-                    names=["doc_id", "held_out", "th", "n_tokens", "known", "base", "value", "words", "forms", "seq"],
+                    names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "value", "words", "forms", "seq"],
                 )
 
     return run
@@ -439,18 +439,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text, held_out).
 
     Null text is empty: one end token. A word of HEAD is scored where it stands. Class and exact count of other words are
-    found by a join of distinct (word, text) rows and brought back to the text's row; the most frequent words never
-    enter the join, so its keys are even. Rows that repeat id and text score alike. Empty input gives no rows.
+    found by a join of distinct (word, text) rows and brought back to the text's row by its number; the most frequent words
+    never enter the join, so its keys are even. What is found moves as plain rows and is put into lists where it arrives.
+    Rows that repeat id and text score alike. Empty input gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").withColumn("th", F.xxhash64("text"))
-    rows = src.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, th bigint, n_tokens bigint, known bigint, base double, value double, words array<string>, forms array<bigint>, seq array<bigint>")
+    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").withColumn("row", F.monotonically_increasing_id())
+    rows = src.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, value double, words array<string>, forms array<bigint>, seq array<bigint>")
     rows = materialize(rows, "lm-rows")
-    tail = rows.select("doc_id", "th", F.posexplode("words").alias("pos", "word"))
-    # rows that repeat id and text find the same
-    found = tail.join(counts.where("cls is not null"), "word").groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.collect_set(F.struct("pos", "c", "cls")).alias("found"))
-    j = rows.drop("words").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").drop("f_id", "f_th", "th")
+    tail = rows.select("row", F.posexplode("words").alias("pos", "word"))
+    found = tail.join(counts.where("cls is not null"), "word").select("row", F.struct("pos", "c", "cls").alias("x"))
+    found = found.repartition("row").groupBy("row").agg(F.collect_list("x").alias("found"))
+    j = rows.drop("words").join(found, "row", "left").drop("row")
     j = j.mapInArrow(_tail_score(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, value double")
     flat = F.log10(F.lit(float(model.tokens + model.types + 1)))
     return j.select(

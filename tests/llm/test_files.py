@@ -258,3 +258,15 @@ def test_scores_of_nothing(frame):
     df = frame([(1, "a b")], "doc_id long, text string").withColumn("held_out", F.lit(False))
     model, counts = brown.train(df)
     assert brown.score(df.limit(0), model, counts).count() == 0
+
+
+def test_found_words_are_listed_after_their_shuffle(frame):
+    rows = [(i, f"a b w{i // 2} x{i} w{i // 2}") for i in range(12)] + [(3, "a b w1 x3 w1"), (None, "a x3"), (None, "a x3")]
+    df = frame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, counts = brown.train(df, head=2, units=2, forms=2, classes=2)
+    out = brown.score(df, model, counts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" in plan and "collect_" not in plan[plan.index("REPARTITION_BY_COL") :]  # no lists in the shuffle's files
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["n_known"] == r["n_tokens"] for r in got)
+    assert len({tuple(r) for r in got if r["doc_id"] in (None, 3)}) == 2
