@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.operators import density, kmers
+from seqlake.operators import density, evidence, kmers
 from seqlake.plans import tasks
 
 
@@ -100,3 +100,62 @@ def test_hosts_by_five_length_models(spark):
     assert sum(got[a] == x for a, _, x, _ in test) >= 0.9 * len(test)
     hits = spark.createDataFrame([(f"{test[0][0]}_1", test[0][2], 80.0)], "qseqid string, mag string, pident double")
     assert [(r.accession, r.host, r.score) for r in tasks.kmer_host(table(test), h, densities=fitted, protein_hits=hits).collect()] == [(test[0][0], test[0][2], 0.8)]
+
+
+@pytest.mark.parametrize("tile", [30, 1 << 23])
+def test_search_in_tiles_with_copies_and_odd_vectors(spark, tile):
+    """One Gaussian, references in copies and close to each other, outliers, and vectors that are not finite."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 5)).round(2)
+    r = np.concatenate([base[rng.integers(0, 6, 60)], base + rng.normal(size=(6, 5)) * 1e-7, rng.normal(size=(3, 5)) * 1e4])
+    q = np.concatenate([base[rng.integers(0, 6, 8)], rng.normal(size=(4, 5)), r[-2:] + 1])
+    rule = density.Mixture(np.ones(1), rng.normal(size=(1, 5)) * 0.1, rng.uniform(0.01, 1, (1, 5)))
+    qs = spark.createDataFrame([(i, q[i].tolist(), 1) for i in range(len(q))] + [(900, [math.nan] * 5, 1)], "id long, v array<double>, model int").repartition(3)
+    odd = [(901, [math.nan] * 5), (902, [math.inf] * 5), (0, r[0].tolist()), (0, r[0].tolist())]
+    rs = spark.createDataFrame([(i, r[i].tolist()) for i in range(len(r))] + odd, "id long, v array<double>").repartition(3)
+    for same in (False, True):
+        with mock.patch.object(density, "NUMBERS", 40), mock.patch.object(density, "TILE", tile), mock.patch.object(density, "SPREAD", 2):
+            got = {x.id: (x.best, x.score) for x in density.best_reference(qs, rs, {1: rule}, same).collect()}
+        assert set(got) == set(range(len(q)))
+        for i, (best, score) in got.items():
+            every = np.round([rule(q[i : i + 1] - r[j])[0] if not (same and i == j) else -np.inf for j in range(len(r))], 7)
+            assert best == int(every.argmax()) and abs(score - every.max()) < 1e-6
+
+
+def test_references_are_sent_once_for_many_blocks_of_queries(spark):
+    """Each reference goes to one group for each tile of queries, not to one for each of their blocks."""
+    q = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(40)], "id long, v array<double>, model int").repartition(8)
+    r = q.drop("model").repartition(2)
+    real = density._best_of_tiles
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = real(*args)
+
+        def best(left, right):
+            seen.add(sum(len(x) for x in right["rids"]))
+            return run(left, right)
+
+        return best
+
+    with mock.patch.object(density, "_best_of_tiles", counted):
+        found = density.best_reference(q, r, {1: density.gaussian(1.0)}).collect()
+    assert len(found) == 40 and all(x.id == x.best for x in found) and seen.value == 40
+
+
+def test_one_gaussian_is_fitted_in_one_pass(spark):
+    x = np.random.default_rng(4).normal(size=(50, 3))
+    df = spark.createDataFrame([(2, v.tolist()) for v in x] + [(None, [0.0] * 3), (2, None)], "model int, x array<double>")
+    with mock.patch.object(density, "materialize", side_effect=AssertionError):
+        got = density.fit_mixtures(df)
+    assert sorted(got) == [2] and np.allclose(got[2].means, x.mean(0)) and np.allclose(got[2].variances, x.var(0)) and got[2].weights.tolist() == [1.0]
+    assert density.fit_mixtures(df.limit(0)) == {}
+
+
+def test_mean_identity_does_not_depend_on_the_order(spark):
+    rows = [("a", x) for x in (0.49, 0.88, 0.42, 0.87)] + [("b", x) for x in (0.42, 0.88, 0.49, 0.87)]
+    got = set()
+    for order in (rows, rows[::-1], sorted(rows, key=lambda x: x[1])):
+        df = spark.createDataFrame([(p, f"m{k}", x) for k, (p, x) in enumerate(order)], "phage string, mag string, ident double").coalesce(1)
+        got |= {r["mean"] for r in evidence.mean_identity(df.select("phage").distinct(), df).collect()}
+    assert got == {2.66 / 4}
