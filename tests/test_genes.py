@@ -189,3 +189,78 @@ def test_open_frames_as_a_table_function(spark):
                         start, begin = None, at + 3
                     at += 3
         assert got.get(i, set()) == want, i
+
+
+def _plain_count(seq: bytes, train: int, overlap: int, into: np.ndarray, w=None, prior: float = 0.0) -> None:
+    """Add one contig's counts. Without weights its longest whole open frames of at least `train` letters stand for its
+    genes; with weights, the best whole genes by score do."""
+    n, every = len(seq), []
+    for strand in (1, -1):
+        x = genes.strand_codes(seq, strand)
+        c = genes.codons(x)
+        words = genes._words(c)
+        into[genes._AT[1] : genes._AT[2]] += np.bincount(words[words >= 0], minlength=4096)
+        for k, s in enumerate(genes._START):
+            into[genes._AT[3] + k] += int((c == s).sum())
+        into[genes._AT[5] : genes._AT[6]] += np.bincount(x[x < 4], minlength=4)
+        f = genes.open_frames(c, train)
+        value = f.end - f.start if w is None else genes.score_frames(x, c, f, w, prior)
+        for i in np.flatnonzero(f.closed & (f.kind < 3)).tolist():
+            a, e = int(f.start[i]), int(f.end[i])
+            every.append((a, e, a if strand > 0 else n - e, e if strand > 0 else n - a, int(f.kind[i]), x, words, float(value[i])))
+    if not every:
+        return
+    starts, ends, value = (np.array([r[k] for r in every]) for k in (2, 3, 7))
+    for i in genes.best_chain(starts, ends, value, overlap):
+        a, e, _, _, kind, x, words, _ = every[i]
+        own = words[a : e - 8 : 3]
+        into[genes._AT[0] : genes._AT[1]] += np.bincount(own[own >= 0], minlength=4096)
+        into[genes._AT[2] + kind] += 1
+        for k in range(genes.UPSTREAM):
+            if a - 1 - k >= 0 and x[a - 1 - k] < 4:
+                into[genes._AT[4] + 4 * k + x[a - 1 - k]] += 1
+
+
+def _plain_call(seq: bytes, w: np.ndarray, least: int, overlap: int, prior: float) -> list[tuple]:
+    """(start, end, strand, partial at the left, partial at the right, score, protein) of one contig's genes, by place from 1."""
+    n, rows = len(seq), []
+    for strand in (1, -1):
+        x = genes.strand_codes(seq, strand)
+        c = genes.codons(x)
+        f = genes.open_frames(c, least)
+        for a, e, kind, closed, s in zip(f.start.tolist(), f.end.tolist(), f.kind.tolist(), f.closed.tolist(), genes.score_frames(x, c, f, w, prior).tolist(), strict=True):
+            rows.append((a if strand > 0 else n - e, e if strand > 0 else n - a, strand, kind == 3, not closed, s, a, e))
+    if not rows:
+        return []
+    found = genes.best_chain(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[5] for r in rows]), overlap)
+    both = {s: genes.codons(genes.strand_codes(seq, s)) for s in (1, -1)}
+    out = []
+    for i in sorted(found, key=lambda i: rows[i][:3]):
+        lo, hi, strand, no_start, no_stop, s, a, e = rows[i]
+        own = both[strand][a : e - 2 : 3].tolist()
+        protein = "".join("X" if c < 0 else genes.AMINO[c] for c in own)
+        if not no_start:
+            protein = "M" + protein[1:]
+        left, right = (no_start, no_stop) if strand > 0 else (no_stop, no_start)
+        out.append((lo + 1, hi, strand, left, right, s, protein))
+    return out
+
+
+def test_batches_equal_contigs_one_by_one():
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGTN" if rng.random() < 0.02 else "ACGTacgt") for _ in range(n)).encode() for n in [*range(1, 13), 0, 700, 90, *(rng.randint(20, 900) for _ in range(60)), 5, 4]]
+    groups = np.array([rng.randrange(3) for _ in seqs])
+    models = np.array([[rng.uniform(-1, 1.2) for _ in range(4099 + 4 * genes.UPSTREAM)] for _ in range(3)], np.float32)
+    for w in (None, models):
+        want = np.zeros((3, genes._AT[-1]), np.int64)
+        for g, x in zip(groups, seqs):
+            _plain_count(x, 60, 20, want[g], None if w is None else w[g], -0.5)
+        assert want[:, : genes._AT[1]].sum() > 0 and (genes.count_batch(seqs, groups, 3, 60, 20, w, groups, -0.5) == want).all()
+    f, strand, proteins = genes.call_batch(seqs, models, groups, 50, 20, -0.5)
+    got = list(zip(f.contig.tolist(), strand.tolist(), f.start.tolist(), f.end.tolist(), f.kind.tolist(), f.closed.tolist(), f.score.tolist(), proteins))
+    want = [(i, *r) for i, (g, x) in enumerate(zip(groups, seqs)) for r in _plain_call(x, models[g], 50, 20, -0.5)]
+    assert len(got) == len(want) > 50
+    for (i, s, a, e, kind, closed, score, protein), (j, lo, hi, strand_, left, right, v, p) in zip(got, want):
+        n = len(seqs[i])
+        assert (i, s, protein) == (j, strand_, p) and abs(score - v) < 1e-9 and (lo, hi) == ((a + 1, e) if s > 0 else (n - e + 1, n - a))
+        assert (left, right) == ((kind == 3, not closed) if s > 0 else (not closed, kind == 3))
