@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ def _byte_table(lower: bool) -> np.ndarray:
 
 
 TABLE = {lower: _byte_table(lower) for lower in (False, True)}
+BYTES = {lower: np.arange(256, dtype=np.uint8) for lower in (False, True)}
+BYTES[True][65:91] += 32
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -51,7 +54,7 @@ class Words:
     """Words of a run of texts: hash, first byte and end byte of each; text i has words first[i]:first[i+1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.lower = data, offsets, lower
         solid = ~SPACE[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
@@ -63,7 +66,16 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.start = start
         self.first = np.searchsorted(start, offsets)
-        self.hash = mix(self._sums(TABLE[lower][data]) + (self.end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return mix(self._sums(TABLE[self.lower][self.data]) + (self.end - self.start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    def strings(self) -> pa.Array:
+        """The words themselves, one after the other; A-Z lowered if the hashes are."""
+        raw = BYTES[self.lower][self.data[~SPACE[self.data]]]
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
     def _sums(self, codes: np.ndarray) -> np.ndarray:
         """For each word the sum of code * BASE**place over its bytes: differences of running sums, shifted back."""

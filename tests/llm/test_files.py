@@ -270,3 +270,66 @@ def test_found_words_are_listed_after_their_shuffle(frame):
     got = out.collect()
     assert len(got) == len(rows) and all(r["n_known"] == r["n_tokens"] for r in got)
     assert len({tuple(r) for r in got if r["doc_id"] in (None, 3)}) == 2
+
+
+def test_training_reads_the_texts_once_besides_their_counts(spark, frame):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(9)) + f" x{i}") for i in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = frame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    model, counts = brown.train(df, head=12, units=4, forms=3, classes=3)
+    assert counts.count() == len({w for _, t in rows for w in t.split()})
+    assert read.value <= 3 * len(rows)  # word counts, number of texts, encoding; not again for pairs, neighbours and contexts
+    held = frame(rows, "doc_id long, text string").withColumn("held_out", F.lit(True))
+    assert all(r["n_known"] == r["n_tokens"] for r in brown.score(held, model, counts).collect())
+
+
+def test_encoded_texts(frame):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "A b É zz b Zz q\u00a0q zz e é"), (None, "zz"), (4, "a a a"), (6, "b é " * 400)]
+    df = frame(rows, "doc_id long, text string")
+    m, counts = brown.vocabulary(df, head=2, forms=2)
+    assert {r["word"]: r["c"] for r in counts.collect()} == Counter(w for _, t in rows for w in re.sub("[A-Z]", lambda x: x[0].lower(), t or "").split(" ") if w.strip())
+    top = ["b", "é"]
+    number = {w: int(m.word_id[list(m.words).index(slices_hash(w))]) for w in top}
+    got = brown.encode(df, m).collect()
+    assert len(got) == len(rows) and len({r["row"] for r in got}) == len(rows)
+    left = [(i, [w for w in re.sub("[A-Z]", lambda x: x[0].lower(), t or "").split(" ") if w.strip()]) for i, t in rows]
+    back = []
+    for r in got:
+        ids, place = np.frombuffer(r["ids"], m.dtype), np.frombuffer(r["place"], brown.PLACE)
+        where, seen, text = iter(brown._places(place, np.array([0, len(place)]))[0]), {v: k for k, v in number.items()}, []
+        for x in ids[:-1]:
+            text.append(seen[x] if x in seen else r["words"][next(where)])
+        assert ids[-1] == 0 and len(set(r["words"])) == len(r["words"]) and not set(r["words"]) & set(top)
+        back.append((r["doc_id"], text))
+    assert sorted(back, key=str) == sorted(left, key=str)
+
+
+def slices_hash(word):
+    return next(w for _, _, w in slices(pa.array([word]), True)).hash[0]
+
+
+def test_counts_of_words_in_parts(monkeypatch):
+    monkeypatch.setattr(brown, "HELD", 3)
+    texts = [" ".join(f"W{(i * j) % 13}" for j in range(20)) for i in range(30)]
+    total, parts = Counter(), 0
+    for b in brown._counted(pa.RecordBatch.from_arrays([pa.array([t, None, ""])], names=["text"]) for t in texts):
+        parts += 1
+        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total[w] += c
+    assert total == Counter(w.lower() for t in texts for w in t.split()) and parts > 2
+    assert list(brown._counted(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"])]))) == []
+
+
+def test_class_of_a_rare_word_does_not_depend_on_the_order_of_its_rows():
+    near = np.zeros((6, 2))
+    near[[0, 2, 4], 0], near[[0, 2, 4], 1] = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]
+    for order in itertools.permutations(range(3)):
+        rows = pa.RecordBatch.from_arrays([pa.array([7] * 3, pa.int64()), pa.array([2 * left * 6 for left in order], pa.int64())], names=["h", "k"])
+        got = pa.Table.from_batches(brown._assign(near, 3)(iter([rows]))).to_pylist()
+        assert [(r["h"], r["cls"]) for r in got if r["h"] is not None] == [(7, 0)]
