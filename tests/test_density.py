@@ -143,6 +143,37 @@ def test_references_are_sent_once_for_many_blocks_of_queries(spark):
     assert len(found) == 40 and all(x.id == x.best for x in found) and seen.value == 40
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_search_stores_small_rows_and_scores_references_in_chunks(spark, same):
+    """No stored block is a row of megabytes, and no call gets a whole tile of references; copies of a vector lie in different chunks."""
+    x = np.random.default_rng(6).normal(size=(1500, 64)).round(3)
+    every = np.concatenate([x, x])
+    refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "id long, v array<double>").repartition(2)
+    queries = refs.where("id % 100 = 0").withColumn("model", F.lit(1))
+    real, store, stored = density._best_of_tiles, density.materialize, []
+
+    def bounded(*args):
+        run = real(*args)
+
+        def best(left, right):
+            if sum(len(r) for r in right["rids"]) > 256:
+                raise ValueError("too many references at once")
+            return run(left, right)
+
+        return best
+
+    def kept(df, label):
+        out = store(df, label)
+        stored.append(out.agg(F.max(F.length("v"))).first()[0])
+        return out
+
+    with mock.patch.object(density, "CHUNK", 1 << 14, create=True), mock.patch.object(density, "SPREAD", 2), mock.patch.object(density, "_best_of_tiles", bounded), mock.patch.object(density, "materialize", kept):
+        found = density.best_reference(queries, refs, {1: density.gaussian(0.5)}, same)
+        assert len(stored) == 2 and max(stored) <= 1 << 14
+        got = {r.id: r.best for r in found.collect()}
+    assert got == {i: (i + 1500) % 3000 if same else i % 1500 for i in range(0, 3000, 100)}
+
+
 def test_one_gaussian_is_fitted_in_one_pass(spark):
     x = np.random.default_rng(4).normal(size=(50, 3))
     df = spark.createDataFrame([(2, v.tolist()) for v in x] + [(None, [0.0] * 3), (2, None)], "model int, x array<double>")
